@@ -75,9 +75,9 @@ class Classes:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * ratio)))
 
     def difference(self, a: int, b: int) -> int:
-        """Greatest symmetric difference of linked sets with sizes a and b: overlap >= num/(num+den) (a+b)."""
-        least = -(-self.num * (a + b) // (self.num + self.den))
-        return a + b - 2 * least
+        """Bound on the symmetric difference of linked sets with sizes a and b, growing with both: the
+        overlap is num/(num+den) (a+b) or more."""
+        return (self.den - self.num) * (a + b) // (self.num + self.den)
 
     def of(self, n: int) -> list[tuple[int, int]]:
         """(class, blocks) of the classes that a set of n shingles takes part in: its own, and those of
