@@ -84,7 +84,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     joined = seen.join(component.select(F.col("vertex").alias("key"), "component"), "key", "left").where("n > 1 or component is not null")
     groups = joined.withColumn("component", F.coalesce("component", "key"))
     keeper = groups.groupBy("component").agg(F.min("first").alias("kept"))
-    repeated = groups.select("key", "component").join(keeper, "component").select("key", "kept")
+    # kept as a table, so that the join below stands alone and its hot lines can be split
+    repeated = groups.select("key", "component").join(keeper, "component").select("key", "kept").checkpoint()
     lost = lines.select("id", "h", "no", "key").join(repeated, "key").where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("no") == F.col("kept.no")) & (F.col("h") == F.col("kept.h"))))
     return lost.groupBy("id", "h").agg(F.array_sort(F.collect_set("no")).alias("drop"))
 
