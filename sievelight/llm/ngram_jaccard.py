@@ -236,11 +236,39 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     return docs.select(spot.alias("b"), "text").mapInArrow(run, "key long, shingles array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those (u, v) whose sets link."""
-    a = sets.select(F.col("key").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("key").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.join(a, "u").join(b, "v")
+def _points(sets: DataFrame) -> DataFrame:
+    """(key, point) of (key, shingles): group counts as little-endian int32."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            out = [point(flat[a:b].astype(np.uint64)).astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "point"])
+
+    return sets.select("key", "shingles").mapInArrow(run, "key long, point binary")
+
+
+def _possible(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Those (u, v) whose summed coordinate minima allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, TREE_GROUPS) for i in (2, 3))
+            keep = (num + den) * np.minimum(a, b).sum(1, dtype=np.int64) >= num * (a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64))
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    a, b = points.toDF("u", "a"), points.toDF("v", "b")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Those (u, v) whose sets link: by the bound first, then exactly."""
+    a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
+    both = _possible(pairs, points, num, den).join(a, "u").join(b, "v")
     common = F.size(F.array_intersect("a", "b")).cast("long")
     return both.where((num + den) * common >= num * (F.size("a") + F.size("b"))).select("u", "v")
 
@@ -261,14 +289,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     held = tile_rows.join(shared.hint("shuffle_hash"), "tile").distinct().checkpoint()
     keys = held.select("key").distinct().checkpoint()
     members = described.where("key is not null").groupBy("key").agg(F.min("h").alias("h")).join(keys, "key")
-    sets = _member_sets(narrow, members, width).join(keys, "key", "left_semi").dropDuplicates(["key"]).checkpoint()
+    sets = _member_sets(narrow, members, width).join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles").checkpoint()
+    points = _points(sets).checkpoint()
 
     links = None
     labels = None
     pending = held
     for r in range(HUB_ROUNDS):
         star = pending.where("key != hub").groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("key").alias("u"), F.col("hub").alias("v"))
-        found = _verify(star, sets, num, den)
+        found = _verify(star, sets, points, num, den)
         links = (found if links is None else links.union(found)).checkpoint()
         labels = connected_components(links)
         labelled = held.select("tile", "key").join(labels.select(F.col("vertex").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key"))
@@ -281,29 +310,25 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         if r + 1 < HUB_ROUNDS:
             pending = pending.where("label != hub_label")
     if not pending.isEmpty():
-        found = _verify(_tree_pairs(pending, sets, num, den), sets, num, den)
+        found = _verify(_tree_pairs(pending, points, num, den), sets, points, num, den)
         labels = connected_components(links.union(found))
     return described.join(labels.select(F.col("vertex").alias("key"), "component"), "key", "left").select("id", F.col("n").alias("n_shingles"), "key", F.coalesce("component", "key").alias("component_key"))
 
 
-def _tree_pairs(pending: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (u, v) of different labels that some tile's tree cannot rule out."""
-    size = pending.groupBy("tile").agg(F.count(F.lit(1)).alias("size"))
-    rows = pending.join(size, "tile").withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+def _tree_pairs(pending: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (u, v) of different labels that some tile's tree cannot rule out.
+
+    A tile of at most one leaf has no inner node to descend: its pairs go to the bound as they are."""
+    sized = pending.select("tile", "key", "label").join(pending.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile")
+    leaf = sized.where(F.col("size") <= NODE).groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("key", "label"))).alias("m"))
+    later = lambda x, i: F.transform(F.filter(F.slice(F.col("m"), i + 2, F.lit(NODE)), lambda y: y["label"] != x["label"]), lambda y: F.struct(y["key"].alias("u"), x["key"].alias("v")))
+    small = leaf.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.u", "p.v")
+
+    rows = sized.where(F.col("size") > NODE).withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # a chunk meets every chunk: pair (i, j) with i <= j
     paired = rows.select("key", "label", "tile", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     paired = paired.select("key", "label", "tile", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
-    def points(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            out = [point(flat[a:b].astype(np.uint64)).astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "point"])
-
-    located = sets.select("key", "shingles").mapInArrow(points, "key long, point binary")
-    ready = paired.join(located, "key")
-
     def search(group: pa.Table) -> pa.Table:
         part = group["part"].to_numpy()
         order = np.argsort(part, kind="stable")
@@ -314,7 +339,8 @@ def _tree_pairs(pending: DataFrame, sets: DataFrame, num: int, den: int) -> Data
         u, v = keys[pairs[:, 0]], keys[pairs[:, 1]]
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    return ready.groupBy("tile", "i", "j").applyInArrow(search, "u long, v long").distinct()
+    large = paired.join(points, "key").groupBy("tile", "i", "j").applyInArrow(search, "u long, v long")
+    return small.union(large).distinct()
 
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:
