@@ -87,7 +87,8 @@ def codewords(n: int, bits: int = CODE_BITS) -> np.ndarray:
     if n == 1:
         return np.ones((1, 1), np.int8)
     if n <= EXHAUSTIVE:
-        return np.array([[1 if (c >> i) & 1 == 0 else -1 for c in range(1, 2 ** (n - 1))] for i in range(n - 1)] + [[-1] * (2 ** (n - 1) - 1)], np.int8)[::-1]
+        # one language is +1 throughout; the columns are all ways to part the others from it
+        return np.array([[1 - 2 * ((c << 1 >> i) & 1) for c in range(1, 2 ** (n - 1))] for i in range(n)], np.int8)
     rng, best = np.random.default_rng(7), (-1, None)
     for _ in range(200):
         c = rng.choice(np.array([-1, 1], np.int8), (n, max(bits, 4 * int(np.ceil(np.log2(n))))))
