@@ -17,28 +17,33 @@ def cut_end(c: Column, n: int) -> Column:
     return F.substring(c, F.lit(1), F.length(c) - n)
 
 
-def normal_term(term: Column) -> Column:
-    """Lower case, regular plurals folded."""
-    t = F.lower(F.trim(term))
+def fold_plural(t: Column) -> Column:
+    """A lower-case word without its regular plural ending."""
     n = F.length(t)
     return (
-        F.when(n <= 3, t)
+        F.when((n <= 3) | ~F.endswith(t, F.lit("s")), t)
         .when(t.endswith("ies") & (n > 4), F.concat(cut_end(t, 3), F.lit("y")))
-        .when(t.rlike("(sses|shes|ches|xes)$"), cut_end(t, 2))
-        .when(t.rlike("[^sui]s$") | t.rlike("^s$"), cut_end(t, 1))
+        .when(t.rlike("(ss|sh|ch|x)es$"), cut_end(t, 2))
+        .when(t.rlike("[^sui]s$"), cut_end(t, 1))
         .otherwise(t)
     )
 
 
+def normal_terms(words: Column) -> Column:
+    """Lower case, regular plurals folded.  Each step is a transform of its own, so that no step's input is
+    worked out more than once per word."""
+    return F.transform(F.transform(words, F.lower), fold_plural)
+
+
 def lexical_terms(text: Column) -> Column:
     """Normalised words, in text order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9]+"), F.lit(0)), normal_term)
+    return normal_terms(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9]+"), F.lit(0)))
 
 
 def symbol_components(symbol: Column) -> Column:
     """Normalised parts of an identifier (snake, camel, kebab, dotted)."""
     parts = F.split(F.coalesce(symbol, F.lit("")), "[^a-zA-Z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-    return F.transform(F.filter(parts, lambda p: p != ""), normal_term)
+    return normal_terms(F.filter(parts, lambda p: p != ""))
 
 
 def saturate(count: Column, k: float = 1.2) -> Column:
@@ -71,30 +76,33 @@ def symbol_role(symbol: Column, content: Column, file_path: Column, lines: Colum
     )
 
 
-def token_key(token: Column) -> Column:
-    """Number and gerund folded: shares, sharing -> shar."""
-    n = F.length(token)
-    a = F.when((n > 4) & token.endswith("ies"), F.concat(cut_end(token, 3), F.lit("y"))).when((n > 4) & token.rlike("(s|x|z|ch|sh)es$"), cut_end(token, 2)).when((n > 3) & token.endswith("s") & ~token.endswith("ss"), cut_end(token, 1)).otherwise(token)
-    b = F.when((F.length(a) > 5) & a.endswith("ing"), cut_end(a, 3)).otherwise(a)
-    return F.when((F.length(b) > 3) & b.endswith("e"), cut_end(b, 1)).otherwise(b)
+def token_key_steps(tokens: Column) -> Column:
+    """Number and gerund folded: shares, sharing -> shar; one transform per step."""
+
+    def number(t):
+        n = F.length(t)
+        return F.when(~F.endswith(t, F.lit("s")) | (n <= 3), t).when((n > 4) & t.endswith("ies"), F.concat(cut_end(t, 3), F.lit("y"))).when((n > 4) & t.rlike("(s|x|z|ch|sh)es$"), cut_end(t, 2)).when(~t.endswith("ss"), cut_end(t, 1)).otherwise(t)
+
+    gerund = lambda t: F.when((F.length(t) > 5) & t.endswith("ing"), cut_end(t, 3)).otherwise(t)
+    final = lambda t: F.when((F.length(t) > 3) & t.endswith("e"), cut_end(t, 1)).otherwise(t)
+    return F.transform(F.transform(F.transform(tokens, number), gerund), final)
 
 
 def split_word(word: Column) -> Column:
-    """openIndexedDB -> [open, indexed, db]."""
+    """openIndexedDB -> [open, indexed, db]; a word without capitals is one part."""
     spaced = F.regexp_replace(F.regexp_replace(word, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(spaced), " "), lambda p: p != "")
+    return F.when(word == F.lower(word), F.array(word)).otherwise(F.filter(F.split(F.lower(spaced), " "), lambda p: p != ""))
 
 
 def token_keys(text: Column) -> Column:
     """Keys of all words and of their adjacent parts joined, with repeats."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
 
-    def keys(word):
-        parts = split_word(word)
-        pairs = F.zip_with(parts, F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda a, b: F.concat(a, b))
-        return F.concat(F.transform(parts, token_key), F.transform(F.filter(pairs, lambda p: p.isNotNull()), token_key))
+    def with_pairs(parts):
+        pairs = F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda a, b: F.concat(a, b))
+        return F.when(F.size(parts) == 1, parts).otherwise(F.concat(parts, pairs))
 
-    return F.flatten(F.transform(words, keys))
+    return token_key_steps(F.flatten(F.transform(F.transform(words, split_word), with_pairs)))
 
 
 def declared_names(content: Column) -> Column:

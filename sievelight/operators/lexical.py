@@ -18,15 +18,19 @@ def lexical_score(q: Q.Query, symbol: Column, file_path: Column, terms: Column)
         named = F.when(F.lower(symbol).isin(*[i.lower() for i in q.identifiers]), V.W_SYMBOL).otherwise(0.0)
     if not q.content and not q.symptoms:
         return F.round(named, 4)
-    content, symptoms = T.strings(q.content), T.strings(q.symptoms)
+    content, symptoms, both = T.strings(q.content), T.strings(q.symptoms), T.strings([*q.content, *q.symptoms])
     parts = F.array_distinct(F.filter(T.symbol_components(symbol), lambda c: c != "module_scope"))
-    shared = F.size(F.array_intersect(parts, content))
-    in_symbol = F.when(F.size(parts) > 0, V.W_COMPONENT * shared / F.size(parts)).otherwise(0.0)
+    in_symbol = F.when(F.size(parts) > 0, V.W_COMPONENT * F.size(F.array_intersect(parts, content)) / F.size(parts)).otherwise(0.0)
     in_path = V.W_PATH * T.saturate(F.size(F.array_intersect(T.lexical_terms(file_path), content)))
-    covered = V.W_COVERAGE * F.size(F.array_intersect(terms, content)) / F.lit(float(max(1, len(q.content))))
-    often = V.W_FREQUENCY * T.saturate(T.occurrences(terms, content), 3.0)
-    wrong = V.W_SYMPTOM * T.saturate(T.occurrences(terms, symptoms), 3.0)
-    return F.round(named + in_symbol + in_path + covered + often + wrong, 4)
+
+    def of_body(found):
+        covered = V.W_COVERAGE * F.size(F.array_intersect(found, content)) / F.lit(float(max(1, len(q.content))))
+        often = V.W_FREQUENCY * T.saturate(T.occurrences(found, content), 3.0)
+        return covered + often + V.W_SYMPTOM * T.saturate(T.occurrences(found, symptoms), 3.0)
+
+    # the body is cut to the query's terms once; every count reads that short list
+    held = F.array(F.filter(terms, lambda t: F.array_contains(both, t)))
+    return F.round(named + in_symbol + in_path + F.get(F.transform(held, of_body), F.lit(0)), 4)
 
 
 def scored(chunks: DataFrame, q: Q.Query) -> DataFrame:
@@ -54,6 +58,14 @@ def tier_one(chunks: DataFrame, q: Q.Query, full: bool = False, bypass: int = V.
     ).drop("top", "total")
 
 
+def survivors(chunks: DataFrame, q: Q.Query, keep: int = V.TIER1_KEEP) -> DataFrame:
+    """The chunks that tier one keeps, with their lexical_score: those of tier_one(), without the audit of the
+    others.  Texts are scored in one pass and fetched for the kept chunks in another; nothing is shuffled
+    but a bounded top-k."""
+    top = scored(chunks, q).select("chunk_idx", "lexical_score").orderBy(F.desc("lexical_score"), "chunk_idx").limit(keep)
+    return chunks.join(F.broadcast(top), "chunk_idx")
+
+
 def token_score(terms: list[str], symbol: Column, file_path: Column, content: Column, dirty: Column | None = None) -> Column:
     """The token-key scorer: names 10, path 3, body up to 2 for each term, 6 for a changed file."""
     if not terms and dirty is None:
@@ -64,6 +76,8 @@ def token_score(terms: list[str], symbol: Column, file_path: Column, content: Co
     path = T.token_keys(F.concat_ws(" ", folder, base))
     body = T.token_keys(content)
 
+    wanted = T.strings(dict.fromkeys(k for t in terms for k in Q.term_keys(t)))
+
     def one(names_, path_, body_):
         total = F.lit(0.0)
         for t in terms:
@@ -72,8 +86,9 @@ def token_score(terms: list[str], symbol: Column, file_path: Column, content: Co
             total = total + F.when(F.arrays_overlap(names_, keys), 10.0).otherwise(0.0) + F.when(F.arrays_overlap(path_, keys), 3.0).otherwise(0.0) + F.lit(2.0) * (n / (n + F.lit(1.2)))
         return total
 
-    # one struct holds the three key lists, so each is worked out once per chunk
-    score = F.get(F.transform(F.array(F.struct(names.alias("n"), path.alias("p"), body.alias("b"))), lambda s: one(s["n"], s["p"], s["b"])), F.lit(0))
+    # one struct holds the key lists, worked out once per chunk and cut to the wanted keys
+    cut = lambda keys: F.filter(keys, lambda k: F.array_contains(wanted, k))
+    score = F.get(F.transform(F.array(F.struct(cut(names).alias("n"), cut(path).alias("p"), cut(body).alias("b"))), lambda s: one(s["n"], s["p"], s["b"])), F.lit(0))
     return score if dirty is None else score + F.when(dirty, 6.0).otherwise(0.0)
 
 

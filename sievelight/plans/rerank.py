@@ -24,7 +24,7 @@ class Answer:
 
 def decided(chunks: DataFrame, q: Q.Query, scorer: scoring.Scorer | None = None) -> DataFrame:
     """Tier-one survivors with all their scores, alignment counters flattened."""
-    kept = lexical.tier_one(chunks, q).where("kept")
+    kept = cut(lexical.survivors(chunks, q))
     rows = ranking.decide(scoring.raw_scores((scorer or scoring.HashScorer()).score(kept, q.text)), q)
     for name in ("domain_hits", "structural_domain_hits", "symptom_hits", "symbol_role", "named"):
         rows = rows.withColumn(name, F.col(f"alignment.{name}"))
