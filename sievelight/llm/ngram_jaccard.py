@@ -12,8 +12,8 @@ coordinates of one block name a tile, and every link lies in some tile.  Tiles o
 not needed (and not made) for points with at most SPARE empty blocks.  Nothing is dropped, whatever a tile's size.
 
 Links (per tile).  Equal sets are one point from the start.  Rounds of hubs come first: every point
-is verified against one hub of its tiles, which joins most families along stars instead of all
-pairs.  For tiles that still hold several components, the points of a tile (split into chunk pairs when there are many) are
+is verified against one hub of its tiles, then points outside a tile's largest component against a few
+of that component's members, which joins families along stars instead of all pairs.  For tiles that still hold several components, the points of a tile (split into chunk pairs when there are many) are
 bulk-loaded into an R-tree by sort-tile-recursion; the descent keeps node pairs whose summed
 coordinate minima still allow a link, and only leaf pairs of different components are verified on
 the exact sets.  Verified links are joined by distributed union-find.
@@ -36,8 +36,8 @@ from .components import connected_components, ensure_checkpoint_dir
 #: Size classes grow by this factor; blocks beyond the pigeonhole's need; groups within a block.
 CLASS_RATIO, SPARE, BLOCK_GROUPS = 1.25, 2, 64
 #: Coordinates of the points in the trees of tiles, entries per node, points per chunk.
-TREE_GROUPS, NODE, CHUNK = 64, 16, 2048
-HUB_ROUNDS = 2
+TREE_GROUPS, NODE, CHUNK = 256, 16, 2048
+HUB_ROUNDS, HUBS = 4, 3
 #: Bits of the filter that spares documents outside all tiles the second reading: 1 MiB.
 MEMBER_BITS = 23
 
@@ -116,8 +116,10 @@ def tiles(s: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set, for the trees."""
-    return np.bincount((s & np.uint64(TREE_GROUPS - 1)).astype(np.int64), minlength=TREE_GROUPS).astype(np.int32)
+    """Group counts of a set, for the trees, as uint16.  A set with a larger count is the greatest point
+    instead: its bound rules nothing out."""
+    counts = np.bincount((s & np.uint64(TREE_GROUPS - 1)).astype(np.int64), minlength=TREE_GROUPS)
+    return np.minimum(counts, 65535).astype("<u2") if counts.max() <= 65535 else np.full(TREE_GROUPS, 65535, "<u2")
 
 
 class RTree:
@@ -189,8 +191,8 @@ def _batch(columns: list, lists: list[np.ndarray], names: list[str]) -> pa.Recor
     return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
 
 
-def describe(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
-    """(id, h, n, key, tiles) per row of (id, h, text).  A task lists the tiles of a set once, so copies
+def describe(docs: DataFrame, width: int, classes: Classes | None) -> DataFrame:
+    """(id, h, n, key, tiles) per row of (id, h, text); no tiles without classes.  A task lists the tiles of a set once, so copies
     do not multiply them."""
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -202,7 +204,7 @@ def describe(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
             keys = [set_key(s) if len(s) else None for s in sets]
             names = []
             for s, key in zip(sets, keys):
-                names.append(nothing if key is None or key in seen else tiles(s, classes))
+                names.append(nothing if classes is None or key is None or key in seen else tiles(s, classes))
                 seen.add(key)
             yield _batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names, ["id", "h", "n", "key", "tiles"])
 
@@ -236,15 +238,27 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     return docs.select(spot.alias("b"), "text").mapInArrow(run, "key long, shingles array<long>")
 
 
+def _kept_dealt(df: DataFrame) -> DataFrame:
+    """df as a checkpoint that is known to be partitioned as df is: only a plan that cannot change while
+    it runs says so, hence without adaptive execution for this one job."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def _points(sets: DataFrame) -> DataFrame:
-    """(key, point) of (key, shingles): group counts as little-endian int32."""
+    """(key, point) of (key, shingles): group counts as little-endian uint16."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
             flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
             ends = ends - ends[0]
-            out = [point(flat[a:b].astype(np.uint64)).astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            out = [point(flat[a:b].astype(np.uint64)).tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "point"])
 
     return sets.select("key", "shingles").mapInArrow(run, "key long, point binary")
@@ -257,7 +271,7 @@ def _possible(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<i4").reshape(-1, TREE_GROUPS) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, TREE_GROUPS) for i in (2, 3))
             keep = (num + den) * np.minimum(a, b).sum(1, dtype=np.int64) >= num * (a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64))
             yield batch.select([0, 1]).filter(pa.array(keep))
 
@@ -281,34 +295,39 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     set_batches(spark)
     classes = Classes(num, den)
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    described = describe(narrow, width, classes).checkpoint()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # tiles are needed once and are the bulk of a description: they are not kept for the last join
+    tile_rows = describe(narrow, width, classes).select("key", F.explode("tiles").alias("tile")).repartition("tile")
+    described = describe(narrow, width, None).select("id", "h", "n", "key").checkpoint()
 
     # one shuffle by tile serves both the tiles' statistics and the search for their members
-    tile_rows = described.select("key", F.explode("tiles").alias("tile")).repartition("tile")
     shared = tile_rows.groupBy("tile").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub != last").select("tile", "hub")
     held = tile_rows.join(shared.hint("shuffle_hash"), "tile").distinct().checkpoint()
     keys = held.select("key").distinct().checkpoint()
     members = described.where("key is not null").groupBy("key").agg(F.min("h").alias("h")).join(keys, "key")
-    sets = _member_sets(narrow, members, width).join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles").checkpoint()
+    # dealt by key once and kept so: the joins that verify pairs move pairs to the sets
+    dealt = _member_sets(narrow, members, width).repartition(parts, "key")
+    sets = _kept_dealt(dealt.join(keys.repartition(parts, "key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles"))
     points = _points(sets).checkpoint()
 
-    links = None
-    labels = None
-    pending = held
+    star = held.where("key != hub").groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("key").alias("u"), F.col("hub").alias("v"))
+    links = labels = pending = None
     for r in range(HUB_ROUNDS):
-        star = pending.where("key != hub").groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("key").alias("u"), F.col("hub").alias("v"))
         found = _verify(star, sets, points, num, den)
         links = (found if links is None else links.union(found)).checkpoint()
         labels = connected_components(links)
-        labelled = held.select("tile", "key").join(labels.select(F.col("vertex").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key"))
-        # a tile of one component is done; the next hub is its member of least mixed name
-        mixed = F.xxhash64("key", F.lit(r))
-        stats = labelled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min(F.struct(mixed.alias("x"), "key", "label")).alias("lead")).where("a != b")
-        pending = labelled.join(stats, "tile").select("tile", "key", "label", F.col("lead.key").alias("hub"), F.col("lead.label").alias("hub_label")).checkpoint()
+        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        named = labels.join(sizes, "component").select(F.col("vertex").alias("key"), "component", "size")
+        labelled = held.select("tile", "key").join(named, "key", "left").select("tile", "key", F.coalesce("component", "key").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+        # a tile of one component is done; in others, members of its largest component are the next hubs
+        lead = lambda t: F.max(F.struct("size", F.xxhash64("key", F.lit(r * HUBS + t)).alias("x"), "key", "label"))  # noqa: B023, E731
+        stats = labelled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.array(*[lead(t) for t in range(HUBS)]).alias("leads")).where("a != b").select("tile", "leads")
+        pending = labelled.join(stats, "tile").checkpoint()
         if pending.isEmpty():
             break
-        if r + 1 < HUB_ROUNDS:
-            pending = pending.where("label != hub_label")
+        tried = pending.select("key", "label", F.posexplode("leads").alias("t", "lead")).where("label != lead.label")
+        chosen = tried.groupBy("key", "t").agg(F.min(F.struct(F.xxhash64("lead.key", "t").alias("x"), F.col("lead.key").alias("hub"))).alias("m"))
+        star = chosen.select(F.greatest("key", "m.hub").alias("u"), F.least("key", "m.hub").alias("v")).distinct()
     if not pending.isEmpty():
         found = _verify(_tree_pairs(pending, points, num, den), sets, points, num, den)
         labels = connected_components(links.union(found))
@@ -333,7 +352,7 @@ def _tree_pairs(pending: DataFrame, points: DataFrame, num: int, den: int) -> Da
         part = group["part"].to_numpy()
         order = np.argsort(part, kind="stable")
         keys, label = group["key"].to_numpy()[order], group["label"].to_numpy()[order]
-        at = np.frombuffer(b"".join(group["point"].to_pylist()), "<i4").reshape(-1, TREE_GROUPS)[order]
+        at = np.frombuffer(b"".join(group["point"].to_pylist()), "<u2").reshape(-1, TREE_GROUPS)[order].astype(np.int32)
         one = group["i"][0].as_py() == group["j"][0].as_py()
         pairs = link_pairs(at, num, den, label, None if one else int((part == part.min()).sum()))
         u, v = keys[pairs[:, 0]], keys[pairs[:, 1]]
