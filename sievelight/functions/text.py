@@ -203,3 +203,24 @@ def wants_rerank(prompt: Column) -> Column:
     for r in V.PROMPT_SEARCH:
         yes = yes | p.rlike(r)
     return (F.length(p) >= 8) & ~no & yes
+
+
+def is_machine_text(prompt: Column) -> Column:
+    return F.coalesce(prompt, F.lit("")).rlike(r"^\s*[</]")
+
+
+def is_code_question(prompt: Column) -> Column:
+    """Whether a prompt asks about code: signs that only code has decide alone, workflow words veto the rest."""
+    text = F.regexp_replace(F.coalesce(prompt, F.lit("")), r"^\s+|\s+$", "")
+    # the patterns' word borders are ASCII: a letter beyond it parts words, as a sign does
+    text = F.regexp_replace(text, r"[^\x00-\x7F]", "~")
+    low = F.lower(text)
+    bare = text
+    for r in V.NOT_CODE:
+        bare = F.regexp_replace(bare, r, "")
+    sign = F.lit(False)
+    for r in V.CODE_SIGNS:
+        sign = sign | bare.rlike(r)
+    acts = low.rlike(V.CODE_VERB) | (low.rlike(V.SET_VERB) & ~low.rlike(V.NOT_SET_VERB))
+    asks = low.rlike(V.LOCATOR_UNIT) | (low.rlike(V.LOCATOR) & (acts | low.rlike(V.PARTICIPLE))) | (low.rlike(V.MECHANISM) & acts) | low.rlike(V.DEBUGGING)
+    return F.when((F.length(text) < 8) | is_machine_text(prompt) | low.rlike(V.PROCESS_LEAD), False).when(sign, True).when(low.rlike(V.PROCESS_NOUNS) | low.rlike(V.ASKS_US), False).otherwise(asks)

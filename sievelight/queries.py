@@ -322,6 +322,23 @@ def prompt_gate(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.wants_rerank(F.col("text")).alias("wants"))
 
 
+def _sql_regex(column: str, regex: str) -> str:
+    return f"regexp_matches({column}, '" + regex.replace("'", "''") + "')"
+
+
+_CODE_SQL = f"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'where is parse_token defined ' WHEN turn % 3 = 2 THEN 'how is the cache sorted, ' ELSE '' END || coalesce(text, '') AS q FROM conversations),
+b AS (SELECT *, regexp_replace(q, '^\\s+|\\s+$', '', 'g') AS t FROM a), c AS (SELECT *, lower(t) AS l, regexp_replace(regexp_replace(t, '{V.NOT_CODE[0]}', '', 'g'), '{V.NOT_CODE[1]}', '', 'g') AS s FROM b)
+SELECT conv_id, turn, CASE WHEN length(t) < 8 OR regexp_matches(q, '^\\s*[</]') OR {_sql_regex('l', V.PROCESS_LEAD)} THEN false WHEN {' OR '.join(_sql_regex('s', r) for r in V.CODE_SIGNS)} THEN true
+WHEN {_sql_regex('l', V.PROCESS_NOUNS)} OR {_sql_regex('l', V.ASKS_US)} THEN false
+ELSE {_sql_regex('l', V.LOCATOR_UNIT)} OR ({_sql_regex('l', V.LOCATOR)} AND ({_sql_regex('l', V.CODE_VERB)} OR ({_sql_regex('l', V.SET_VERB)} AND NOT {_sql_regex('l', V.NOT_SET_VERB)}) OR {_sql_regex('l', V.PARTICIPLE)})) OR ({_sql_regex('l', V.MECHANISM)} AND ({_sql_regex('l', V.CODE_VERB)} OR ({_sql_regex('l', V.SET_VERB)} AND NOT {_sql_regex('l', V.NOT_SET_VERB)}))) OR {_sql_regex('l', V.DEBUGGING)} END AS asks FROM c"""
+
+
+@_register("code_question", _CODE_SQL)
+def code_question(spark, sf_dir):
+    lead = F.when(F.col("turn") % 3 == 1, "where is parse_token defined ").when(F.col("turn") % 3 == 2, "how is the cache sorted, ").otherwise("")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_code_question(F.concat(lead, F.coalesce("text", F.lit("")))).alias("asks"))
+
+
 _D = _Q.decomposition
 _PHRASES = " + ".join(f"CAST((list_contains(pterms, '{p.split()[0]}') AND list_contains(pterms, '{p.split()[1]}')) OR contains(array_to_string(terms, ' '), '{p}') AS INT)" for p in _D.phrases) or "0"
 _ALIGN = f"""{_CHUNKS}, termed AS (SELECT *, {_terms('content')} AS terms, list_distinct({_terms('file_path')}) AS pterms FROM chunks),

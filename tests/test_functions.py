@@ -100,3 +100,15 @@ def test_saturation(spark):
     got = column(spark, [0, 1, 2, 5, 20], lambda c: F.round(T.saturate(c), 4), "int")
     assert got == [0.0, 0.4545, 0.625, 0.8065, 0.9434]
     assert math.isclose(got[1], 1 / 2.2, abs_tol=1e-4)
+
+
+def test_code_questions(spark):
+    yes = ["where is app.tenant_id set", "which function handles the upload", "how does the cache resolve routes", "fix the crash error in the exporter", "see src/main.rs please"]
+    no = ["commit the work now please", "thanks!", "what is the status of the branch", "how should we write this", "<xml> parse_token", "does node.js run on macOS today"]
+    assert column(spark, yes + no, T.is_code_question) == [True] * 5 + [False] * 6
+
+
+def test_rerank_gate(spark):
+    yes = ["where is the handler defined", "find the config loader"]
+    no = ["ok", "commit this now", "lovely weather out there"]
+    assert column(spark, yes + no, T.wants_rerank) == [True] * 2 + [False] * 3
