@@ -34,7 +34,7 @@ from .arrow_text import NOT_SPACE, chunks, mix, sequence_hash, set_batches, utf8
 from .components import connected_components, ensure_checkpoint_dir
 
 #: Size classes grow by this factor; blocks beyond the pigeonhole's need; groups within a block.
-CLASS_RATIO, SPARE, BLOCK_GROUPS = 1.25, 2, 64
+CLASS_RATIO, SPARE, BLOCK_GROUPS = 1.25, 2, 1 << 20
 #: Coordinates of the points in the trees of tiles, entries per node, points per chunk.
 TREE_GROUPS, NODE, CHUNK = 256, 16, 2048
 HUB_ROUNDS, HUBS = 4, 3
