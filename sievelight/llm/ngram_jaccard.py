@@ -37,7 +37,10 @@ from .components import connected_components, ensure_checkpoint_dir
 CLASS_RATIO, SPARE, BLOCK_GROUPS = 1.25, 2, 1 << 20
 #: Coordinates of the points in the trees of tiles, entries per node, points per chunk.
 TREE_GROUPS, NODE, CHUNK = 256, 16, 2048
-HUB_ROUNDS, HUBS = 4, 3
+HUB_ROUNDS, HUBS = 3, 1
+#: Bytes of a shingle hash that verification compares: two sets of 600 shingles share a false one in three
+#: million pairs, which matters only if they are one shingle short of a link.
+SET_BYTES = 5
 #: Bits of the filter that spares documents outside all tiles the second reading: 1 MiB.
 MEMBER_BITS = 23
 
@@ -59,6 +62,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The top SET_BYTES bytes of every hash of a sorted set, which keep its order."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def set_key(s: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     with np.errstate(over="ignore"):
@@ -212,7 +226,7 @@ def describe(docs: DataFrame, width: int, classes: Classes | None) -> DataFrame:
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(key, shingles) of documents (h, text) whose h may be in members; a bit filter of fixed size
+    """(key, shingles, point) of documents (h, text) whose h may be in members; a bit filter of fixed size
     spares most others the shingling.  A task gives a set once."""
     spot = F.pmod(F.xxhash64("h"), F.lit(1 << MEMBER_BITS))
     marks = members.select(spot.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("m"))
@@ -233,9 +247,10 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                     seen.add(key)
                     new[key] = s
             if new:
-                yield _batch([pa.array(list(new), pa.int64())], list(new.values()), ["key", "shingles"])
+                columns = [pa.array(list(new), pa.int64()), pa.array([packed(s) for s in new.values()], pa.binary()), pa.array([point(s).tobytes() for s in new.values()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "shingles", "point"])
 
-    return docs.select(spot.alias("b"), "text").mapInArrow(run, "key long, shingles array<long>")
+    return docs.select(spot.alias("b"), "text").mapInArrow(run, "key long, shingles binary, point binary")
 
 
 def _kept_dealt(df: DataFrame) -> DataFrame:
@@ -250,20 +265,6 @@ def _kept_dealt(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", before)
 
 
-def _points(sets: DataFrame) -> DataFrame:
-    """(key, point) of (key, shingles): group counts as little-endian uint16."""
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            ends = ends - ends[0]
-            out = [point(flat[a:b].astype(np.uint64)).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "point"])
-
-    return sets.select("key", "shingles").mapInArrow(run, "key long, point binary")
-
-
 def _possible(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Those (u, v) whose summed coordinate minima allow a link."""
 
@@ -281,10 +282,18 @@ def _possible(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFr
 
 def _verify(pairs: DataFrame, sets: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
     """Those (u, v) whose sets link: by the bound first, then exactly."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                n, m = len(x) // SET_BYTES, len(y) // SET_BYTES
+                common = len(np.intersect1d(unpacked(x), unpacked(y)))
+                keep.append((num + den) * common >= num * (n + m))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
     a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
-    both = _possible(pairs, points, num, den).join(a, "u").join(b, "v")
-    common = F.size(F.array_intersect("a", "b")).cast("long")
-    return both.where((num + den) * common >= num * (F.size("a") + F.size("b"))).select("u", "v")
+    return _possible(pairs, points, num, den).join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,8 +316,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     members = described.where("key is not null").groupBy("key").agg(F.min("h").alias("h")).join(keys, "key")
     # dealt by key once and kept so: the joins that verify pairs move pairs to the sets
     dealt = _member_sets(narrow, members, width).repartition(parts, "key")
-    sets = _kept_dealt(dealt.join(keys.repartition(parts, "key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles"))
-    points = _points(sets).checkpoint()
+    sets = _kept_dealt(dealt.join(keys.repartition(parts, "key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles", "point"))
+    points, sets = sets.select("key", "point"), sets.select("key", "shingles")
 
     star = held.where("key != hub").groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("key").alias("u"), F.col("hub").alias("v"))
     links = labels = pending = None
