@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Up to so many edges (a few MB) a pass runs in one task without a shuffle: passes over few edges cost more
+#: in files and scheduling than in work.
+SMALL = 200_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's checkpoint folder; set one of our own only where none is set (tests)."""
     sc = spark.sparkContext
@@ -30,7 +35,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One pass over edges (u > v).  large: neighbours above u move to the smallest neighbour of u;
     else the neighbours below u, and u itself, move to the smallest."""
     if large:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -48,6 +53,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     state = _state(edges)
     for _ in range(max_rounds if state[0] else 0):
+        if state[0] <= SMALL:
+            edges = edges.coalesce(1)
         edges = _star(_star(edges, True), False).checkpoint()
         state, last = _state(edges), state
         if state == last:

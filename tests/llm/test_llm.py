@@ -57,7 +57,11 @@ def test_words_are_those_of_the_pattern():
                 assert names.setdefault(low(w), h) == h
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components(spark, monkeypatch, small):
+    from sievelight.llm import components
+
+    monkeypatch.setattr(components, "SMALL", small)
     random.seed(3)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(160)] + [(900, 900 + i) for i in range(1, 60)] + [(2000 + i, 2001 + i) for i in range(30)] + [(5, 5), (1, 2), (1, 2)]
     u = Union()
