@@ -8,8 +8,10 @@ shingle sets.  Verified links are joined by distributed union-find, equal lines
 from the start, and each component keeps its first line by (document id, line number).
 
 Recall: bands of ROWS lanes find a pair of similarity s in one of BANDS bands with probability
-1 - (1 - s^ROWS)^BANDS: 0.996 at the threshold of 0.8, more above it.  Within a band key every line is compared with the
-first and with the last line of the key, so a foreign line that shares the key does not hide a family.
+1 - (1 - s^ROWS)^BANDS: 0.993 at the threshold of 0.8, more above it.  Nothing else is lost: within a band key every line is
+compared with the first and with the last line of the key; where lines of several components are left, those outside the
+largest component are compared with every line of another component (with a few of themselves first, if that makes many
+pairs).  Only pairs that a bound on the sets' difference rules out are spared the verification.
 
 Scale: equal lines meet in a grouped minimum that is combined before the shuffle, so a line that a third of
 all documents hold costs one row per task.  Line texts are never shuffled for signatures; only the
@@ -32,6 +34,10 @@ from .components import connected_components, ensure_checkpoint_dir
 SHINGLE, BANDS, ROWS = 10, 7, 3
 NUM, DEN = 80, 100
 MIN_CHARS = 24
+#: While more than MANY pairs would meet, up to HUB_ROUNDS rounds join lines to HUBS of a band key first.
+MANY, HUB_ROUNDS, HUBS = 100_000_000, 3, 4
+#: 64-bit words of a sketch: bit x of it is set if the set has a shingle whose hash ends in x.
+WORDS = 4
 _SEEDS = [int(x) for x in np.random.default_rng(5).integers(-(2**31), 2**31, BANDS * ROWS)]
 
 
@@ -55,12 +61,48 @@ def _bands(lines: DataFrame) -> DataFrame:
     return lanes.select("key", F.explode(keys).alias("band"))
 
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those (u, v) whose sets (key, s) are similar."""
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b")).cast("long")
+    return both.where((NUM + DEN) * common >= NUM * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def _sketch(s: Column) -> list[Column]:
+    """n and w0, w1, ...: the size of a set and its sketch."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+    word = lambda i: F.aggregate(s, F.lit(0).cast("long"), lambda w, x: F.when(x.bitwiseAND(64 * (WORDS - 1)) == 64 * i, w.bitwiseOR(bit(x))).otherwise(w))
+    return [F.size(s).alias("n"), *[word(i).alias(f"w{i}") for i in range(WORDS)]]
+
+
+def _pending(held: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of held (band, key) in band keys of several components, with label, lead (the largest component's label) and sketch."""
+    component = connected_components(links).select(F.col("vertex").alias("key"), "component")
+    labelled = held.join(component, "key", "left").select("band", "key", F.coalesce("component", "key").alias("label"))
+    sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
+    several = sizes.groupBy("band").agg(F.max(F.struct("size", "label")).alias("lead"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = labelled.join(several.select("band", F.col("lead.label").alias("lead")), "band")
+    sketches = sets.join(held.select("key").distinct(), "key", "left_semi").select("key", *_sketch(F.col("s")))
+    return rows.join(sketches, "key").checkpoint()
+
+
+def _possible(some: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct (u, v) of a line of some and one of rows, of one band key and different labels, that may be similar:
+    linked sets differ by (DEN - NUM) / (NUM + DEN) of their summed sizes at most, hence also their sketches and sizes."""
+    a, b = some.alias("a"), rows.alias("b")
+    bits = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
+    differ = F.greatest(bits, F.abs(F.col("a.n") - F.col("b.n"))).cast("long")
+    close = (NUM + DEN) * differ <= (DEN - NUM) * (F.col("a.n") + F.col("b.n"))
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.label") != F.col("b.label")) & close)
+    return met.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
+
+
 def similar_lines(lines: DataFrame) -> DataFrame:
-    """Verified links (u, v) between different lines."""
+    """Verified links (u, v) between different lines; they join all similar lines that share a band key."""
     bands = _bands(lines).repartition("band")
-    ends = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    near = bands.join(ends.hint("shuffle_hash"), "band")
-    near = near.select("key", F.explode(F.array("low", "high")).alias("other")).where("key != other")
+    ends = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
+    held = bands.join(ends.hint("shuffle_hash"), "band").checkpoint()
+    near = held.select("key", F.explode(F.array("low", "high")).alias("other")).where("key != other")
     pairs = near.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct().checkpoint()
     ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key")))
     keys = ends.distinct()
@@ -69,9 +111,25 @@ def similar_lines(lines: DataFrame) -> DataFrame:
     wanted = lines.select("key", "line").where(bloom.may_hold(F.lit(np.array(filter_.first()["filter"], np.int64)), F.col("key"), words))
     sets = wanted.join(keys, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
     sets = sets.select("key", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("s")).checkpoint()
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b")).cast("long")
-    return both.where((NUM + DEN) * common >= NUM * (F.size("a") + F.size("b"))).select("u", "v")
+    links = _verified(pairs, sets).checkpoint()
+
+    # up to three lines of a band key have all met by now
+    held = held.where("size > 3").select("band", "key")
+    for r in range(HUB_ROUNDS + 1):
+        pending = _pending(held, links, sets)
+        minor = pending.where("label != lead")
+        sizes = pending.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("lead")).alias("m"))
+        to_meet = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+        last = r == HUB_ROUNDS or to_meet <= MANY
+        if not last:
+            row = [F.struct(F.xxhash64("key", F.lit(r * HUBS + t)).alias("x"), *minor.columns) for t in range(HUBS)]
+            hubs = minor.groupBy("band").agg(F.array(*[F.min(x) for x in row]).alias("hubs"))
+            minor = hubs.select(F.explode("hubs").alias("hub")).select(*[f"hub.{c}" for c in minor.columns])
+        if to_meet:
+            links = links.union(_verified(_possible(minor, pending), sets).checkpoint())
+        if last:
+            break
+    return links
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

@@ -349,6 +349,41 @@ def test_line_dedup(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def similar_components(lines):
+    """Lines joined by brute force: shingles as documented, similarity of 0.8."""
+    n = line_dedup.SHINGLE
+    sets = [{t[i : i + n] for i in range(len(t)) if not t[i].isspace() and (i == 0 or t[i - 1].isspace())} for t in lines]
+    union = Union()
+    for i, a in enumerate(sets):
+        union.find(i)
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                union.join(i, j)
+    return [union.find(i) for i in range(len(lines))]
+
+
+def test_families_that_share_a_band_key(spark, monkeypatch):
+    # every line in one bucket: families of near lines, and lines that are like no other
+    monkeypatch.setattr(line_dedup, "_bands", lambda lines: lines.select("key").distinct().withColumn("band", F.lit(1).cast("long")))
+    monkeypatch.setattr(line_dedup, "MANY", 0)
+    monkeypatch.setattr(line_dedup, "HUB_ROUNDS", 1)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    lines = []
+    for size in (1, 1, 2, 2, 3, 4, 5, 9, 9, 12):
+        base = [word() for _ in range(40)]
+        for k in range(size):
+            lines.append(" ".join([*base[:-1], f"end{k}"] if k % 2 else [f"start{k}", *base[1:]]))
+    rng.shuffle(lines)
+    want, seen = [], set()
+    for i, c in enumerate(similar_components(lines)):
+        want += [i] if c in seen else []
+        seen.add(c)
+    assert len(want) == 38
+    rows = line_dedup.line_digest(frame(spark, lines)).collect()
+    assert sorted(r.doc_id for r in rows if r.n_dropped) == want
+
+
 def test_fingerprints(spark):
     texts = ODD + ["abc " * 50, "The quick brown fox jumps over the lazy dog. " * 12]
     rows = sorted(order_minhash.order_minhash_digest(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
