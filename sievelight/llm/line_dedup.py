@@ -1,7 +1,8 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
 A line's features are its character shingles at word starts (SHINGLE characters from each word's
-first, over word borders), so a line of n characters gives as many shingles as it has words.  Signature: for
+first, over word borders); a word longer than that also gives one at each further character, up to the one
+that ends with the word, so every character of a word is in a shingle.  Signature: for
 each of BANDS * ROWS seeds, the least seeded hash of the shingles; ROWS lanes make one band key, and
 lines that share a band key are compared.  Verification is the exact Jaccard similarity of the
 shingle sets.  Verified links are joined by distributed union-find, equal lines being one vertex
@@ -42,8 +43,8 @@ _SEEDS = [int(x) for x in np.random.default_rng(5).integers(-(2**31), 2**31, BAN
 
 
 def shingles(line: Column) -> Column:
-    """Characters from every word's start; an array of strings with repeats."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S++"), F.lit(1))
+    """Characters from every word's start and within long words; an array of strings with repeats."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:\S(?=\S{{{SHINGLE}}})|\S++)"), F.lit(1))
 
 
 def exploded_lines(docs: DataFrame) -> DataFrame:

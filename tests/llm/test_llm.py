@@ -362,6 +362,20 @@ def similar_components(lines):
     return [union.find(i) for i in range(len(lines))]
 
 
+def test_lines_of_long_words(spark):
+    rng = random.Random(9)
+    urls = [f"https://www.{''.join(rng.choice('abcdefghij') for _ in range(20))}.com/{i}" for i in range(4)]
+    unspaced = ["\u4eca\u65e5\u306f\u5929\u6c17\u304c\u3044\u3044\u304b\u3089" + "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(30)) for _ in range(3)]
+    tails = [f"one two {''.join(rng.choice('abcdefghij') for _ in range(40))}" for _ in range(2)]
+    tails = [tails[0], tails[0][:20] + tails[1][20:]]
+    long = "".join(rng.choice("abcdefghij") for _ in range(200))
+    texts = [*urls, *unspaced, *tails, long, long[:-3] + "xyz"]
+    rows = {r.doc_id: r.n_dropped for r in line_dedup.line_digest(frame(spark, texts)).collect()}
+    assert rows == {i: int(i == len(texts) - 1) for i in range(len(texts))}
+    got = spark.createDataFrame([("ab 123456789012 " + "x" * 10 + " y",)], "t string").select(line_dedup.shingles(F.col("t"))).first()[0]
+    assert got == ["ab 1234567", "1234567890", "2345678901", "3456789012", "x" * 10, "y"]
+
+
 def test_families_that_share_a_band_key(spark, monkeypatch):
     # every line in one bucket: families of near lines, and lines that are like no other
     monkeypatch.setattr(line_dedup, "_bands", lambda lines: lines.select("key").distinct().withColumn("band", F.lit(1).cast("long")))
