@@ -4,9 +4,10 @@ A page is parsed into a tree with HTML's implied ends (a block start closes an o
 Regions that are never article text (menus, page headers and footers, sidebars, notices, adverts,
 forms, reader comments, scripts and styles) are cut by tag, role or class name.  Every remaining
 paragraph passes points for its length and commas to its parent, and half of them to its
-grandparent; a container's points are discounted by its link density.  The best container is kept
-with those siblings whose points come near, or that are text paragraphs themselves.  The kept
-subtrees are written as one line per block.
+grandparent; a container's points are discounted by its link density.  If the best container lies
+within an article or main element, all of the nearest one is kept, whatever its blocks' points; else its siblings are,
+but for those that are mostly links.  Siblings of an article or main element are kept if their points come near, or if they
+are text paragraphs themselves.  The kept subtrees are written as one line per block.
 
 Edge cases: null, empty and text-free pages give an empty text; unclosed and stray tags are accepted;
 parsing and scoring take linear time and no recursion, whatever the depth; repeated rows are
@@ -44,8 +45,8 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot div article section body ht
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
-#: A sibling is kept with this share of the best container's points.
-SIBLING_SHARE = 0.2
+#: A sibling of an article is kept with this share of the best container's points, any other below this share of link text.
+SIBLING_SHARE, LINK_SHARE = 0.2, 0.5
 
 
 class Node:
@@ -229,14 +230,24 @@ def main_text(page: str | None) -> str:
         return "\n".join(_lines([nodes[0]]))
     if best.parent is None:
         return "\n".join(_lines([best]))
+    whole = best
+    while whole is not None and whole.tag not in ("article", "main"):
+        whole = whole.parent
+    top = whole or best
     tops = []
-    for child in best.parent.children:
-        if child is best:
+    for child in top.parent.children:
+        if child is top:
             tops.append(child)
-        elif isinstance(child, Node) and not child.cut:
-            near = child.points >= SIBLING_SHARE * best.points
-            prose = child.tag == "p" and child.chars > 80 and child.link_chars < 0.25 * child.chars
-            if near or prose:
+        elif isinstance(child, str):
+            if whole is None:
+                tops.append(child)
+        elif not child.cut:
+            if whole is None:
+                wanted = child.link_chars < LINK_SHARE * max(1, child.chars)
+            else:
+                near = child.points >= SIBLING_SHARE * best.points
+                wanted = near or child.tag == "p" and child.chars > 80 and child.link_chars < 0.25 * child.chars
+            if wanted:
                 tops.append(child)
     return "\n".join(_lines(tops))
 

@@ -298,6 +298,15 @@ def test_main_text(spark):
     assert sorted((r.page_id, r.n_chars) for r in html_extract.extract(pages).collect()) == [(1, len('Title &<\nOne, two three.\nFour © five.'))] * 2 + [(2, 0)]
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_main_text_of_uneven_sections(tag):
+    text = "A sentence of some length, with a comma or two, to count. "
+    long = "<section>" + f"<p>{text * 5}</p>" * 40 + "</section>"
+    tail = "<section><h2>Short</h2><p>Only a short paragraph here.</p></section><ul><li>item</li></ul><table><tr><td>cell</td></tr></table>bare text"
+    page = f"<body><nav><a href=/>Home</a></nav><{tag}><h1>Title</h1>{long}<div class=ad>Buy</div>{tail}</{tag}><footer>end</footer></body>"
+    assert html_extract.main_text(page).split("\n") == ["Title", *[(text * 5).strip()] * 40, "Short", "Only a short paragraph here.", "item", "cell", "bare text"]
+
+
 # --- packing, lines, fingerprints ------------------------------------------------------------------
 
 
