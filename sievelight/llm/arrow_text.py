@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Rows in one Arrow batch handed to Python; long documents keep a batch at tens of MB.
+#: Rows of a batch that are worked on at once.
 ARROW_ROWS = 512
 #: Bytes tokenised at once; keeps the working arrays of a task at about 60 MB.
 CHUNK_BYTES = 1 << 20
@@ -30,9 +30,12 @@ ALNUM = np.ones(256, dtype=bool)
 ALNUM[0x00:0x30] = ALNUM[0x3A:0x41] = ALNUM[0x5B:0x61] = ALNUM[0x7B:0x80] = False
 
 
-def set_batches(spark) -> None:
-    """Bound the rows of the Arrow batches that Python functions of this session receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def pieces(batches, rows: int = ARROW_ROWS):
+    """Record batches cut to at most `rows` rows, without a copy; Spark bounds the bytes of a batch (64 MiB unless set
+    otherwise), so a long document makes its batch short."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,12 +48,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; nulls are empty texts."""
+    """(bytes, offsets) of a string or binary column; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null("" if pa.types.is_string(column.type) else b"")
+    column = column.cast(pa.large_string() if pa.types.is_string(column.type) else pa.large_binary())
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -1,66 +1,52 @@
-"""Connected components of an edge table, by alternating large-star and small-star passes.
+"""Connected components of an edge table, by rounds of contraction.
 
-Every pass is a grouped minimum (combined before the shuffle) and an equi-join whose large side AQE
-can split, so a vertex with a third of all edges does not bind one task.  Lineage is cut with
-checkpoint() into the folder of spark.checkpoint.dir."""
+In a round every vertex is given to the least vertex of its closed neighbourhood, and each edge then joins the
+two new owners; edges within an owner vanish.  Stars vanish in one round.  The first rounds take the vertices' own order,
+so that a hub that is the least of its neighbours takes them all; later ones take a seeded order of hashes, in which
+each round is expected to remove a constant share of the vertices of any graph, chains too.  The owners of the rounds are composed
+from the last to the first.
 
-from __future__ import annotations
+A round is a grouped minimum (combined before the shuffle) and two equi-joins whose large side AQE can split, so a vertex
+with a third of all edges does not bind one task.  Edges and owners are written tables; a round's edges are deleted when
+the next one's are written."""
 
-import tempfile
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 
-#: Up to so many edges (a few MB) a pass runs in one task without a shuffle: passes over few edges cost more
-#: in files and scheduling than in work.
-SMALL = 200_000
-
+#: Rounds in the vertices' own order before seeded orders.
+OWN_ORDER = 2
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's checkpoint folder; set one of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievelight-checkpoint-"))
 
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("s"), F.sum(F.hash("v", "u").cast("decimal(20,0)")).alias("t")).first()
-    return tuple(row)
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One pass over edges (u > v).  large: neighbours above u move to the smallest neighbour of u;
-    else the neighbours below u, and u itself, move to the smallest."""
-    if large:
-        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-    return out.where("u != v").distinct()
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(u, v) of any comparable type -> (vertex, component), component being the least vertex.
+def connected_components(edges: DataFrame, tables: Scratch, max_rounds: int = 200) -> DataFrame:
+    """(u, v) of any comparable type -> (vertex, component), component being one vertex of it.
 
     Vertices without an edge do not appear; loops, repeated edges and nulls are ignored.  An empty
-    edge table gives an empty result.  Raises if the passes have not converged after max_rounds."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    edges = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
-    state = _state(edges)
-    for _ in range(max_rounds if state[0] else 0):
-        if state[0] <= SMALL:
-            edges = edges.coalesce(1)
-        edges = _star(_star(edges, True), False).checkpoint()
-        state, last = _state(edges), state
-        if state == last:
+    edge table gives an empty result.  Raises if edges are left after max_rounds."""
+    edges = tables.keep(edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    owners = []
+    for r in range(max_rounds):
+        if owners and edges.isEmpty():
             break
+        rank = (lambda x: F.struct(x)) if r < OWN_ORDER else (lambda x: F.struct(F.xxhash64(x, F.lit(r)), x))  # noqa: B023
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        near = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("m"))
+        least = F.when(rank(F.col("u")) < F.col("m"), F.col("u")).otherwise(F.col("m.v"))
+        owner = tables.keep(near.select(F.col("u").alias("vertex"), least.alias("owner")))
+        owners.append(owner)
+        of = lambda name: owner.select(F.col("vertex").alias(name), F.col("owner").alias(f"{name}_owner"))  # noqa: B023, E731
+        moved = edges.join(of("u"), "u").join(of("v"), "v").where("u_owner != v_owner")
+        done, edges = edges, tables.keep(moved.select(F.greatest("u_owner", "v_owner").alias("u"), F.least("u_owner", "v_owner").alias("v")).distinct())
+        tables.drop(done)
     else:
-        if state[0]:
-            raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    # every remaining edge leads from a vertex to the least vertex of its component
-    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+        raise RuntimeError(f"components: edges are left after {max_rounds} rounds")
+    out = owners[-1].select("vertex", F.col("owner").alias("component"))
+    for owner in reversed(owners[:-1]):
+        later = out.select(F.col("vertex").alias("owner"), "component")
+        out = owner.join(later, "owner", "left").select("vertex", F.coalesce("component", "owner").alias("component"))
+    out = tables.keep(out) if len(owners) > 1 else out
+    tables.release(edges, *(owners if len(owners) > 1 else []))
+    return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import ALNUM, chunks, set_batches, utf8, words
+from .arrow_text import ALNUM, chunks, pieces, utf8, words
 
 WIDTH = 10
 BLOCK_WORDS = 1_000_000
@@ -96,7 +96,7 @@ def count_terms(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
 
     def run(batches):
         known, total = Lookup(vocabulary), np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             data, offsets = utf8(batch.column(0))
             for i, j in chunks(offsets):
                 hashes, _, _, _ = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
@@ -155,7 +155,6 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     The benchmark is read in blocks; the ranges and items of several blocks are merged per document
     within the same scan."""
-    set_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     blocks, rows, size = [], [], 0
@@ -191,7 +190,7 @@ def _search_block(part: DataFrame, index: Index, windows: Windows, kind: str, fi
     def run(batches):
         lookup = Lookup(index.anchor_hashes)
         ranges_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in pieces(batches):
             data, offsets = utf8(batch.column(1))
             n = batch.num_rows
             count = np.zeros(n, np.int64)
@@ -225,7 +224,6 @@ def _search_block(part: DataFrame, index: Index, windows: Windows, kind: str, fi
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 40, terms: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item, start): places where the item's `terms` rarest terms all stand within `within`
     words of its rarest, in any order.  The benchmark is one block here; larger ones raise."""
-    set_batches(docs.sparkSession)
     rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").limit(BLOCK_WORDS).toLocalIterator()]
     if sum(len(t or "") for _, t in rows) > 8 * BLOCK_WORDS:
         raise ValueError("split the benchmark: proximity search takes one block")
@@ -243,7 +241,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 40, t
 
     def run(batches):
         known = Lookup(vocabulary)
-        for batch in batches:
+        for batch in pieces(batches):
             data, offsets = utf8(batch.column(1))
             ids, out = batch.column(0).to_pylist(), ([], [], [])
             for i, j in chunks(offsets):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import set_batches
+from .arrow_text import pieces
 
 # Element and name lists.
 RAW = frozenset("script style noscript template textarea iframe svg math object title select xmp noembed noframes".split())
@@ -254,12 +254,11 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) per page."""
-    set_batches(pages.sparkSession)
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = [narrow.schema[c].dataType.simpleString() for c in ("page_id", "url")]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

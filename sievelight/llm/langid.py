@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import chunks, set_batches, utf8
+from .arrow_text import chunks, pieces, utf8
 
 TRAIN_PER_LANGUAGE = 1500
 BUCKETS = 1 << 16
@@ -141,7 +141,6 @@ def decode(model: Model, sums: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """labelled: doc_id, text, lang.  Null texts and languages are left out."""
     spark = labelled.sparkSession
-    set_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id").alias("h"))
     sizes = {r["lang"]: r["n"] for r in labelled.where("text is not null and lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -156,7 +155,7 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", F.xxhash64("text")))).where(F.col("r") <= per_language)
 
     def count(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             langs = np.array(batch.column(0).to_pylist(), object)
             data, offsets = utf8(batch.column(1))
             total: dict[str, np.ndarray] = {}
@@ -179,14 +178,13 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
 
 def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """id_cols plus lang_pred, score, ambiguous; only the text decides."""
-    set_batches(docs.sparkSession)
     narrow = docs.select(*id_cols, F.col(text_col).alias("__text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
     schema = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in id_cols)
     k = len(id_cols)
 
     def run(batches):
         names = np.array([*model.languages, "und"], object)
-        for batch in batches:
+        for batch in pieces(batches):
             data, offsets = utf8(batch.column(k))
             n = batch.num_rows
             sums, size = np.zeros((n, model.weights.shape[1])), np.zeros(n, np.int64)

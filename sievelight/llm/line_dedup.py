@@ -1,26 +1,26 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
-A line's features are its character shingles at word starts (SHINGLE characters from each word's
-first, over word borders); a word longer than that also gives one at each further character, up to the one
-that ends with the word, so every character of a word is in a shingle.  Signature: for
-each of BANDS * ROWS seeds, the least seeded hash of the shingles; ROWS lanes make one band key, and
-lines that share a band key are compared.  Verification is the exact Jaccard similarity of the
-shingle sets.  Verified links are joined by distributed union-find, equal lines being one vertex
+Two lines are similar if the Jaccard similarity of their character shingles (all runs of SHINGLE characters; a shorter line
+is one shingle) is 0.8 or more.
+
+Signature: for each of BANDS * ROWS seeds, the least seeded hash of the shingles at anchors: those that begin a word,
+and in words longer than a shingle those at each further character up to the one that ends with the word, so that unspaced
+scripts, URLs and encoded data are covered character by character.  An edit changes both kinds of shingles in like proportion, and
+anchors are a sixth of all positions.  ROWS lanes make one band key.  Candidates are the lines of a band key; what links is
+decided on all shingles, exactly, as strings.  Links are joined by distributed contraction, equal lines being one vertex
 from the start, and each component keeps its first line by (document id, line number).
 
-Recall: bands of ROWS lanes find a pair of similarity s in one of BANDS bands with probability
-1 - (1 - s^ROWS)^BANDS: 0.993 at the threshold of 0.8, more above it.  Nothing else is lost: within a band key every line is
-compared with the first and with the last line of the key; where lines of several components are left, those outside the
-largest component are compared with every line of another component (with a few of themselves first, if that makes many
-pairs).  Only pairs that a bound on the sets' difference rules out are spared the verification.
+Recall: bands of ROWS lanes find a pair whose anchored shingles have similarity s with probability 1 - (1 - s^ROWS)^BANDS: 0.993 at
+0.8, 0.95 at 0.7.  Nothing else is lost (see families): pairs of a band key are verified, of one component already, or ruled out by a
+bound on the symmetric difference of their shingle sets.  tests/llm measure recall against all pairs.
 
 Scale: equal lines meet in a grouped minimum that is combined before the shuffle, so a line that a third of
 all documents hold costs one row per task.  Line texts are never shuffled for signatures; only the
 lines that share a band key are fetched again for verification, by a Bloom filter of fixed size and an exact join.
 
-Edge cases: null and empty texts have no lines to drop; lines shorter than MIN_CHARS (after trimming) always
-stay, as they are no passage; a document whose lines are all dropped keeps nothing; rows that
-share both id and text are one document; null ids come first.
+Edge cases: null and empty texts have no lines to drop; lines shorter than min_chars (after trimming; MIN_CHARS unless
+given, 1 takes every line that is not blank) always stay, as they are no passage; a document whose lines are all dropped
+keeps nothing; rows that share both id and text are one document; null ids come first; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,131 +30,109 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .components import connected_components, ensure_checkpoint_dir
+from .families import bucket_members, families, meet
+from .scratch import Scratch
 
 SHINGLE, BANDS, ROWS = 10, 7, 3
 NUM, DEN = 80, 100
 MIN_CHARS = 24
-#: While more than MANY pairs would meet, up to HUB_ROUNDS rounds join lines to HUBS of a band key first.
-MANY, HUB_ROUNDS, HUBS = 100_000_000, 3, 4
 #: 64-bit words of a sketch: bit x of it is set if the set has a shingle whose hash ends in x.
-WORDS = 4
+WORDS = 8
 _SEEDS = [int(x) for x in np.random.default_rng(5).integers(-(2**31), 2**31, BANDS * ROWS)]
 
 
-def shingles(line: Column) -> Column:
-    """Characters from every word's start and within long words; an array of strings with repeats."""
+def anchored(line: Column) -> Column:
+    """Shingles at words' starts and within long words; an array of strings with repeats."""
     return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:\S(?=\S{{{SHINGLE}}})|\S++)"), F.lit(1))
 
 
-def exploded_lines(docs: DataFrame) -> DataFrame:
-    """(id, h, no, line, key): lines of MIN_CHARS or more; docs has id and text; h tells texts of one id apart."""
+def shingles(line: Column) -> Column:
+    """All shingles of a line, with repeats."""
+    return F.when(F.length(line) > SHINGLE, F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))).otherwise(F.array(line))
+
+
+def exploded_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(id, h, no, line, key): lines of min_chars or more; docs has id and text; h tells texts of one id apart."""
     rows = docs.select("id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    rows = rows.select("id", "h", "no", F.trim("line").alias("line")).where(F.length("line") >= MIN_CHARS)
+    rows = rows.select("id", "h", "no", F.trim("line").alias("line")).where(F.length("line") >= max(1, min_chars))
     return rows.withColumn("key", F.xxhash64("line", F.length("line")))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    """(band, key): the band keys of every distinct line."""
-    shingled = lines.select("key", F.explode(shingles(F.col("line"))).alias("s")).select("key", F.hash("s").alias("x"))
+    """(key, band): the band keys of every distinct line."""
+    shingled = lines.select("key", F.explode(anchored(F.col("line"))).alias("s")).select("key", F.hash("s").alias("x"))
     lanes = shingled.groupBy("key").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(seed))).alias(f"m{i}") for i, seed in enumerate(_SEEDS)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return lanes.select("key", F.explode(keys).alias("band"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (u, v) whose sets (key, s) are similar."""
-    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b")).cast("long")
-    return both.where((NUM + DEN) * common >= NUM * (F.size("a") + F.size("b"))).select("u", "v")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those (u, v) whose lines are similar: by the sizes of their sets first, then exactly."""
+    met = meet(pairs, texts, F.struct("n", "line"))
+    near = met.where(NUM * F.greatest("a.n", "b.n") <= DEN * F.least("a.n", "b.n"))
+    common = F.size(F.array_intersect(shingles(F.col("a.line")), shingles(F.col("b.line")))).cast("long")
+    return near.where((NUM + DEN) * common >= NUM * (F.col("a.n") + F.col("b.n"))).select("u", "v")
 
 
-def _sketch(s: Column) -> list[Column]:
-    """n and w0, w1, ...: the size of a set and its sketch."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-    word = lambda i: F.aggregate(s, F.lit(0).cast("long"), lambda w, x: F.when(x.bitwiseAND(64 * (WORDS - 1)) == 64 * i, w.bitwiseOR(bit(x))).otherwise(w))
-    return [F.size(s).alias("n"), *[word(i).alias(f"w{i}") for i in range(WORDS)]]
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(key, n, w0, w1, ...): the size of every line's set and its sketch."""
+    spot = texts.select("key", "n", F.explode(shingles(F.col("line"))).alias("s")).select("key", "n", F.xxhash64("s").bitwiseAND(64 * WORDS - 1).cast("int").alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x") % 64)
+    words = [F.coalesce(F.bit_or(F.when((F.col("x") / 64).cast("int") == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
+    return spot.groupBy("key").agg(F.max("n").alias("n"), *words)
 
 
-def _pending(held: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of held (band, key) in band keys of several components, with label, lead (the largest component's label) and sketch."""
-    component = connected_components(links).select(F.col("vertex").alias("key"), "component")
-    labelled = held.join(component, "key", "left").select("band", "key", F.coalesce("component", "key").alias("label"))
-    sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
-    several = sizes.groupBy("band").agg(F.max(F.struct("size", "label")).alias("lead"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    rows = labelled.join(several.select("band", F.col("lead.label").alias("lead")), "band")
-    sketches = sets.join(held.select("key").distinct(), "key", "left_semi").select("key", *_sketch(F.col("s")))
-    return rows.join(sketches, "key").checkpoint()
-
-
-def _possible(some: DataFrame, rows: DataFrame) -> DataFrame:
-    """Distinct (u, v) of a line of some and one of rows, of one band key and different labels, that may be similar:
+def _possible(pending: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (u, v) of a line outside its band's most frequent label and one of another label, that may be similar:
     linked sets differ by (DEN - NUM) / (NUM + DEN) of their summed sizes at most, hence also their sketches and sizes."""
-    a, b = some.alias("a"), rows.alias("b")
+    rows = pending.join(_sketches(texts.join(pending.select("key").distinct(), "key", "left_semi")), "key")
+    a, b = rows.where("label != lead").alias("a"), rows.alias("b")
     bits = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
     differ = F.greatest(bits, F.abs(F.col("a.n") - F.col("b.n"))).cast("long")
     close = (NUM + DEN) * differ <= (DEN - NUM) * (F.col("a.n") + F.col("b.n"))
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.label") != F.col("b.label")) & close)
+    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & close)
     return met.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
 
 
-def similar_lines(lines: DataFrame) -> DataFrame:
-    """Verified links (u, v) between different lines; they join all similar lines that share a band key."""
-    bands = _bands(lines).repartition("band")
-    ends = bands.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
-    held = bands.join(ends.hint("shuffle_hash"), "band").checkpoint()
-    near = held.select("key", F.explode(F.array("low", "high")).alias("other")).where("key != other")
-    pairs = near.select(F.greatest("key", "other").alias("u"), F.least("key", "other").alias("v")).distinct().checkpoint()
-    ends = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key")))
-    keys = ends.distinct()
-    words = bloom.words_for(pairs.count() * 2)
+def line_components(lines: DataFrame, tables: Scratch) -> DataFrame:
+    """(vertex, component): keys of lines that are similar to another one, directly or through others."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = tables.keep(bucket_members(_bands(lines), "band"))
+    tables.release()
+    keys = tables.keep(members.select("key").distinct())
+    n = keys.count()
+    words = bloom.words_for(n)
     filter_ = bloom.build(keys, "key", words)
     wanted = lines.select("key", "line").where(bloom.may_hold(F.lit(np.array(filter_.first()["filter"], np.int64)), F.col("key"), words))
-    sets = wanted.join(keys, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
-    sets = sets.select("key", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("s")).checkpoint()
-    links = _verified(pairs, sets).checkpoint()
-
-    # up to three lines of a band key have all met by now
-    held = held.where("size > 3").select("band", "key")
-    for r in range(HUB_ROUNDS + 1):
-        pending = _pending(held, links, sets)
-        minor = pending.where("label != lead")
-        sizes = pending.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != F.col("lead")).alias("m"))
-        to_meet = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
-        last = r == HUB_ROUNDS or to_meet <= MANY
-        if not last:
-            row = [F.struct(F.xxhash64("key", F.lit(r * HUBS + t)).alias("x"), *minor.columns) for t in range(HUBS)]
-            hubs = minor.groupBy("band").agg(F.array(*[F.min(x) for x in row]).alias("hubs"))
-            minor = hubs.select(F.explode("hubs").alias("hub")).select(*[f"hub.{c}" for c in minor.columns])
-        if to_meet:
-            links = links.union(_verified(_possible(minor, pending), sets).checkpoint())
-        if last:
-            break
-    return links
-
-
-def dropped_lines(docs: DataFrame) -> DataFrame:
+    wanted = wanted.join(keys, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
+    texts = tables.keep_dealt(wanted.select("key", "line", F.size(F.array_distinct(shingles(F.col("line")))).cast("long").alias("n")), "key", parts)
+    labels = families(members, lambda pairs: tables.keep(_verified(pairs, texts)), lambda pending: _possible(pending, texts), n, tables)
+    tables.release(members, keys, texts)
+    return labels
+
+
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, h, drop array<int>): line numbers, from 0, of the lines that documents (id, text) lose."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    lines = exploded_lines(docs)
-    component = connected_components(similar_lines(lines))
+    tables = Scratch(docs.sparkSession)
+    lines = exploded_lines(docs, min_chars)
+    component = line_components(lines, tables)
     # the first occurrence of every distinct line, and how often it occurs
     seen = lines.groupBy("key").agg(F.min(F.struct("id", "no", "h")).alias("first"), F.count(F.lit(1)).alias("n"))
     joined = seen.join(component.select(F.col("vertex").alias("key"), "component"), "key", "left").where("n > 1 or component is not null")
     groups = joined.withColumn("component", F.coalesce("component", "key"))
     keeper = groups.groupBy("component").agg(F.min("first").alias("kept"))
     # kept as a table, so that the join below stands alone and its hot lines can be split
-    repeated = groups.select("key", "component").join(keeper, "component").select("key", "kept").checkpoint()
+    repeated = tables.keep(groups.select("key", "component").join(keeper, "component").select("key", "kept"))
     lost = lines.select("id", "h", "no", "key").join(repeated, "key").where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("no") == F.col("kept.no")) & (F.col("h") == F.col("kept.h"))))
     return lost.groupBy("id", "h").agg(F.array_sort(F.collect_set("no")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text cut to its kept lines, plus n_lines and n_dropped (bigint).
 
     A text without dropped lines is returned unchanged."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    drops = dropped_lines(base).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("drop").alias("__drop"))
+    drops = dropped_lines(base, min_chars).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("drop").alias("__drop"))
     joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left")
     parts = F.split(F.col(text_col), "\n")
     # array positions of kept lines, without a search per line: dropped ones become null

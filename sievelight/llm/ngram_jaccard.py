@@ -11,12 +11,13 @@ touches one block, so linked points agree in all coordinates of more than SPARE
 coordinates of one block name a tile, and every link lies in some tile.  Tiles of empty blocks are
 not needed (and not made) for points with at most SPARE empty blocks.  Nothing is dropped, whatever a tile's size.
 
-Links (per tile).  Equal sets are one point from the start.  Rounds of hubs come first: every point
-is verified against one hub of its tiles, then points outside a tile's largest component against a few
-of that component's members, which joins families along stars instead of all pairs.  For tiles that still hold several components, the points of a tile (split into chunk pairs when there are many) are
-bulk-loaded into an R-tree by sort-tile-recursion; the descent keeps node pairs whose summed
-coordinate minima still allow a link, and only leaf pairs of different components are verified on
-the exact sets.  Verified links are joined by distributed union-find.
+Links (per tile).  Equal sets are one point from the start, and tiles with the same members are one tile.  Every
+member of a tile is verified against the tile's least member, which joins families along stars instead of all pairs
+and settles tiles of two.  While the tiles that still hold several components have very many pairs, rounds of further hubs
+follow.  Then the points of such a tile (split into chunk pairs when there are many) are bulk-loaded into an R-tree by
+sort-tile-recursion; the descent keeps node pairs whose summed coordinate minima still allow a link, and only
+leaf pairs of different components are verified on the exact sets (64-bit shingle hashes).  Verified links are joined by
+distributed contraction.
 
 Edge cases: null and empty texts, and texts without a word, have no shingle, link with nothing and are their
 own component; a text of fewer words than a shingle is one shingle; repeated rows (same id or not)
@@ -30,17 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import NOT_SPACE, chunks, mix, sequence_hash, set_batches, utf8, words
-from .components import connected_components, ensure_checkpoint_dir
+from .arrow_text import NOT_SPACE, chunks, mix, pieces, sequence_hash, utf8, words
+from .families import bucket_members, families, meet
+from .scratch import Scratch
 
 #: Size classes grow by this factor; blocks beyond the pigeonhole's need; groups within a block.
 CLASS_RATIO, SPARE, BLOCK_GROUPS = 1.25, 2, 1 << 20
 #: Coordinates of the points in the trees of tiles, entries per node, points per chunk.
 TREE_GROUPS, NODE, CHUNK = 256, 16, 2048
-HUB_ROUNDS, HUBS = 3, 1
-#: Bytes of a shingle hash that verification compares: two sets of 600 shingles share a false one in three
-#: million pairs, which matters only if they are one shingle short of a link.
-SET_BYTES = 5
+#: Sets whose tiles a task remembers.
+SEEN = 100_000
 #: Bits of the filter that spares documents outside all tiles the second reading: 1 MiB.
 MEMBER_BITS = 23
 
@@ -62,17 +62,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The top SET_BYTES bytes of every hash of a sorted set, which keep its order."""
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
-    return out.reshape(-1).view(">u8").astype(np.uint64)
-
-
 def set_key(s: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     with np.errstate(over="ignore"):
@@ -205,21 +194,23 @@ def _batch(columns: list, lists: list[np.ndarray], names: list[str]) -> pa.Recor
     return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
 
 
-def describe(docs: DataFrame, width: int, classes: Classes | None) -> DataFrame:
-    """(id, h, n, key, tiles) per row of (id, h, text); no tiles without classes.  A task lists the tiles of a set once, so copies
-    do not multiply them."""
+def describe(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
+    """(id, h, n, key, tiles) per row of (id, h, text).  A task lists the tiles of a set once in so many sets, so copies
+    hardly multiply them."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         seen: set[int] = set()
         nothing = np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             sets = shingle_sets(*utf8(batch.column(2)), width)
             keys = [set_key(s) if len(s) else None for s in sets]
             names = []
             for s, key in zip(sets, keys):
-                names.append(nothing if classes is None or key is None or key in seen else tiles(s, classes))
+                names.append(nothing if key is None or key in seen else tiles(s, classes))
                 seen.add(key)
+            if len(seen) > SEEN:
+                seen.clear()
             yield _batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names, ["id", "h", "n", "key", "tiles"])
 
     return docs.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, n long, key long, tiles array<long>")
@@ -227,7 +218,7 @@ def describe(docs: DataFrame, width: int, classes: Classes | None) -> DataFrame:
 
 def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(key, shingles, point) of documents (h, text) whose h may be in members; a bit filter of fixed size
-    spares most others the shingling.  A task gives a set once."""
+    spares most others the shingling."""
     spot = F.pmod(F.xxhash64("h"), F.lit(1 << MEMBER_BITS))
     marks = members.select(spot.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("m"))
     table = np.zeros(1 << (MEMBER_BITS - 6), np.int64)
@@ -237,7 +228,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             keep = np.flatnonzero(bits[batch.column(0).to_numpy(zero_copy_only=False)])
             if not len(keep):
                 continue
@@ -246,128 +237,98 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 if len(s) and (key := set_key(s)) not in seen:
                     seen.add(key)
                     new[key] = s
+            if len(seen) > SEEN:
+                seen.clear()
             if new:
-                columns = [pa.array(list(new), pa.int64()), pa.array([packed(s) for s in new.values()], pa.binary()), pa.array([point(s).tobytes() for s in new.values()], pa.binary())]
+                columns = [pa.array(list(new), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in new.values()], pa.binary()), pa.array([point(s).tobytes() for s in new.values()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "shingles", "point"])
 
     return docs.select(spot.alias("b"), "text").mapInArrow(run, "key long, shingles binary, point binary")
 
 
-def _kept_dealt(df: DataFrame) -> DataFrame:
-    """df as a checkpoint that is known to be partitioned as df is: only a plan that cannot change while
-    it runs says so, hence without adaptive execution for this one job."""
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint()
-    finally:
-        conf.set("spark.sql.adaptive.enabled", before)
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    data, offsets = utf8(column)
+    return [data[i:j].view("<u8") for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def _possible(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Those (u, v) whose summed coordinate minima allow a link."""
+def _points(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, TREE_GROUPS)
 
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, TREE_GROUPS) for i in (2, 3))
-            keep = (num + den) * np.minimum(a, b).sum(1, dtype=np.int64) >= num * (a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64))
-            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    a, b = points.toDF("u", "a"), points.toDF("v", "b")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, tables: Scratch) -> DataFrame:
+    """Those (u, v) whose sets link: by summed coordinate minima first, then exactly."""
 
+    def possible(a, b):
+        a, b = _points(a), _points(b)
+        return (num + den) * np.minimum(a, b).sum(1, dtype=np.int64) >= num * (a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64))
 
-def _verify(pairs: DataFrame, sets: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
-    """Those (u, v) whose sets link: by the bound first, then exactly."""
+    def links(a, b):
+        keep = []
+        for x, y in zip(_sets(a), _sets(b)):
+            at = np.searchsorted(y, x)
+            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            keep.append((num + den) * common >= num * (len(x) + len(y)))
+        return keep
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                n, m = len(x) // SET_BYTES, len(y) // SET_BYTES
-                common = len(np.intersect1d(unpacked(x), unpacked(y)))
-                keep.append((num + den) * common >= num * (n + m))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def passing(pairs, payload, allow):
+        def run(batches):
+            for batch in pieces(batches):
+                yield batch.select([0, 1]).filter(pa.array(allow(batch.column(2), batch.column(3)), pa.bool_()))
+
+        return tables.keep(meet(pairs, sets, payload).mapInArrow(run, "u long, v long"))
 
-    a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
-    return _possible(pairs, points, num, den).join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    near = passing(pairs, "point", possible)
+    found = passing(near, "shingles", links)
+    tables.release(near)
+    return found
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, key, component_key) per row: rows of one component_key are linked, directly or
     through others, by den * overlap >= num * union of their sets.  Empty sets have null keys."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    set_batches(spark)
-    classes = Classes(num, den)
+    tables = Scratch(spark)
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # tiles are needed once and are the bulk of a description: they are not kept for the last join
-    tile_rows = describe(narrow, width, classes).select("key", F.explode("tiles").alias("tile")).repartition("tile")
-    described = describe(narrow, width, None).select("id", "h", "n", "key").checkpoint()
-
-    # one shuffle by tile serves both the tiles' statistics and the search for their members
-    shared = tile_rows.groupBy("tile").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub != last").select("tile", "hub")
-    held = tile_rows.join(shared.hint("shuffle_hash"), "tile").distinct().checkpoint()
-    keys = held.select("key").distinct().checkpoint()
-    members = described.where("key is not null").groupBy("key").agg(F.min("h").alias("h")).join(keys, "key")
-    # dealt by key once and kept so: the joins that verify pairs move pairs to the sets
-    dealt = _member_sets(narrow, members, width).repartition(parts, "key")
-    sets = _kept_dealt(dealt.join(keys.repartition(parts, "key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles", "point"))
-    points, sets = sets.select("key", "point"), sets.select("key", "shingles")
-
-    star = held.where("key != hub").groupBy("key").agg(F.min("hub").alias("hub")).select(F.col("key").alias("u"), F.col("hub").alias("v"))
-    links = labels = pending = None
-    for r in range(HUB_ROUNDS):
-        found = _verify(star, sets, points, num, den)
-        links = (found if links is None else links.union(found)).checkpoint()
-        labels = connected_components(links)
-        sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        named = labels.join(sizes, "component").select(F.col("vertex").alias("key"), "component", "size")
-        labelled = held.select("tile", "key").join(named, "key", "left").select("tile", "key", F.coalesce("component", "key").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-        # a tile of one component is done; in others, members of its largest component are the next hubs
-        lead = lambda t: F.max(F.struct("size", F.xxhash64("key", F.lit(r * HUBS + t)).alias("x"), "key", "label"))  # noqa: B023, E731
-        stats = labelled.groupBy("tile").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.array(*[lead(t) for t in range(HUBS)]).alias("leads")).where("a != b").select("tile", "leads")
-        pending = labelled.join(stats, "tile").checkpoint()
-        if pending.isEmpty():
-            break
-        tried = pending.select("key", "label", F.posexplode("leads").alias("t", "lead")).where("label != lead.label")
-        chosen = tried.groupBy("key", "t").agg(F.min(F.struct(F.xxhash64("lead.key", "t").alias("x"), F.col("lead.key").alias("hub"))).alias("m"))
-        star = chosen.select(F.greatest("key", "m.hub").alias("u"), F.least("key", "m.hub").alias("v")).distinct()
-    if not pending.isEmpty():
-        found = _verify(_tree_pairs(pending, points, num, den), sets, points, num, den)
-        labels = connected_components(links.union(found))
-    return described.join(labels.select(F.col("vertex").alias("key"), "component"), "key", "left").select("id", F.col("n").alias("n_shingles"), "key", F.coalesce("component", "key").alias("component_key"))
-
-
-def _tree_pairs(pending: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    described = tables.keep(describe(narrow, width, Classes(num, den)))
+    members = tables.keep(bucket_members(described.where(F.size("tiles") > 0).select(F.explode("tiles").alias("tile"), "key"), "tile"))
+    # from here on a document is its id and key: the tiles of all documents are not kept
+    rows = tables.keep(described.select("id", "h", "n", "key"))
+    tables.release(described)
+
+    keys = tables.keep(members.select("key").distinct())
+    texts = tables.keep(rows.where("key is not null").groupBy("key").agg(F.min("h").alias("h")).join(keys, "key"))
+    sets = tables.keep_dealt(_member_sets(narrow, texts, width).join(keys, "key", "left_semi").dropDuplicates(["key"]), "key", parts)
+    tables.release(texts)
+    labels = families(members, lambda pairs: _verify(pairs, sets, num, den, tables), lambda pending: _tree_pairs(pending, sets, num, den), keys.count(), tables)
+    tables.release(members, keys, sets)
+    return rows.join(labels.select(F.col("vertex").alias("key"), "component"), "key", "left").select("id", F.col("n").alias("n_shingles"), "key", F.coalesce("component", "key").alias("component_key"))
+
+
+def _tree_pairs(pending: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct (u, v) of different labels that some tile's tree cannot rule out.
 
     A tile of at most one leaf has no inner node to descend: its pairs go to the bound as they are."""
-    sized = pending.select("tile", "key", "label").join(pending.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile")
-    leaf = sized.where(F.col("size") <= NODE).groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("key", "label"))).alias("m"))
+    leaf = pending.where(F.col("size") <= NODE).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "label"))).alias("m"))
     later = lambda x, i: F.transform(F.filter(F.slice(F.col("m"), i + 2, F.lit(NODE)), lambda y: y["label"] != x["label"]), lambda y: F.struct(y["key"].alias("u"), x["key"].alias("v")))
     small = leaf.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.u", "p.v")
 
-    rows = sized.where(F.col("size") > NODE).withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    rows = pending.where(F.col("size") > NODE).withColumn("parts", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # a chunk meets every chunk: pair (i, j) with i <= j
-    paired = rows.select("key", "label", "tile", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    paired = paired.select("key", "label", "tile", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    paired = rows.select("key", "label", "bucket", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    paired = paired.select("key", "label", "bucket", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
     def search(group: pa.Table) -> pa.Table:
         part = group["part"].to_numpy()
         order = np.argsort(part, kind="stable")
         keys, label = group["key"].to_numpy()[order], group["label"].to_numpy()[order]
-        at = np.frombuffer(b"".join(group["point"].to_pylist()), "<u2").reshape(-1, TREE_GROUPS)[order].astype(np.int32)
+        at = _points(group["point"])[order].astype(np.int32)
         one = group["i"][0].as_py() == group["j"][0].as_py()
         pairs = link_pairs(at, num, den, label, None if one else int((part == part.min()).sum()))
         u, v = keys[pairs[:, 0]], keys[pairs[:, 1]]
         return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
 
-    large = paired.join(points, "key").groupBy("tile", "i", "j").applyInArrow(search, "u long, v long")
+    large = paired.join(sets.select("key", "point"), "key").groupBy("bucket", "i", "j").applyInArrow(search, "u long, v long")
     return small.union(large).distinct()
 
 

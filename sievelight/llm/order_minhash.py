@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import mix, set_batches
+from .arrow_text import mix, pieces
 
 K, SLOTS, TUPLE = 12, 64, 2
 #: Candidates kept per slot before sorting; slots left short fall back to all k-mers.
@@ -125,12 +125,11 @@ def spell(a: np.ndarray) -> str:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, fingerprint) per row, without a shuffle."""
-    set_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([spell(fingerprint(t)) for t in texts])], ["id", "n_chars", "fingerprint"])
 
@@ -151,7 +150,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     least, last = stats["least"], len(bounds)
 
     def deal(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             own = np.searchsorted(bounds, ids, "right")
             table = pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.zeros(len(ids), np.int32)), *batch.columns], ["range", "tail", "id", "none", "text"])
@@ -168,12 +167,11 @@ def with_successor(docs: DataFrame) -> DataFrame:
 
 def order_minhash_digest(docs: DataFrame) -> DataFrame:
     """The op10 query's rows."""
-    set_batches(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(batches):
         def rows():
-            for batch in batches:
+            for batch in pieces(batches):
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
         before, out = None, []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import set_batches
+from .arrow_text import pieces
 
 CAPACITY, END_ID = 2048, 1
 #: Rests are cut into parts of at most capacity / PARTS tokens.
@@ -166,7 +166,6 @@ def deal(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], int]:
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
-    set_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     kind = narrow.schema["id"].dataType.simpleString()
@@ -195,7 +194,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             rows.clear()
             return out
 
-        for batch in batches:
+        for batch in pieces(batches):
             types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             if state["next"] is None and batch.num_rows:
                 state["next"] = batch.column(2)[0].as_py() << 32

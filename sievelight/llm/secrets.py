@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import set_batches
+from .arrow_text import pieces
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE_KINDS = 3
@@ -90,14 +90,13 @@ def spans_text(spans) -> str:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans array<struct<kind, start, end, secret>>) per row."""
-    set_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
 
     def run(batches):
         words = automaton()
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret", pa.string())]))
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
