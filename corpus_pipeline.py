@@ -6,18 +6,15 @@ the columns of `documents`.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.components import ensure_checkpoint_dir
 from sievelight.llm.decontam import phrase_matches
 from sievelight.llm.langid import held_out, identify, train
 from sievelight.llm.line_dedup import dedup_lines
 from sievelight.llm.ngram_jaccard import jaccard_components
 from sievelight.llm.packing import packing_digest
+from sievelight.llm.scratch import Scratch
 
 
 def _documents(df: DataFrame, columns) -> DataFrame:
@@ -74,13 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents; intermediate tables are written to the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    base = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """Apply STAGES to documents; a stage's table is deleted once the next one is written."""
+    tables = Scratch(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = tables.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            tables.release(before)
+        before = docs
     return docs
