@@ -157,7 +157,7 @@ def token_estimate(text: Column) -> Column:
 
 
 def strip_line_numbers(content: Column) -> Column:
-    return F.regexp_replace(content, r"(?m)^\d+: ?", "")
+    return F.regexp_replace(content, r"(?m)^[ \t\x0b\f]*\d+:[ \t\x0b\f]?", "")
 
 
 def normal_space(text: Column) -> Column:

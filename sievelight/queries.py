@@ -651,35 +651,5 @@ def review_gates(spark, sf_dir):
     return review.gate(claims).select("candidate_id", "reason", "evidence_line")
 
 
-# A small inline source tree: the driver's tables hold no code.
-_CODE = {
-    "src/billing/charge.ts": 'import { db } from "./db";\nexport class Charger {\n  total(items) {\n    return sumItems(items);\n  }\n}\nexport function sumItems(items) {\n  let t = 0;\n  for (const i of items) {\n    t += i.price;\n  }\n  return t;\n}\nfunction audit(c) {\n  return sumItems(c.items);\n}\n',
-    "tools/clean.py": "import os\n\ndef strip_all(rows):\n    return [r.strip() for r in rows]\n\n\nclass Cleaner:\n    def run(self, rows):\n        return strip_all(rows)\n",
-}
-
-
-def _code(spark):
-    rows = [(i, p, b) for i, (p, b) in enumerate(sorted(_CODE.items()))]
-    return spark.createDataFrame(rows, "file_idx bigint, file_path string, body string")
-
-
-@_register("syntax_chunks")
-def syntax_chunks(spark, sf_dir):
-    return chunking.syntax_chunks(_code(spark)).select("id", "symbol", "start_line", "end_line", "token_est", "content_hash")
-
-
-@_register("definitions")
-def definitions(spark, sf_dir):
-    return context.definitions(_code(spark))
-
-
-@_register("stitched_context")
-def stitched_context(spark, sf_dir):
-    files = _code(spark)
-    return context.stitch(chunking.with_index(chunking.syntax_chunks(files)), files).select("id", "stitched_context")
-
-
-@_register("ghost_stubs")
-def ghost_stubs(spark, sf_dir):
-    files = _code(spark)
-    return context.ghost_stubs(chunking.with_index(chunking.syntax_chunks(files)), files)
+# more queries, registered by import
+from . import queries_code  # noqa: E402, F401
