@@ -6,7 +6,7 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -73,6 +73,18 @@ def with_index(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_idx", F.shiftleft(F.col("file_idx").cast("bigint"), 32) + F.col("start_line"))
 
 
+def number_rows(rows: DataFrame, key: str, name: str, buckets: int = 4096) -> DataFrame:
+    """rows with consecutive numbers from 0 by (bucket of a hash of the key, key), without one task that sorts all of them: rows are
+    numbered within their bucket, and a bucket's first number is the sum of the sizes before it."""
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    dealt = rows.withColumn("__bucket", bucket)
+    own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__bucket").orderBy(key)))
+    sizes = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
+    # one row per bucket, so this window is short at any size
+    first = sizes.withColumn("__first", F.sum("__size").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
+    return own.join(F.broadcast(first.select("__bucket", "__first")), "__bucket").withColumn(name, F.col("__first") + F.col("__own") - 1).drop("__bucket", "__own", "__first")
+
+
 _DEFINES = re.compile(r"^\s*(?:(?:export|default|public|private|protected|static|async|abstract|pub|final|inline|virtual|unsafe)\s+)*(?:function\*?|class|interface|struct|enum|trait|impl|fn|func|def|type|namespace|module)\s+([A-Za-z_$][\w$]*)")
 
 
@@ -155,7 +167,5 @@ def syntax_chunks(files: DataFrame, long_span: int = 180, part_step: int = 100,
 def uncovered_blocks(lines: DataFrame, spans: DataFrame, least: int = 3) -> DataFrame:
     """(file_path, start_line, end_line): runs of lines (file_path, line_no) that no span covers."""
     free = lines.join(spans, (lines.file_path == spans.file_path) & lines.line_no.between(spans.start_line, spans.end_line), "left_anti")
-    from pyspark.sql import Window
-
     island = F.col("line_no") - F.row_number().over(Window.partitionBy("file_path").orderBy("line_no"))
     return free.withColumn("island", island).groupBy("file_path", "island").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("file_path", "start_line", "end_line")

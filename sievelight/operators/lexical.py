@@ -126,3 +126,26 @@ def rank_many(chunks: DataFrame, queries: DataFrame, top: int = 10) -> DataFrame
     score = F.round(F.lit(V.W_COVERAGE) * F.col("hit") / F.col("asked") + F.lit(V.W_FREQUENCY) * T.saturate(F.col("tf"), 3.0), 4)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_idx")
     return both.select("query_id", "chunk_idx", "id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def two_tier(chunks: DataFrame, query: str, dirty_files: DataFrame | None = None, dirty_only: bool = False, full: bool = False, bypass: int = V.TIER1_BYPASS, keep: int = V.TIER1_KEEP) -> DataFrame:
+    """chunks in token-key order with score, rank and reason; beyond bypass only the best `keep` of them.
+
+    dirty_only leaves the chunks of changed files, if there are any."""
+    terms, dirty = Q.plain_terms(query), None
+    if dirty_files is not None:
+        marks = dirty_files.select(F.col("path").alias("file_path")).distinct().withColumn("dirty", F.lit(True))
+        chunks = chunks.join(marks, "file_path", "left").withColumn("dirty", F.coalesce("dirty", F.lit(False)))
+        dirty = F.col("dirty")
+        if dirty_only:
+            any_dirty = chunks.agg(F.max("dirty").alias("any_dirty"))
+            chunks = chunks.join(F.broadcast(any_dirty), how="inner", on=F.lit(True)).where("dirty or not any_dirty").drop("any_dirty")
+    rows = chunks.withColumn("score", token_score(terms, F.col("symbol"), F.col("file_path"), F.col("content"), dirty))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    best = rows.select("chunk_idx", "score").orderBy(F.desc("score"), "chunk_idx").limit(keep if not full else 2**31 - 1)
+    small = F.lit(full) | (F.col("total") <= bypass)
+    held = rows.join(F.broadcast(total), how="inner", on=F.lit(True))
+    if not full:
+        held = held.join(F.broadcast(best.select("chunk_idx", F.lit(True).alias("best"))), "chunk_idx", "left").where(small | F.coalesce("best", F.lit(False))).drop("best")
+    reason = F.lit("forced_full_scan") if full else F.when(small, "small_candidate_set").otherwise(F.concat(F.lit("filtered_"), F.col("total").cast("string"), F.lit("_to_"), F.least(F.col("total"), F.lit(keep)).cast("string")))
+    return held.withColumns({"reason": reason, "tier1_applied": ~small}).drop("total", "dirty")

@@ -25,14 +25,19 @@ def bin_of(p: Column, n: int = BINS) -> Column:
     return F.when((p >= 0) & (p <= 1), F.size(F.filter(edges, lambda e: p >= e)))
 
 
+def _exact(x: Column) -> Column:
+    """A probability as a decimal, whose sums do not depend on their order."""
+    return x.cast("decimal(18,12)")
+
+
 def _binned(df: DataFrame, by, n: int) -> DataFrame:
-    return df.withColumn("bin", bin_of(F.col("p"), n)).where("bin is not null").groupBy(*_keys(by), "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"), F.avg("p").alias("mean_p"))
+    return df.withColumn("bin", bin_of(F.col("p"), n)).where("bin is not null").groupBy(*_keys(by), "bin").agg(F.count(F.lit(1)).alias("n"), (F.sum(_exact(F.col("y"))).cast("double") / F.count(F.lit(1))).alias("rate"), (F.sum(_exact(F.col("p"))).cast("double") / F.count(F.lit(1))).alias("mean_p"), F.abs(F.sum(_exact(F.col("y")) - _exact(F.col("p")))).alias("gap"))
 
 
 def ece(df: DataFrame, by=None, n: int = BINS) -> DataFrame:
     """Expected calibration error over equal-width bins."""
     b = _binned(df, by, n)
-    return b.groupBy(*_keys(by)).agg(F.round(F.coalesce(F.sum(F.col("n") * F.abs(F.col("rate") - F.col("mean_p"))) / F.sum("n"), F.lit(0.0)), 4).alias("ece"))
+    return b.groupBy(*_keys(by)).agg(F.round(F.coalesce(F.sum("gap").cast("double") / F.sum("n"), F.lit(0.0)), 4).alias("ece"))
 
 
 def reliability(df: DataFrame, n: int = BINS) -> DataFrame:
@@ -134,25 +139,69 @@ def stage_table(rows: DataFrame, stages=("p_raw", "p_len", "p_intent", "p_cal"))
     return out
 
 
-def bootstrap_ci(task_bins: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile intervals of MRR, recall and Brier over tasks drawn with replacement.
-
-    task_bins: one row per task (task_id, rank, sq, n), so what is resampled is a row per task however many
-    rows it had; the draws are numbered positions made from a fixed seed."""
-    import numpy as np
-
-    spark = task_bins.sparkSession
-    ids = [r["task_id"] for r in task_bins.select("task_id").orderBy("task_id").toLocalIterator()]
-    rng = np.random.RandomState(seed)
-    draws = [rng.choice(len(ids), len(ids)) for _ in range(resamples)] if ids else []
-    picked = [(i, ids[k], int(c)) for i, d in enumerate(draws) for k, c in zip(*np.unique(d, return_counts=True))]
-    table = spark.createDataFrame(picked, f"sample int, task_id {task_bins.schema['task_id'].dataType.simpleString()}, times int")
-    j = table.join(task_bins, "task_id").groupBy("sample").agg(
-        (F.sum(F.col("times") * F.coalesce(1.0 / F.col("rank"), F.lit(0.0))) / F.sum("times")).alias("mrr"),
-        (F.sum(F.col("times") * F.coalesce((F.col("rank") <= 1).cast("int"), F.lit(0))) / F.sum("times")).alias("recall_1"),
-        (F.sum(F.col("times") * F.coalesce((F.col("rank") <= 3).cast("int"), F.lit(0))) / F.sum("times")).alias("recall_3"),
-        (F.sum(F.col("times") * F.coalesce((F.col("rank") <= 5).cast("int"), F.lit(0))) / F.sum("times")).alias("recall_5"),
-        (F.sum(F.col("times") * F.col("sq")) / F.sum(F.col("times") * F.col("n"))).alias("brier"),
+def telemetry_summary(rows: DataFrame) -> DataFrame:
+    """One row over the telemetry rows of many queries: sums, means of positive values, the greatest 95th percentile.
+
+    rows: chunks_evaluated, cache_hits, cache_misses, ambiguous, prompt_tokens, completion_tokens, prefill_rate, decode_rate, latency_p95,
+    floor_triggered, abstained, reduction_ratio, yes_rate, no_rate, redundancy_penalties, symbol_boosts."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"total_{c}")
+    mean = lambda c, places: F.round(F.coalesce(F.avg(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0)), places).alias(f"avg_{c}")
+    count = lambda c: F.count_if(F.col(c)).alias(f"{c}_count")
+    share = lambda n, d: F.round(F.coalesce(F.try_divide(n.cast("double"), d), F.lit(0.0)), 4)
+    chunks, tasks = F.sum("chunks_evaluated"), F.count(F.lit(1))
+    return rows.agg(
+        tasks.alias("total_tasks"),
+        *[total(c) for c in ("chunks_evaluated", "cache_hits", "cache_misses", "ambiguous", "prompt_tokens", "completion_tokens", "redundancy_penalties", "symbol_boosts")],
+        share(F.sum("cache_hits"), chunks).alias("cache_hit_rate"),
+        share(F.sum("ambiguous"), chunks).alias("ambiguous_rate"),
+        *[mean(c, n) for c, n in (("prefill_rate", 1), ("decode_rate", 1), ("reduction_ratio", 2), ("yes_rate", 4), ("no_rate", 4))],
+        F.round(F.coalesce(F.max(F.when(F.col("latency_p95") > 0, F.col("latency_p95"))), F.lit(0.0)), 2).alias("latency_p95"),
+        *[x for c in ("floor_triggered", "abstained") for x in (count(c), share(F.count_if(F.col(c)), tasks).alias(f"{c}_rate"))],
+    )
+
+
+def top_metadata(results: DataFrame, most: int = 3) -> DataFrame:
+    """(task_id, top): the first `most` results of a task as structs, in order of rank."""
+    item = F.struct("rank", "file_path", "symbol", "score", "raw_score", "is_test", "start_line", "end_line")
+    return results.where(F.col("rank") <= most).groupBy("task_id").agg(F.array_sort(F.collect_list(item)).alias("top"))
+
+
+def drawn(sample, position, n) -> Column:
+    """The place, from 0, that a position of a resample draws among n tasks: 32 bits of a hash, so that executors draw alike."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", sample.cast("string"), position.cast("string"))), 1, 8), 16, 10).cast("bigint"), n)
+
+
+#: What a resample measures, in order of the report.
+BOOTSTRAPPED = ("recall_1", "recall_3", "recall_5", "mrr", "brier", "ece", "cal_brier", "cal_ece")
+
+
+def bootstrap_ci(task_rows: DataFrame, resamples: int = 1000) -> DataFrame:
+    """(metric, low, mean, high): 95 % percentile intervals over tasks drawn with replacement.
+
+    task_rows: (task_id, rank, y, p, p_cal) per scored chunk, rank being the task's first target's.  Chunks are first summed by
+    task and bin, so what is resampled are a few sums per task; draws are hashes of (resample, position), made where
+    they are joined; nothing goes to the driver."""
+    from .chunking import number_rows
+
+    squares = lambda p: F.sum((F.col(p) - F.col("y")) * (F.col(p) - F.col("y")))
+    tasks = task_rows.groupBy("task_id").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n"), squares("p").alias("sq"), squares("p_cal").alias("sq_cal"))
+    placed = number_rows(tasks, "task_id", "place")
+    sizes = placed.agg(F.max("place").alias("last"))
+    grid = placed.select("place").join(F.broadcast(sizes), how="inner", on=F.lit(True)).select(F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("sample"), F.col("place").alias("position"), (F.col("last") + 1).alias("size"))
+    draws = grid.select("sample", drawn(F.col("sample"), F.col("position"), F.col("size")).alias("place")).groupBy("sample", "place").agg(F.count(F.lit(1)).alias("times"))
+    held = draws.join(placed, "place")
+    t = F.col("times")
+    mean = lambda x: F.sum(t * x) / F.sum("times")
+    ranks = held.groupBy("sample").agg(
+        *[mean(F.coalesce((F.col("rank") <= k).cast("int"), F.lit(0))).alias(f"recall_{k}") for k in (1, 3, 5)],
+        mean(F.round(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)), 4)).alias("mrr"),
+        *[F.round(F.sum(t * F.col(c)) / F.sum(t * F.col("n")), 4).alias(name) for c, name in (("sq", "brier"), ("sq_cal", "cal_brier"))],
     )
-    long = j.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("mrr", "recall_1", "recall_3", "recall_5", "brier")])).alias("x")).select("x.metric", "x.v")
-    return long.groupBy("metric").agg(F.round(F.percentile("v", F.lit(0.025)), 4).alias("low"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.percentile("v", F.lit(0.975)), 4).alias("high"))
+    both = task_rows.select("task_id", "y", F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(p).alias("p")) for name, p in (("ece", "p"), ("cal_ece", "p_cal"))])).alias("x")).select("task_id", "y", "x.*")
+    binned = both.withColumn("bin", bin_of(F.col("p"))).where("bin is not null").groupBy("task_id", "metric", "bin").agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("sy"), F.sum("p").alias("sp"))
+    cells = held.select("sample", "task_id", "times").join(binned, "task_id").groupBy("sample", "metric", "bin").agg(F.sum(t * F.col("k")).alias("k"), F.abs(F.sum(t * F.col("sy")) - F.sum(t * F.col("sp"))).alias("gap"))
+    errors = cells.groupBy("sample", "metric").agg(F.round(F.sum("gap") / F.sum("k"), 4).alias("v"))
+    long = ranks.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in BOOTSTRAPPED if "ece" not in m])).alias("x")).select("x.metric", "x.v").union(errors.select("metric", "v"))
+    # shares of small counts often lie halfway between two results: the noise of summation goes first
+    places = lambda x: F.round(F.round(x, 9), 4)
+    return long.groupBy("metric").agg(places(F.percentile("v", F.lit(0.025))).alias("low"), places(F.avg("v")).alias("mean"), places(F.percentile("v", F.lit(0.975))).alias("high"))

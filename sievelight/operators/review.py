@@ -18,6 +18,52 @@ def parse_claims(replies: DataFrame, most: int = 4) -> DataFrame:
     return found.withColumn("claim_no", F.row_number().over(w)).where(F.col("claim_no") <= most).drop("line_no")
 
 
+def citation_lines(cited: DataFrame, files: DataFrame) -> DataFrame:
+    """cited (file_path, start_line, end_line) with `lines`, the physical lines that it names; null if the file is not there or the range
+    does not lie in it."""
+    body = F.split("body", "\n")
+    body = F.when(F.get(body, F.size(body) - 1) == "", F.slice(body, 1, F.size(body) - 1)).otherwise(body)
+    # only files that are cited are split
+    known = files.join(cited.select("file_path").distinct(), "file_path", "left_semi").select("file_path", body.alias("all_lines"))
+    fits = (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (F.col("end_line") <= F.size("all_lines"))
+    part = F.when(fits, F.slice("all_lines", F.greatest(F.col("start_line"), F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))))
+    return cited.join(known, "file_path", "left").withColumn("lines", part).drop("all_lines")
+
+
+def review(cited: DataFrame, files: DataFrame, replies: DataFrame, judged: DataFrame | None = None, most: int = 4) -> DataFrame:
+    """Findings and dropped claims: candidate_id, claim_no, text, evidence, evidence_line, reason (null: a finding).
+
+    cited: verified results (candidate_id, file_path, start_line, end_line); replies: (candidate_id, reply), null where the model
+    failed; judged: (candidate_id, claim_no) with the four columns of judge().  A citation that cannot be read is one row without a
+    text, with reason CHUNK_UNREADABLE."""
+    lined = citation_lines(cited, files)
+    unread = lined.where("lines is null").select("candidate_id", F.lit(0).alias("claim_no"), F.lit("").alias("text"), F.lit("").alias("evidence"), F.lit(None).cast("int").alias("evidence_line"), F.lit("CHUNK_UNREADABLE").alias("reason"))
+    claims = parse_claims(replies, most).join(lined.where("lines is not null").select("candidate_id", "lines", "start_line"), "candidate_id")
+    gated = gate(claims)
+    if judged is not None:
+        gated = judge(gated.join(judged, ["candidate_id", "claim_no"], "left"))
+    return gated.select("candidate_id", "claim_no", "text", "evidence", "evidence_line", "reason").unionByName(unread)
+
+
+def review_counts(cited: DataFrame, replies: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """One row: chunks_reviewed, claims_generated, claims_verified, claims_dropped, model_failures.
+
+    A chunk that cannot be read is neither asked nor failed."""
+    unread = reviewed.where("reason = 'CHUNK_UNREADABLE'").select("candidate_id")
+    failed = replies.where("reply is null").join(cited.select("candidate_id"), "candidate_id", "left_semi").join(unread, "candidate_id", "left_anti")
+    claims = reviewed.agg(F.count_if(F.coalesce("reason", F.lit("")) != "CHUNK_UNREADABLE").alias("claims_generated"), F.count_if(F.col("reason").isNull()).alias("claims_verified"), F.count_if(F.col("reason").isNotNull()).alias("claims_dropped"))
+    one = F.lit(True)
+    return cited.agg(F.count(F.lit(1)).alias("chunks_reviewed")).join(claims, on=one, how="inner").join(failed.agg(F.count(F.lit(1)).alias("model_failures")), on=one, how="inner")
+
+
+def report_lines(cited: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(candidate_id, claim_no, line): one line of a text report per finding or dropped claim."""
+    j = reviewed.join(cited.select("candidate_id", "file_path", "start_line"), "candidate_id")
+    found = F.concat(F.lit("  [verified] "), "file_path", F.lit(":"), F.coalesce("evidence_line", "start_line").cast("string"), F.lit(" - "), "text")
+    lost = F.concat(F.lit("  [dropped:"), "reason", F.lit("] "), F.when(F.col("text") != "", F.col("text")).otherwise(F.col("file_path")))
+    return j.select("candidate_id", "claim_no", F.when(F.col("reason").isNull(), found).otherwise(lost).alias("line"))
+
+
 def bare_evidence(evidence: Column) -> Column:
     """Evidence without quotes around it, white space normalised."""
     return T.normal_space(F.regexp_replace(F.trim(evidence), "^[`\"']+|[`\"']+$", ""))
@@ -60,9 +106,9 @@ def gate(claims: DataFrame) -> DataFrame:
 
 def judge(gated: DataFrame, support: float = 0.5, contradiction: float = 0.5) -> DataFrame:
     """reason after judges (support_status, support_score, contradiction_status, contradiction_score, statuses
-    done, failed or skipped): unsupported or contradicted claims go; failed support is SUPPORT_UNVERIFIED."""
-    failed = F.when(F.col("support_status") == "failed", "SUPPORT_UNVERIFIED").when((F.col("support_status") == "done") & (F.col("support_score") < support), "NOT_SUPPORTED")
-    against = F.when((F.col("contradiction_status") == "done") & (F.col("contradiction_score") >= contradiction), "CONTRADICTED")
+    scored, failed or skipped): unsupported or contradicted claims go; failed support is SUPPORT_UNVERIFIED."""
+    failed = F.when(F.col("support_status") == "failed", "SUPPORT_UNVERIFIED").when((F.col("support_status") == "scored") & (F.col("support_score") < support), "CLAIM_NOT_SUPPORTED")
+    against = F.when((F.col("contradiction_status") == "scored") & (F.col("contradiction_score") >= contradiction), "CLAIM_CONTRADICTED")
     return gated.withColumn("reason", F.coalesce("reason", failed, against))
 
 

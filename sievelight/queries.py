@@ -47,6 +47,10 @@ def _chunks(spark, sf_dir) -> DataFrame:
     return chunking.with_index(chunking.windows(_files(spark, sf_dir), SIZE, OVERLAP))
 
 
+def _slices_of(spark, sf_dir) -> DataFrame:
+    return chunking.with_index(chunking.slices(_files(spark, sf_dir), SIZE, OVERLAP))
+
+
 def _unit(key: str):
     """A number in (0, 1) from a hash of a text column."""
     return F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("bigint") / F.lit(4294967295.0)
@@ -267,14 +271,14 @@ def fast_rank(spark, sf_dir):
     return plan.fast(_files(spark, sf_dir), QUERY, SIZE, OVERLAP).select("id", "file_path", F.round("score", 6).alias("score"), "rank")
 
 
-_TASK_TERMS = "asked AS (SELECT item_id AS query_id, list_distinct({0}[1:8]) AS terms FROM benchmark)".format(_terms("text"))
+_TASK_TERMS = "asked AS (SELECT item_id AS query_id, list_distinct({0}) AS terms FROM benchmark)".format(_terms("text"))
 _MULTI = f"""{_CHUNKS}, {_TASK_TERMS}, t AS (SELECT chunk_idx, id, unnest({_terms('content')}) AS term FROM chunks), ix AS (SELECT chunk_idx, id, term, count(*) AS tf FROM t GROUP BY ALL),
 a AS (SELECT query_id, len(terms) AS asked, unnest(terms) AS term FROM asked), j AS (SELECT query_id, asked, chunk_idx, id, count(*) AS hit, sum(tf) AS tf FROM ix JOIN a USING (term) GROUP BY ALL),
 sc AS (SELECT query_id, chunk_idx, id, round({V.W_COVERAGE}::DOUBLE * hit / asked + {V.W_FREQUENCY}::DOUBLE * (tf / (tf + 3.0::DOUBLE)), 4) AS score FROM j), multi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_idx) AS rank FROM sc)"""
 
 
 def _tasks(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.lexical_terms(F.col("text")), 1, 8).alias("terms"))
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.lexical_terms(F.col("text")).alias("terms"))
 
 
 @_register("fast_rank_multi", f"WITH {_MULTI} SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM multi WHERE rank <= 10")
@@ -404,10 +408,10 @@ def bug_test_policy(spark, sf_dir):
     return ranking.policy(rows, 0.65, ["query_id"], top_k=5, bug_tests=True).select("query_id", "chunk_idx", "rank")
 
 
-@_register("abstain", f"WITH {_POLICY} SELECT query_id, chunk_idx FROM shown WHERE top >= 0.9995")
+@_register("abstain", f"WITH {_POLICY} SELECT query_id, chunk_idx FROM shown WHERE top >= 0.995")
 def abstain(spark, sf_dir):
     rows = ranking.diversify(_ranked(spark, sf_dir), ["query_id"])
-    return ranking.policy(rows, 0.65, ["query_id"], allow_empty=True, abstain_below=0.9995).select("query_id", "chunk_idx")
+    return ranking.policy(rows, 0.65, ["query_id"], allow_empty=True, abstain_below=0.995).select("query_id", "chunk_idx")
 
 
 _RERANK = f"""{_DECIDED}, fl AS (SELECT min(decision_score) AS floor FROM (SELECT decision_score, row_number() OVER (ORDER BY decision_score DESC) AS r FROM decided WHERE structural >= 1) WHERE r <= 3),
@@ -466,7 +470,7 @@ def cache_lookup(spark, sf_dir):
 # --- metrics and calibration ------------------------------------------------------------------------
 
 _BIN = "CASE WHEN p >= 0.9::DOUBLE THEN 9 " + " ".join(f"WHEN p >= {i / 10}::DOUBLE THEN {i}" for i in range(8, 0, -1)) + " ELSE 0 END"
-_BINNED = f"{_OUTCOMES}, b AS (SELECT {_BIN} AS bin, count(*) AS n, avg(y) AS rate, avg(p) AS mean_p FROM outcomes WHERE p BETWEEN 0 AND 1 GROUP BY 1)"
+_BINNED = f"{_OUTCOMES}, b AS (SELECT {_BIN} AS bin, count(*) AS n, CAST(sum(CAST(y AS DECIMAL(18,12))) AS DOUBLE) / count(*) AS rate, CAST(sum(CAST(p AS DECIMAL(18,12))) AS DOUBLE) / count(*) AS mean_p, abs(sum(CAST(y AS DECIMAL(18,12)) - CAST(p AS DECIMAL(18,12)))) AS gap FROM outcomes WHERE p BETWEEN 0 AND 1 GROUP BY 1)"
 _PER = f"{_OUTCOMES}, s AS (SELECT l_linestatus AS g, p, sum(CAST(y AS INT)) AS pos, count(*) AS n FROM outcomes GROUP BY ALL)"
 
 
@@ -475,7 +479,7 @@ def brier(spark, sf_dir):
     return metrics.brier(_outcomes(spark, sf_dir), ["l_linestatus"])
 
 
-@_register("ece", f"WITH {_BINNED} SELECT round(sum(n * abs(rate - mean_p)) / sum(n), 4) AS ece FROM b")
+@_register("ece", f"WITH {_BINNED} SELECT round(CAST(sum(gap) AS DOUBLE) / sum(n), 4) AS ece FROM b")
 def ece(spark, sf_dir):
     return metrics.ece(_outcomes(spark, sf_dir))
 
@@ -594,7 +598,7 @@ _STAGE_U = f"least(greatest({_UNIT.format('CAST(task_id AS VARCHAR) || ' + chr(3
 _STAGED = f"""{_EVAL_CTES}, st0 AS (SELECT *, {_STAGE_U} AS u, CAST(is_target AS INT)::DOUBLE AS y FROM ev), st1 AS (SELECT task_id, y, round(1 / (1 + exp(-(ln(u) - ln(1 - u)))), 4) AS p_raw, round(1 / (1 + exp(-((ln(u) - ln(1 - u)) * power(120.0::DOUBLE / greatest(40.0, greatest(1, floor(length(content) / 3.6))), 0.15)))), 4) AS p_len FROM st0),
 st2 AS (SELECT *, round(1 / (1 + exp(-({_logit('p_len')} + {V.PRIORS['SPECIFICATION']['doc']} * 0.5))), 4) AS p_intent FROM st1), st3 AS (SELECT *, round(1 / (1 + exp(-({V.PLATT_A} * {_logit('p_intent')} - 2.1))), 4) AS p_cal FROM st2),
 long AS (SELECT 'p_raw' AS stage, y, p_raw AS p FROM st3 UNION ALL SELECT 'p_len', y, p_len FROM st3 UNION ALL SELECT 'p_intent', y, p_intent FROM st3 UNION ALL SELECT 'p_cal', y, p_cal FROM st3),
-bb AS (SELECT stage, {_BIN} AS bin, count(*) AS n, avg(y) AS rate, avg(p) AS mean_p FROM long GROUP BY 1, 2), ec AS (SELECT stage, round(sum(n * abs(rate - mean_p)) / sum(n), 4) AS ece FROM bb GROUP BY 1),
+bb AS (SELECT stage, {_BIN} AS bin, count(*) AS n, abs(sum(CAST(y AS DECIMAL(18,12)) - CAST(p AS DECIMAL(18,12)))) AS gap FROM long GROUP BY 1, 2), ec AS (SELECT stage, round(CAST(sum(gap) AS DOUBLE) / sum(n), 4) AS ece FROM bb GROUP BY 1),
 sp AS (SELECT stage, p, sum(CAST(y AS INT)) AS pos, count(*) AS n FROM long GROUP BY ALL),
 ww AS (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY stage ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, CAST(sum(pos) OVER o AS DOUBLE) / sum(n) OVER o * pos AS part FROM sp WINDOW o AS (PARTITION BY stage ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
 au AS (SELECT stage, CASE WHEN sum(pos) = 0 OR sum(n - pos) = 0 THEN 0.5 ELSE round(sum(pos * (below + (n - pos) / 2.0::DOUBLE)) / (CAST(sum(pos) AS DOUBLE) * sum(n - pos)), 4) END AS auroc, CASE WHEN sum(pos) = 0 THEN 0.0 ELSE round(sum(part) / sum(pos), 4) END AS auprc FROM ww GROUP BY 1),
@@ -607,13 +611,25 @@ def stage_table(spark, sf_dir):
     return metrics.stage_table(plan.task_chunks(chunks, tasks))
 
 
-@_register("bootstrap_ci")
+_HASH32 = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
+_BOOT = f"""{_STAGED}, rk AS (SELECT task_id, min(rank) FILTER (WHERE is_target) AS rank FROM ev GROUP BY 1),
+tk AS (SELECT task_id, any_value(rk.rank) AS rank, count(*) AS n, sum((p_intent - y) * (p_intent - y)) AS sq, sum((p_cal - y) * (p_cal - y)) AS sq_cal FROM st3 JOIN rk USING (task_id) GROUP BY 1),
+pl AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {_HASH32.format("CAST(task_id AS VARCHAR)")} % 4096, task_id) - 1 AS place FROM tk),
+dr AS MATERIALIZED (SELECT sample, {_HASH32.format("sample || ':' || pos")} % (SELECT count(*) FROM pl) AS place, count(*) AS times FROM range(1000) r(sample), (SELECT place AS pos FROM pl) GROUP BY ALL),
+hd AS MATERIALIZED (SELECT sample, times, pl.* FROM dr JOIN pl USING (place)),
+r1 AS (SELECT sample, {", ".join(f"sum(times * CASE WHEN rank <= {k} THEN 1 ELSE 0 END) / sum(times) AS recall_{k}" for k in (1, 3, 5))}, sum(times * round(coalesce(1.0::DOUBLE / rank, 0), 4)) / sum(times) AS mrr, round(sum(times * sq) / sum(times * n), 4) AS brier, round(sum(times * sq_cal) / sum(times * n), 4) AS cal_brier FROM hd GROUP BY 1),
+bt AS (SELECT task_id, y, 'ece' AS metric, p_intent AS p FROM st3 UNION ALL SELECT task_id, y, 'cal_ece', p_cal FROM st3), bn AS (SELECT task_id, metric, {_BIN} AS bin, count(*) AS k, sum(y) AS sy, sum(p) AS sp FROM bt GROUP BY ALL),
+cl AS (SELECT sample, metric, bin, sum(times * k) AS k, abs(sum(times * sy) - sum(times * sp)) AS gap FROM hd JOIN bn USING (task_id) GROUP BY ALL), er AS (SELECT sample, metric, round(sum(gap) / sum(k), 4) AS v FROM cl GROUP BY ALL),
+vs AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS v FROM r1" for m in metrics.BOOTSTRAPPED if "ece" not in m)} UNION ALL SELECT metric, v FROM er)"""
+
+
+@_register("bootstrap_ci", f"WITH {_BOOT} SELECT metric, round(round(quantile_cont(v, 0.025), 9), 4) AS low, round(round(avg(v), 9), 4) AS mean, round(round(quantile_cont(v, 0.975), 9), 4) AS high FROM vs GROUP BY 1")
 def bootstrap_ci(spark, sf_dir):
     chunks, tasks = _evaluated(spark, sf_dir)
     rows = plan.task_chunks(chunks, tasks)
-    error = (F.col("p_cal") - F.col("y_true")) * (F.col("p_cal") - F.col("y_true"))
-    per_task = rows.groupBy("task_id").agg(F.min(F.when(F.col("y_true") == 1, F.col("rank"))).alias("rank"), F.sum(error).alias("sq"), F.count(F.lit(1)).alias("n"))
-    return metrics.bootstrap_ci(per_task)
+    first = rows.groupBy("task_id").agg(F.min(F.when(F.col("y_true") == 1, F.col("rank"))).alias("first"))
+    held = rows.drop("rank").join(first.withColumnRenamed("first", "rank"), "task_id").select("task_id", "rank", F.col("y_true").alias("y"), F.col("p_intent").alias("p"), "p_cal")
+    return metrics.bootstrap_ci(held)
 
 
 # --- usage, review, structure ---------------------------------------------------------------------------
@@ -652,4 +668,4 @@ def review_gates(spark, sf_dir):
 
 
 # more queries, registered by import
-from . import queries_code  # noqa: E402, F401
+from . import queries_code, queries_more  # noqa: E402, F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -21,8 +21,47 @@ def read_files(spark: SparkSession, paths, glob: str | None = None, suffixes=V.C
         files = files.where(F.regexp_extract("file_path", r"(\.[^./]*)$", 1).isin(*suffixes))
     parts = F.split("file_path", "/")
     files = files.where(~F.arrays_overlap(parts, F.array(*[F.lit(d) for d in ignored])))
-    nul = F.exists(F.split(F.regexp_replace(F.hex(F.substring("content", 1, 2048)), "(..)", "$1 "), " "), lambda b: b == "00")
-    return files.where(F.call_function("is_valid_utf8", F.col("content").cast("string")) & ~nul).select("file_path", F.col("content").cast("string").alias("body"))
+    return files.where(~is_binary(F.col("content"))).select("file_path", F.col("content").cast("string").alias("body"))
+
+
+def is_binary(content: Column) -> Column:
+    """Whether bytes have a NUL among the first 2,048 or are not UTF-8."""
+    nul = F.position(F.unhex(F.lit("00")).cast("string"), F.substring(content, 1, 2048).cast("string")) > 0
+    return nul | ~F.call_function("is_valid_utf8", content.cast("string"))
+
+
+def candidate_inputs(inputs: DataFrame, files: DataFrame) -> DataFrame:
+    """(no, candidate, is_path) of input lines (no, value): `path:rest` is cut to its path if there is such a file."""
+    head = inputs.withColumn("head", F.substring_index("value", ":", 1))
+    known = files.select(F.col("file_path").alias("head")).distinct().withColumn("is_path", F.lit(True))
+    out = head.join(known, "head", "left").withColumn("is_path", F.coalesce("is_path", F.lit(False)))
+    return out.select("no", F.when(F.col("is_path"), F.col("head")).otherwise(F.col("value")).alias("candidate"), "is_path")
+
+
+def prepared_inputs(inputs: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_idx, file_path, body) of input lines: a known path's file, or the line itself as raw text without a path."""
+    told = candidate_inputs(inputs, files)
+    held = told.join(files.select(F.col("file_path").alias("candidate"), F.col("body").alias("found")), "candidate", "left")
+    return held.select(F.col("no").alias("file_idx"), F.when(F.col("is_path"), F.col("candidate")).alias("file_path"), F.when(F.col("is_path"), F.col("found")).otherwise(F.col("candidate")).alias("body"))
+
+
+def sliced_once(files: DataFrame, cut) -> DataFrame:
+    """cut(files) with each distinct body cut once: slices are made for one file of a body and placed at all its paths.
+
+    cut: (file_idx, file_path, body) -> slices whose id and symbol begin or end with the path they were cut for."""
+    keyed = files.withColumn("__body", F.sha2("body", 256))
+    # where the symbol is the file's name, it is that of the path where the slice is placed
+    one = keyed.groupBy("__body").agg(F.first("body").alias("body")).select(F.lit(0).cast("bigint").alias("file_idx"), F.col("__body").alias("file_path"), "body")
+    slices = cut(one).withColumnRenamed("file_path", "__body").drop("file_idx")
+    placed = slices.join(keyed.select("__body", "file_idx", "file_path"), "__body")
+    rest = F.expr("substring(id, length(__body) + 1)")
+    symbol = F.when(F.col("symbol") == F.col("__body"), F.regexp_extract("file_path", "[^/]*$", 0)).otherwise(F.col("symbol"))
+    return placed.withColumns({"id": F.concat("file_path", rest), "symbol": symbol}).drop("__body")
+
+
+def fresh_expansions(cache: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
+    """Rows of an expansion cache (key, terms, ts in milliseconds) that are younger than `days`."""
+    return cache.where(F.lit(now_ms) - F.col("ts") < days * 86_400_000)
 
 
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
