@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 
-#: Rounds of hubs before the last search; it begins sooner once it has at most so many pairs a key to rule out.
-HUB_ROUNDS, PAIRS_A_KEY = 3, 64
+#: Most rounds of hubs before the last search.  It begins sooner once it has at most so many pairs a key to rule out, or once
+#: a round leaves more than this share of the pairs that it found.
+HUB_ROUNDS, PAIRS_A_KEY, SLOW = 24, 4, 0.8
 #: Partners of a hub that get one copy of its payload.
 PART = 64
 
@@ -28,8 +29,8 @@ def bucket_members(rows: DataFrame, bucket: str) -> DataFrame:
     by bucket serves the statistics and the join back."""
     rows = rows.repartition(bucket).distinct()
     stats = rows.groupBy(bucket).agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("size > 1")
-    alike = stats.groupBy("size", "x", "y").agg(F.min(F.struct(bucket, "hub")).alias("t"))
-    chosen = alike.select(f"t.{bucket}", "t.hub", "size")
+    # alike buckets have the same hub
+    chosen = stats.groupBy("size", "x", "y").agg(F.min(bucket).alias(bucket), F.min("hub").alias("hub")).select(bucket, "hub", "size")
     return rows.join(chosen.hint("shuffle_hash"), bucket).select(F.col(bucket).alias("bucket"), "hub", "size", "key")
 
 
@@ -66,6 +67,7 @@ def families(members: DataFrame, verify: Callable[[DataFrame], DataFrame], searc
     labels = connected_components(links, tables)
     held = members.where("key != hub and size > 2").select("bucket", "key")
     tables.release(star)
+    before = float("inf")
     for r in range(HUB_ROUNDS + 1):
         pending = tables.keep(_unsettled(held, labels))
         sizes = pending.groupBy("bucket").agg(F.max(F.col("size").cast("double") * (F.col("size") - F.col("leading"))).alias("pairs"))
@@ -73,7 +75,8 @@ def families(members: DataFrame, verify: Callable[[DataFrame], DataFrame], searc
         if not left:
             tables.drop(pending)
             break
-        last = r == HUB_ROUNDS or left <= PAIRS_A_KEY * keys
+        last = r == HUB_ROUNDS or left <= PAIRS_A_KEY * keys or left > SLOW * before
+        before = left
         if last:
             pairs = search(pending)
         else:

@@ -10,13 +10,14 @@ anchors are a sixth of all positions.  ROWS lanes make one band key.  Candidates
 decided on all shingles, exactly, as strings.  Links are joined by distributed contraction, equal lines being one vertex
 from the start, and each component keeps its first line by (document id, line number).
 
-Recall: bands of ROWS lanes find a pair whose anchored shingles have similarity s with probability 1 - (1 - s^ROWS)^BANDS: 0.993 at
-0.8, 0.95 at 0.7.  Nothing else is lost (see families): pairs of a band key are verified, of one component already, or ruled out by a
+Recall: bands of ROWS lanes find a pair whose anchored shingles have similarity s with probability 1 - (1 - s^ROWS)^BANDS: 0.985 at
+0.8, 0.998 at 0.9.  Nothing else is lost (see families): pairs of a band key are verified, of one component already, or ruled out by a
 bound on the symmetric difference of their shingle sets.  tests/llm measure recall against all pairs.
 
 Scale: equal lines meet in a grouped minimum that is combined before the shuffle, so a line that a third of
-all documents hold costs one row per task.  Line texts are never shuffled for signatures; only the
-lines that share a band key are fetched again for verification, by a Bloom filter of fixed size and an exact join.
+all documents hold costs one row per task.  That shuffle deals the distinct lines by key into a bucketed table; signatures,
+sketches and the texts to verify are made from it where it lies.  Occurrences of repeated lines are found by a Bloom
+filter of fixed size and an exact join.
 
 Edge cases: null and empty texts have no lines to drop; lines shorter than min_chars (after trimming; MIN_CHARS unless
 given, 1 takes every line that is not blank) always stay, as they are no passage; a document whose lines are all dropped
@@ -33,7 +34,7 @@ from . import bloom
 from .families import bucket_members, families, meet
 from .scratch import Scratch
 
-SHINGLE, BANDS, ROWS = 10, 7, 3
+SHINGLE, BANDS, ROWS = 10, 8, 4
 NUM, DEN = 80, 100
 MIN_CHARS = 24
 #: 64-bit words of a sketch: bit x of it is set if the set has a shingle whose hash ends in x.
@@ -58,55 +59,60 @@ def exploded_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return rows.withColumn("key", F.xxhash64("line", F.length("line")))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """(key, band): the band keys of every distinct line."""
-    shingled = lines.select("key", F.explode(anchored(F.col("line"))).alias("s")).select("key", F.hash("s").alias("x"))
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """(key, line, first, n) of every distinct line: its first occurrence, a struct of id, no and h, and how often it occurs.  Copies are
+    combined before the shuffle, the only one that moves the texts of all lines."""
+    return lines.groupBy("key").agg(F.min("line").alias("line"), F.min(F.struct("id", "no", "h")).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def _bands(distinct: DataFrame) -> DataFrame:
+    """(key, band): the band keys of every distinct line.  distinct is dealt by key, so nothing moves."""
+    shingled = distinct.select("key", F.explode(anchored(F.col("line"))).alias("s")).select("key", F.hash("s").alias("x"))
     lanes = shingled.groupBy("key").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(seed))).alias(f"m{i}") for i, seed in enumerate(_SEEDS)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return lanes.select("key", F.explode(keys).alias("band"))
 
 
+def _candidates(distinct: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, line, n, w0, w1, ...) of the lines of keys: the size of a line's shingle set, and its sketch."""
+    wanted = distinct.select("key", "line").join(keys, "key", "left_semi")
+    spot = wanted.select("key", F.explode(F.array_distinct(shingles(F.col("line")))).alias("s")).select("key", F.xxhash64("s").bitwiseAND(64 * WORDS - 1).cast("int").alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x") % 64)
+    words = [F.coalesce(F.bit_or(F.when(F.shiftright("x", 6) == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
+    return wanted.join(spot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *words), "key")
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether two sets may be similar: linked sets differ by (DEN - NUM) / (NUM + DEN) of their summed sizes at most, hence also
+    their sketches and sizes."""
+    bits = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
+    differ = F.greatest(bits, F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))).cast("long")
+    return (NUM + DEN) * differ <= (DEN - NUM) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (u, v) whose lines are similar: by the sizes of their sets first, then exactly."""
-    met = meet(pairs, texts, F.struct("n", "line"))
-    near = met.where(NUM * F.greatest("a.n", "b.n") <= DEN * F.least("a.n", "b.n"))
+    """Those (u, v) whose lines are similar: by the bound first, then exactly."""
+    near = meet(pairs, texts, F.struct("line", "n", *[f"w{i}" for i in range(WORDS)])).where(_close("a", "b"))
     common = F.size(F.array_intersect(shingles(F.col("a.line")), shingles(F.col("b.line")))).cast("long")
     return near.where((NUM + DEN) * common >= NUM * (F.col("a.n") + F.col("b.n"))).select("u", "v")
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
-    """(key, n, w0, w1, ...): the size of every line's set and its sketch."""
-    spot = texts.select("key", "n", F.explode(shingles(F.col("line"))).alias("s")).select("key", "n", F.xxhash64("s").bitwiseAND(64 * WORDS - 1).cast("int").alias("x"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x") % 64)
-    words = [F.coalesce(F.bit_or(F.when((F.col("x") / 64).cast("int") == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
-    return spot.groupBy("key").agg(F.max("n").alias("n"), *words)
-
-
 def _possible(pending: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct (u, v) of a line outside its band's most frequent label and one of another label, that may be similar:
-    linked sets differ by (DEN - NUM) / (NUM + DEN) of their summed sizes at most, hence also their sketches and sizes."""
-    rows = pending.join(_sketches(texts.join(pending.select("key").distinct(), "key", "left_semi")), "key")
+    """Distinct (u, v) of a line outside its band's most frequent label and one of another label, that the bound lets pass."""
+    rows = pending.join(texts.drop("line"), "key")
     a, b = rows.where("label != lead").alias("a"), rows.alias("b")
-    bits = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
-    differ = F.greatest(bits, F.abs(F.col("a.n") - F.col("b.n"))).cast("long")
-    close = (NUM + DEN) * differ <= (DEN - NUM) * (F.col("a.n") + F.col("b.n"))
-    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & close)
+    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b"))
     return met.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
 
 
-def line_components(lines: DataFrame, tables: Scratch) -> DataFrame:
-    """(vertex, component): keys of lines that are similar to another one, directly or through others."""
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = tables.keep(bucket_members(_bands(lines), "band"))
+def line_components(distinct: DataFrame, tables: Scratch) -> DataFrame:
+    """(vertex, component): keys of distinct lines (dealt by key) that are similar to another one, directly or through others."""
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = tables.keep(bucket_members(_bands(distinct), "band"))
     tables.release()
     keys = tables.keep(members.select("key").distinct())
-    n = keys.count()
-    words = bloom.words_for(n)
-    filter_ = bloom.build(keys, "key", words)
-    wanted = lines.select("key", "line").where(bloom.may_hold(F.lit(np.array(filter_.first()["filter"], np.int64)), F.col("key"), words))
-    wanted = wanted.join(keys, "key", "left_semi").groupBy("key").agg(F.min("line").alias("line"))
-    texts = tables.keep_dealt(wanted.select("key", "line", F.size(F.array_distinct(shingles(F.col("line")))).cast("long").alias("n")), "key", parts)
-    labels = families(members, lambda pairs: tables.keep(_verified(pairs, texts)), lambda pending: _possible(pending, texts), n, tables)
+    texts = tables.keep_dealt(_candidates(distinct, keys), "key", parts)
+    labels = families(members, lambda pairs: tables.keep(_verified(pairs, texts)), lambda pending: _possible(pending, texts), keys.count(), tables)
     tables.release(members, keys, texts)
     return labels
 
@@ -115,15 +121,20 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, h, drop array<int>): line numbers, from 0, of the lines that documents (id, text) lose."""
     tables = Scratch(docs.sparkSession)
     lines = exploded_lines(docs, min_chars)
-    component = line_components(lines, tables)
-    # the first occurrence of every distinct line, and how often it occurs
-    seen = lines.groupBy("key").agg(F.min(F.struct("id", "no", "h")).alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = seen.join(component.select(F.col("vertex").alias("key"), "component"), "key", "left").where("n > 1 or component is not null")
-    groups = joined.withColumn("component", F.coalesce("component", "key"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = tables.keep_dealt(distinct_lines(lines), "key", parts, moved=True)
+    tables.release()
+    component = line_components(distinct, tables)
+    joined = distinct.select("key", "first", "n").join(component.withColumnRenamed("vertex", "key"), "key", "left").where("n > 1 or component is not null")
+    groups = tables.keep(joined.select("key", "first", F.coalesce("component", "key").alias("component")))
     keeper = groups.groupBy("component").agg(F.min("first").alias("kept"))
     # kept as a table, so that the join below stands alone and its hot lines can be split
     repeated = tables.keep(groups.select("key", "component").join(keeper, "component").select("key", "kept"))
-    lost = lines.select("id", "h", "no", "key").join(repeated, "key").where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("no") == F.col("kept.no")) & (F.col("h") == F.col("kept.h"))))
+    tables.release(distinct, component, groups)
+    words = bloom.words_for(repeated.count())
+    filter_ = F.lit(np.array(bloom.build(repeated, "key", words).first()["filter"], np.int64))
+    met = lines.select("id", "h", "no", "key").where(bloom.may_hold(filter_, F.col("key"), words)).join(repeated, "key")
+    lost = met.where(~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("no") == F.col("kept.no")) & (F.col("h") == F.col("kept.h"))))
     return lost.groupBy("id", "h").agg(F.array_sort(F.collect_set("no")).alias("drop"))
 
 

@@ -38,7 +38,7 @@ from .scratch import Scratch
 #: Size classes grow by this factor; blocks beyond the pigeonhole's need; groups within a block.
 CLASS_RATIO, SPARE, BLOCK_GROUPS = 1.25, 2, 1 << 20
 #: Coordinates of the points in the trees of tiles, entries per node, points per chunk.
-TREE_GROUPS, NODE, CHUNK = 256, 16, 2048
+TREE_GROUPS, NODE, CHUNK = 256, 16, 1024
 #: Sets whose tiles a task remembers.
 SEEN = 100_000
 #: Bits of the filter that spares documents outside all tiles the second reading: 1 MiB.

@@ -52,10 +52,12 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
-    def keep_dealt(self, df: DataFrame, key: str, parts: int) -> DataFrame:
-        """df as a table bucketed and sorted by key: joins on key with as many partitions move only the other side."""
+    def keep_dealt(self, df: DataFrame, key: str, parts: int, moved: bool = False) -> DataFrame:
+        """df as a table bucketed and sorted by key: joins on key with as many partitions move only the other side.
+
+        moved: df's last step deals it by key into as many partitions already."""
         path, name = self._next(), f"sievelight_{uuid.uuid4().hex}"
-        df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+        (df if moved else df.repartition(parts, key)).write.bucketBy(parts, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
         out = self.spark.table(name)
         self.paths[id(out)], self.named[id(out)] = path, name
         return out
