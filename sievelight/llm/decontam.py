@@ -1,287 +1,252 @@
-"""Benchmark decontamination over a document-partitioned positional inverted index.
+"""Benchmark decontamination over a distributed positional inverted index.
 
-Every Arrow batch of documents is one index segment: its tokens in text order are the posting
-store, and a term's posting list is the ascending positions at which it stands.  A benchmark item is
-split into windows of consecutive words.  For each window the lists are intersected from its rarest
-term on (by occurrences counted over all documents): the rarest term's positions, moved back by its
-place in the window, give candidate starts; each further term keeps those starts at which its own
-list, moved by its place, agrees.  What is left are exact phrase matches.  proximity_matches() finds
-items whose rare terms stand close together in any order.
+A benchmark item is split into windows of consecutive words.  Terms are counted over all documents; a window's lists are
+then intersected from its rarest term on.
 
-Documents stay where they are: no posting is shuffled, so a term or a source that holds a third of
-all rows binds no task.  The benchmark's windows travel with the tasks; they are taken in blocks of at
-most BLOCK_WORDS words, one scan each, so what a task holds never grows with the benchmark.  The
-driver receives occurrence counts of one block's terms only.
+Index.  A posting says that a term stands at a position of a text; it carries the terms that stand up to `reach` places around
+it.  Executors make the postings of the windows' rarest terms in one scan and write them as a table; other terms' lists
+are in the postings' surroundings, where offsets are differences of places.
+
+Intersection.  Postings are joined with the windows by the rarest term, which gives candidate starts; from the next rarest
+term on, each must stand at its own offset.  A start that keeps all is an exact phrase match.  For proximity an item's
+`terms` rarest terms must all stand within `within` words of the rarest, in any order.
+
+Scale.  The benchmark stays distributed: the driver receives two bit filters of fixed size (FILTER_BITS), which spare
+the scans most other terms and never decide a match.  Texts stay where they are.  A posting's text is named by 128 bits of
+hashes, so copies give the same postings; a term with very many postings is split by AQE, as it is the large side of an
+equi-join.  Windows with a term that no document has are out before the scan.
 
 Words are compared by 64-bit hashes of their lower-cased bytes; a window must agree in all its
-hashes, so a false match would need ten collisions in a row.
+hashes, so a false match of a full window would need ten collisions in a row.
 
 Edge cases: null and empty texts have no words and no hits; items without words are ignored; rows of
-the benchmark that share an item_id count as one item with several texts; an empty benchmark hits
-nothing; repeated documents are judged one by one.
+the benchmark that share an item_id count as one item with several texts; an item without an id marks words but is no named
+item; an empty benchmark hits nothing; repeated documents and ids are judged row by row; ids may be of any type.
 """
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import ALNUM, chunks, pieces, utf8, words
+from .arrow_text import ALNUM, LOWER, chunks, pieces, utf8, words
+from .scratch import Scratch
 
 WIDTH = 10
-BLOCK_WORDS = 1_000_000
-
-
-@dataclass
-class Windows:
-    """Distinct windows of one block of items; terms are numbers of the sorted vocabulary."""
-
-    vocabulary: np.ndarray  # uint64 word hashes, sorted
-    terms: np.ndarray  # int32 [n, WIDTH], -1 beyond a short window's length
-    lengths: np.ndarray  # int32 [n]
-    items: list[tuple]  # per window: the items that hold it
-    names: list[str]  # item ids as strings
-
-
-def build_windows(rows: list[tuple], width: int = WIDTH) -> Windows:
-    """rows: (item_id, text)."""
-    names: dict[str, int] = {}
-    data, offsets = utf8(pa.array([t for _, t in rows], pa.string()))
-    hashes, _, _, first = words(data, offsets, ALNUM)
-    vocabulary, number = np.unique(hashes, return_inverse=True)
-    found: dict[tuple, set] = {}
-    for i, (item, _) in enumerate(rows):
-        w = number[first[i] : first[i + 1]].tolist()
-        if not w:
-            continue
-        k = names.setdefault(str(item), len(names))
-        for j in range(max(1, len(w) - width + 1)):
-            found.setdefault(tuple(w[j : j + width]), set()).add(k)
-    terms = np.full((len(found), width), -1, np.int32)
-    lengths = np.zeros(len(found), np.int32)
-    for i, w in enumerate(found):
-        terms[i, : len(w)] = w
-        lengths[i] = len(w)
-    return Windows(vocabulary, terms, lengths, [tuple(sorted(s)) for s in found.values()], list(names))
-
-
-class Lookup:
-    """Term numbers of word hashes: a bit table answers most misses before the binary search."""
-
-    BITS = 18
-
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary
-        self.table = np.zeros(1 << self.BITS, bool)
-        self.table[vocabulary & np.uint64((1 << self.BITS) - 1)] = True
-
-    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, term numbers) of the known words."""
-        if not len(self.vocabulary):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.table[hashes & np.uint64((1 << self.BITS) - 1)])
-        near = np.searchsorted(self.vocabulary, hashes[at])
-        near[near == len(self.vocabulary)] = 0
-        same = self.vocabulary[near] == hashes[at]
-        return at[same], near[same]
-
-
-def count_terms(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """Occurrences of each term over all documents (text column `text`)."""
+#: Proximity: how many of an item's rarest terms must stand how close to the rarest.
+NEAR_TERMS, NEAR_WORDS = 5, 40
+#: Bits of a filter of terms: 1 MiB.
+FILTER_BITS = 23
+#: Terms that a task counts before it hands its counts on.
+COUNTED = 200_000
+
+
+def _named(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.xxhash64(text_col).alias("h"), F.xxhash64(text_col, F.lit(1)).alias("g"), F.col(text_col).alias("text"))
+
+
+def item_terms(benchmark: DataFrame) -> DataFrame:
+    """(item, terms array<long>, words array<string>) of the benchmark's texts; texts without words are left out."""
 
     def run(batches):
-        known, total = Lookup(vocabulary), np.zeros(len(vocabulary), np.int64)
         for batch in pieces(batches):
-            data, offsets = utf8(batch.column(0))
-            for i, j in chunks(offsets):
-                hashes, _, _, _ = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
-                total += np.bincount(known(hashes)[1], minlength=len(vocabulary))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["term", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(vocabulary), np.int64)
-    for row in counted.toLocalIterator():
-        out[row["term"]] = row["n"]
-    return out
-
-
-class Index:
-    """Windows with their terms ordered from the rarest on, grouped by that term."""
-
-    def __init__(self, windows: Windows, counts: np.ndarray):
-        n, width = windows.terms.shape if len(windows.terms) else (0, WIDTH)
-        rarity = np.where(windows.terms >= 0, counts[windows.terms] if len(counts) else 0, np.iinfo(np.int64).max)
-        self.place = np.argsort(rarity, axis=1, kind="stable").astype(np.int32)
-        self.term = np.take_along_axis(windows.terms, self.place, 1)
-        anchor = self.term[:, 0] if n else np.zeros(0, np.int32)
-        self.order = np.argsort(anchor, kind="stable")
-        self.anchors, self.from_ = np.unique(anchor[self.order], return_index=True)
-        self.to = np.append(self.from_[1:], n)
-        self.lengths = windows.lengths
-        self.anchor_hashes = windows.vocabulary[self.anchors] if n else np.zeros(0, np.uint64)
-        self.hashes = windows.vocabulary[np.maximum(self.term, 0)] if n else np.zeros((0, width), np.uint64)
-
-    def search(self, lookup: Lookup, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start position) of every occurrence in a segment; first: documents' first words."""
-        position, k = lookup(hashes)
-        if not len(position):
-            return position, position
-        times = (self.to - self.from_)[k]
-        at = np.repeat(position, times)
-        step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        window = self.order[np.repeat(self.from_[k], times) + step]
-        start = at - self.place[window, 0]
-        doc = np.searchsorted(first, at, "right") - 1
-        keep = (start >= first[doc]) & (start + self.lengths[window] <= first[doc + 1])
-        window, start = window[keep], start[keep]
-        for j in range(1, self.place.shape[1]):
-            if not len(window):
-                break
-            more = self.term[window, j] >= 0
-            there = np.where(more, start + self.place[window, j], start)
-            keep = ~more | (hashes[there] == self.hashes[window, j])
-            window, start = window[keep], start[keep]
-        return window, start
-
-
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: id, n_words, hits array<struct<start, end>> (merged word ranges), items array<string>.
-
-    The benchmark is read in blocks; the ranges and items of several blocks are merged per document
-    within the same scan."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["id"].dataType.simpleString()
-    blocks, rows, size = [], [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        rows.append((r[0], r[1]))
-        size += len(r[1] or "") // 4 + 1
-        if size >= block_words:
-            blocks.append(rows)
-            rows, size = [], 0
-    blocks.append(rows)
-    out = None
-    for rows in blocks:
-        windows = build_windows(rows, width)
-        index = Index(windows, count_terms(narrow, windows.vocabulary) if len(windows.terms) else np.zeros(0, np.int64))
-        part = narrow if out is None else out
-        out = _search_block(part, index, windows, kind, first_block=out is None)
-    return out.drop("text")
-
-
-def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(ranges):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
-
-
-def _search_block(part: DataFrame, index: Index, windows: Windows, kind: str, first_block: bool) -> DataFrame:
-    item_lists, lengths, names = windows.items, windows.lengths, windows.names
+            data, offsets = utf8(batch.column(1))
+            hashes, start, end, first = words(data, offsets, ALNUM)
+            ends = pa.array(first.astype(np.int32))
+            low = LOWER[data].tobytes()
+            spelt = [low[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(hashes.astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(spelt, pa.string()))], ["item", "terms", "words"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "item string, terms array<long>, words array<string>").where(F.size("terms") > 0)
+
+
+def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(w, item, terms): an item's runs of `width` words, or the whole of a shorter one; w names the terms in order."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("terms") - width + 1, F.lit(1)))
+    cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("terms", i, F.lit(width)))).alias("terms"))
+    return cut.select(F.xxhash64("terms", F.size("terms")).alias("w"), "item", "terms").distinct()
+
+
+def bit_filter(terms: DataFrame) -> np.ndarray:
+    """Bits of (term) rows; other terms may share them."""
+    spot = terms.select(F.col("term").bitwiseAND((1 << FILTER_BITS) - 1).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("m"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in spot.toLocalIterator():
+        table[r["i"]] = r["m"]
+    return table.view(np.uint8)
+
+
+def _passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Positions of the hashes that a filter may hold."""
+    low = hashes & np.uint64((1 << FILTER_BITS) - 1)
+    return np.flatnonzero((bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
+
+
+def count_terms(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(term, n): occurrences over all documents (text) of the terms that pass the filter."""
 
     def run(batches):
-        lookup = Lookup(index.anchor_hashes)
-        ranges_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        total: dict[int, int] = {}
+
+        def emit():
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+            total.clear()
+            return out
+
         for batch in pieces(batches):
-            data, offsets = utf8(batch.column(1))
-            n = batch.num_rows
-            count = np.zeros(n, np.int64)
-            hits: list = [[] for _ in range(n)] if first_block else [[(x["start"], x["end"]) for x in h] for h in batch.column(3).to_pylist()]
-            items: list = [set() for _ in range(n)] if first_block else [set(x) for x in batch.column(4).to_pylist()]
+            data, offsets = utf8(batch.column(0))
             for i, j in chunks(offsets):
-                hashes, _, _, first = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
-                count[i:j] = np.diff(first)
-                window, start = index.search(lookup, hashes, first)
-                if not len(window):
-                    continue
-                doc = np.searchsorted(first, start, "right") - 1
-                # an occurrence marks words; runs of marked words are the document's ranges
-                mark = np.zeros(len(hashes) + 1, np.int64)
-                np.add.at(mark, start, 1)
-                np.add.at(mark, start + lengths[window], -1)
-                covered = np.cumsum(mark[:-1]) > 0
-                for d in np.unique(doc).tolist():
-                    own = covered[first[d] : first[d + 1]].astype(np.int8)
-                    edge = np.flatnonzero(np.diff(own, prepend=0, append=0))
-                    hits[i + d] = _merge(hits[i + d] + list(zip(edge[::2].tolist(), edge[1::2].tolist())))
-                pairs = np.unique(np.stack([doc, window]), axis=1)
-                for d, w in pairs.T.tolist():
-                    items[i + d].update(names[k] for k in item_lists[w])
-            found = [[{"start": s, "end": e} for s, e in h] for h in hits]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count), pa.array(found, ranges_type), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "text", "n_words", "hits", "items"])
-
-    return part.mapInArrow(run, f"id {kind}, text string, n_words long, hits array<struct<start:long,end:long>>, items array<string>")
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = 40, terms: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item, start): places where the item's `terms` rarest terms all stand within `within`
-    words of its rarest, in any order.  The benchmark is one block here; larger ones raise."""
-    rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").limit(BLOCK_WORDS).toLocalIterator()]
-    if sum(len(t or "") for _, t in rows) > 8 * BLOCK_WORDS:
-        raise ValueError("split the benchmark: proximity search takes one block")
-    data, offsets = utf8(pa.array([t for _, t in rows], pa.string()))
-    hashes, _, _, first = words(data, offsets, ALNUM)
-    vocabulary = np.unique(hashes)
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = count_terms(narrow, vocabulary)
-    rare = {}
-    for i, (item, _) in enumerate(rows):
-        own = np.unique(np.searchsorted(vocabulary, hashes[first[i] : first[i + 1]]))
-        if len(own):
-            rare[str(item)] = own[np.argsort(counts[own], kind="stable")][:terms].tolist()
-    kind = narrow.schema["id"].dataType.simpleString()
+                hashes, _, _, _ = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
+                term, n = np.unique(hashes[_passing(bits, hashes)].astype(np.int64), return_counts=True)
+                for t, c in zip(term.tolist(), n.tolist()):
+                    total[t] = total.get(t, 0) + c
+                if len(total) > COUNTED:
+                    yield emit()
+        yield emit()
+
+    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def postings(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
+    """(term, h, g, pos, around) of documents (h, g, text): around[reach + d] is the term d places on, 0 outside the text."""
 
     def run(batches):
-        known = Lookup(vocabulary)
+        step = np.arange(-reach, reach + 1)
         for batch in pieces(batches):
-            data, offsets = utf8(batch.column(1))
-            ids, out = batch.column(0).to_pylist(), ([], [], [])
+            data, offsets = utf8(batch.column(2))
+            h, g = (batch.column(k).to_numpy() for k in (0, 1))
             for i, j in chunks(offsets):
                 hashes, _, _, first = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ALNUM)
-                at, term = known(hashes)
-                order = np.lexsort((at, term))
-                at, term = at[order], term[order]
-                doc_of = np.searchsorted(first, at, "right") - 1
-                bounds = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-                for item, own in rare.items():
-                    lead = slice(bounds[own[0]], bounds[own[0] + 1])
-                    keep = np.ones(lead.stop - lead.start, bool)
-                    for t in own[1:]:
-                        if not keep.any():
-                            break
-                        other, where = at[bounds[t] : bounds[t + 1]], doc_of[bounds[t] : bounds[t + 1]]
-                        if not len(other):
-                            keep[:] = False
-                            break
-                        # the first position at or after the window's left edge within the same document
-                        begin = np.maximum(at[lead] - within, first[doc_of[lead]])
-                        low = np.searchsorted(other, begin)
-                        ok = low < len(other)
-                        low = np.minimum(low, len(other) - 1)
-                        keep &= ok & (other[low] <= at[lead] + within) & (where[low] == doc_of[lead])
-                    for p, d in zip(at[lead][keep].tolist(), doc_of[lead][keep].tolist()):
-                        out[0].append(ids[i + d])
-                        out[1].append(item)
-                        out[2].append(p - int(first[d]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["id", "item", "start"])
-
-    return narrow.mapInArrow(run, f"id {kind}, item string, start long")
+                every = _passing(bits, hashes)
+                for at in np.array_split(every, max(1, len(every) // 8192)):
+                    if not len(at):
+                        continue
+                    doc = np.searchsorted(first, at, "right") - 1
+                    place = at[:, None] + step
+                    inside = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
+                    around = np.where(inside, hashes[np.clip(place, 0, len(hashes) - 1)], 0).astype(np.int64)
+                    ends = np.arange(len(at) + 1, dtype=np.int32) * (2 * reach + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[at].astype(np.int64)), pa.array(h[i + doc]), pa.array(g[i + doc]), pa.array(at - first[doc]), pa.ListArray.from_arrays(pa.array(ends), pa.array(around.ravel()))], ["term", "h", "g", "pos", "around"])
+
+    return docs.mapInArrow(run, "term long, h long, g long, pos long, around array<long>")
+
+
+def _by_rarity(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """(key, order): the terms of a key as structs (n, place, term) from the rarest on; keys with a term that no document has are
+    left out.  rows: (key, terms)."""
+    placed = rows.select(key, F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term")).join(counts, "term")
+    return placed.groupBy(key, "length").agg(F.array_sort(F.collect_list(F.struct("n", "place", "term"))).alias("order")).where("size(order) = length").drop("length")
+
+
+class Benchmark:
+    """A benchmark's terms, counted over documents: kept tables for the searches of one run."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, text_col: str = "text"):
+        self.tables = Scratch(docs.sparkSession)
+        self.docs = _named(docs, text_col)
+        self.items = self.tables.keep(item_terms(benchmark))
+        bits = bit_filter(self.items.select(F.explode("terms").alias("term")))
+        # the filter lets other terms through: what is joined later is exact
+        self.counts = self.tables.keep(count_terms(self.docs.where("text is not null"), bits))
+
+    def _posted(self, ordered: DataFrame, reach: int) -> DataFrame:
+        anchors = ordered.select(F.col("order")[0]["term"].alias("term")).distinct()
+        found = postings(self.docs.where("text is not null"), bit_filter(anchors), reach)
+        return self.tables.keep(found)
+
+    def phrases(self, width: int = WIDTH) -> DataFrame:
+        """(h, g, w, start, length): every occurrence of a window, once per text."""
+        every = windows(self.items, width).select("w", "terms").dropDuplicates(["w"])
+        ordered = self.tables.keep(_by_rarity(every, "w", self.counts))
+        posted = self._posted(ordered, width - 1)
+        asked = ordered.select("w", F.col("order")[0]["term"].alias("term"), F.col("order")[0]["place"].alias("first"), F.slice("order", 2, F.lit(width)).alias("others"), F.size("order").alias("length"))
+        met = posted.join(asked, "term")
+        agrees = F.forall("others", lambda x: F.get("around", F.lit(width - 1) + x["place"] - F.col("first")) == x["term"])
+        return met.where(agrees).select("h", "g", "w", (F.col("pos") - F.col("first")).alias("start"), "length").distinct()
+
+    def named_windows(self, width: int = WIDTH) -> DataFrame:
+        return windows(self.items, width).where("item is not null").select("w", "item").distinct()
+
+    def near(self, within: int = NEAR_WORDS, terms: int = NEAR_TERMS) -> DataFrame:
+        """(h, g, item, start): places of an item's rarest term around which its `terms` rarest ones all stand."""
+        placed = self.items.where("item is not null").select("item", F.explode(F.arrays_zip("terms", "words")).alias("t")).select("item", F.col("t.terms").alias("term"), F.col("t.words").alias("word")).distinct()
+        known = placed.join(self.counts, "term", "left").select("item", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "term").alias("t"))
+        # the item's own few rarest terms; words settle ties
+        rare = known.groupBy("item").agg(F.slice(F.array_sort(F.collect_list("t")), 1, terms).alias("order")).where("order[0].n > 0")
+        rare = self.tables.keep(rare)
+        posted = self._posted(rare, within)
+        met = posted.join(rare.select("item", F.col("order")[0]["term"].alias("term"), "order"), "term")
+        stands = F.forall("order", lambda x: F.array_contains(F.col("around"), x["term"]))
+        return met.where(stands).select("h", "g", "item", F.col("pos").alias("start")).distinct()
+
+
+def _hit_texts(bench: Benchmark, width: int) -> DataFrame:
+    """(h, g, hits, items) of texts with a window: merged word ranges, and item names in order."""
+    found = bench.tables.keep(bench.phrases(width))
+    spans = found.groupBy("h", "g", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
+    own = Window.partitionBy("h", "g").orderBy("start")
+    # a range begins where no earlier window reaches
+    opens = F.col("start") > F.coalesce(F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    runs = spans.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(own)).groupBy("h", "g", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ranges = runs.groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")))).alias("hits"))
+    named = found.select("h", "g", "w").distinct().join(bench.named_windows(width), "w").select("h", "g", "item").distinct().groupBy("h", "g").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return bench.tables.keep(ranges.join(named, ["h", "g"], "left"))
+
+
+def count_words(text: Column) -> Column:
+    """Words of a text; A-Z count as a-z, so they are word characters here."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
+
+
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, near: bool = False) -> DataFrame:
+    """One row per document: id, n_words, hits array<struct<start, end>> (merged word ranges), items array<string>, and with near also
+    near_items array<string>: items whose rarest terms stand close together in it."""
+    bench = Benchmark(docs, benchmark, text_col)
+    found = _hit_texts(bench, width)
+    if near:
+        close = bench.near().select("h", "g", "item").distinct().groupBy("h", "g").agg(F.array_sort(F.collect_list("item")).alias("near_items"))
+        found = bench.tables.keep(found.join(close, ["h", "g"], "full"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(text_col, F.lit(1)).alias("g"), count_words(F.col(text_col)).alias("n_words"))
+    out = base.join(found, ["h", "g"], "left")
+    some = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    columns = ["id", "n_words", some("hits", "array<struct<start:bigint,end:bigint>>"), some("items", "array<string>")]
+    return out.select(*columns, *([some("near_items", "array<string>")] if near else []))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """(h, g): 64-bit hashes xxhash64(text) and xxhash64(text, 1) of the texts that hold a window of the benchmark."""
+    bench = Benchmark(docs, benchmark, text_col)
+    return bench.tables.keep(bench.phrases(width).select("h", "g").distinct())
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, within: int = NEAR_WORDS, terms: int = NEAR_TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, item, start): places where the item's `terms` rarest terms all stand within `within`
+    words of its rarest, in any order."""
+    found = Benchmark(docs, benchmark, text_col).near(within, terms)
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(text_col, F.lit(1)).alias("g"))
+    return named.join(found, ["h", "g"]).select("id", "item", "start")
 
 
 def decontamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The op4 query's rows."""
-    found = phrase_matches(docs, benchmark)
+    found = phrase_matches(docs, benchmark, near=True)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
-
-
-def items_sha256(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return found.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"))
+
+
+_SPLIT = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: DuckDB SQL of the digest.
+DECONTAMINATION_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents), b0 AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SPLIT.format("text")} AS w FROM benchmark), b AS MATERIALIZED (SELECT * FROM b0 WHERE len(w) > 0),
+wi AS (SELECT DISTINCT item, least(len(w), {WIDTH}) AS n, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS s FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM b)),
+sizes AS (SELECT DISTINCT n FROM wi), at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), runs AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM at, sizes WHERE i + n - 1 <= len(w)),
+hit AS MATERIALIZED (SELECT doc_id, i, runs.n, item FROM runs JOIN wi ON runs.s = wi.s AND runs.n = wi.n), pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit), np AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1),
+vocab AS (SELECT DISTINCT item, unnest(w) AS word FROM b), tok AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d), cnt AS (SELECT word, count(*) AS c FROM tok GROUP BY 1),
+rk AS MATERIALIZED (SELECT item, word, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY item ORDER BY coalesce(c, 0), word) AS r FROM vocab LEFT JOIN cnt USING (word)), rare AS MATERIALIZED (SELECT item, word, r, count(*) OVER (PARTITION BY item) AS k FROM rk WHERE r <= {NEAR_TERMS}),
+lead AS (SELECT item, k, doc_id, p FROM rare JOIN tok USING (word) WHERE r = 1), also AS (SELECT l.item, l.k, l.doc_id, l.p, count(DISTINCT t.word) AS found FROM lead l JOIN rare USING (item) JOIN tok t ON t.doc_id = l.doc_id AND t.word = rare.word AND t.p BETWEEN l.p - {NEAR_WORDS} AND l.p + {NEAR_WORDS} GROUP BY ALL),
+ne AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM also WHERE found = k GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near FROM d LEFT JOIN np USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN ne USING (doc_id)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontam import decontamination_digest
+from .decontam import DECONTAMINATION_SQL, decontamination_digest
 from .html_extract import extract
 from .langid import langid_digest
 from .line_dedup import line_digest
@@ -61,4 +61,4 @@ def op10_order_minhash(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_ngram_jaccard, op4_decontamination, op5_url_filter, op6_language_id, op7_html_extraction, op8_packing, op9_line_dedup, op10_order_minhash)}
-ORACLES = {"op5_url_filter": URL_SQL}
+ORACLES = {"op4_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
