@@ -2,7 +2,10 @@
 
 A page is parsed into a tree with HTML's implied ends (a block start closes an open paragraph).
 Regions that are never article text (menus, page headers and footers, sidebars, notices, adverts,
-forms, reader comments, scripts and styles) are cut by tag, role or class name.  Every remaining
+forms, reader comments, scripts and styles) are cut by tag, role or class name.  A class or id that says what an element has or
+does (`with-sidebar`, `has-comments`) names no region; an element that bears an article's name as well is not cut by
+another name; and a region that holds most of the page's text, few of it links, is not cut by its name alone, unless
+that is one of reader comments.  If names would cut all text, they cut nothing.  Every remaining
 paragraph passes points for its length and commas to its parent, and half of them to its
 grandparent; a container's points are discounted by its link density.  If the best container lies
 within an article or main element, all of the nearest one is kept, whatever its blocks' points; else its siblings are,
@@ -26,13 +29,15 @@ from pyspark.sql import functions as F
 from .arrow_text import pieces
 
 # Element and name lists.
-RAW = frozenset("script style noscript template textarea iframe svg math object title select xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea iframe svg title select xmp noembed noframes".split())
 CUT_TAGS = frozenset("nav footer aside form menu dialog button input label fieldset head header".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 CUT_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion sidebar aside comment comments commentlist respond disqus nav navbar navigation menu"
     " breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe share sharing social related widget login signup pagination".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist respond disqus".split())
+STATES = frozenset("with without has have no not is are show shows hide hides can js".split())
 GOOD_NAMES = frozenset("article body content entry main page post story text blog hentry".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -47,51 +52,85 @@ PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 #: A sibling of an article is kept with this share of the best container's points, any other below this share of link text.
 SIBLING_SHARE, LINK_SHARE = 0.2, 0.5
+#: A region named otherwise is kept from this share of the page's text, up to this share of link text.
+MOST_TEXT, FEW_LINKS = 0.6, 0.3
 
 
 class Node:
     __slots__ = ("tag", "parent", "children", "cut", "bonus", "chars", "link_chars", "points", "block")
 
-    def __init__(self, tag, parent, cut=False, bonus=0.0):
+    def __init__(self, tag, parent, cut="", bonus=0.0):
         self.tag, self.parent, self.cut, self.bonus = tag, parent, cut, bonus
         self.children, self.chars, self.link_chars, self.points = [], 0, 0, 0.0
         self.block = tag in BLOCKS
 
 
-def _judge(tag: str, attributes: str, inside_article: bool) -> tuple[bool, float]:
-    """(whether the element is cut, points its names are worth)."""
+def _judge(tag: str, attributes: str, inside_article: bool) -> tuple[str, float]:
+    """(what cuts the element: `tag` for its tag or role, `comment` or `name` for its names, nothing; points its names are worth)."""
     if tag in CUT_TAGS and not (tag == "header" and inside_article):
-        return True, 0.0
-    bonus = 25.0 if tag in ("article", "main") else 0.0
-    if attributes:
-        for m in NAMED.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() == "role":
-                if value in CUT_ROLES:
-                    return True, 0.0
-                bonus += 25.0 * (value in ("main", "article"))
-                continue
-            names = set(re.split(r"[^a-z0-9]+", value))
-            if names & CUT_NAMES and tag not in ("html", "body", "article", "main"):
-                return True, 0.0
-            if names & GOOD_NAMES:
-                bonus += 10.0
-    return False, bonus
+        return "tag", 0.0
+    bonus, names = 25.0 if tag in ("article", "main") else 0.0, []
+    for m in NAMED.finditer(attributes) if attributes else ():
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if m[1].lower() == "role":
+            if value in CUT_ROLES:
+                return "tag", 0.0
+            bonus += 25.0 * (value in ("main", "article"))
+        else:
+            names += value.split()
+    good, bad = False, set()
+    for name in names:
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if not parts or len(parts) > 1 and parts[0] in STATES:
+            continue
+        good |= len(parts) == 1 and parts[0] in GOOD_NAMES
+        bad.update(x for x in parts if x in CUT_NAMES)
+        bonus += 10.0 * any(x in GOOD_NAMES for x in parts)
+    if bad and not good and tag not in ("html", "body", "article", "main"):
+        return "comment" if bad & COMMENT_NAMES else "name", 0.0
+    return "", bonus
+
+
+class _Open:
+    """The stack of open elements; the nearest one of a tag, and the nearest block, are known without a search."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.blocks, self.articles = [root], {}, [], 0
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.block:
+            self.blocks.append(len(self.stack))
+        self.articles += node.tag in ("article", "main")
+        self.stack.append(node)
+
+    def nearest(self, tags) -> int:
+        """Depth of the nearest open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, depth: int) -> None:
+        """Close the element at a depth and all within it."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.at[node.tag].pop()
+            if node.block:
+                self.blocks.pop()
+            self.articles -= node.tag in ("article", "main")
 
 
 def parse(page: str) -> list[Node]:
     """Nodes in page order; the first is the root.  Text children are strings, still encoded."""
     root = Node("#root", None)
-    nodes, open_, articles = [root], [root], 0
+    nodes, open_ = [root], _Open(root)
     at, n, last = 0, len(page), page.rfind(">")
     while at < n:
         lt = page.find("<", at) if at <= last else -1
+        top = open_.stack[-1].children
         if lt < 0:
-            if at < n:
-                open_[-1].children.append(page[at:])
+            top.append(page[at:])
             break
         if lt > at:
-            open_[-1].children.append(page[at:lt])
+            top.append(page[at:lt])
         if page[lt + 1 : lt + 2] in ("!", "?"):
             comment = page.startswith("<!--", lt)
             end = page.find("-->", lt + 4) if comment else page.find(">", lt)
@@ -99,53 +138,61 @@ def parse(page: str) -> list[Node]:
             continue
         m = TAG.match(page, lt) or PLAIN_TAG.match(page, lt)
         if m is None:
-            open_[-1].children.append("<")
+            top.append("<")
             at = lt + 1
             continue
         at, tag = m.end(), m[2].lower()
         if m[1]:
-            if tag in ("br", "p") and not any(x.tag == tag for x in open_):
-                open_[-1].children.append(" ")
-                continue
-            for i in range(len(open_) - 1, max(0, len(open_) - 512), -1):
-                if open_[i].tag == tag:
-                    articles -= sum(x.tag in ("article", "main") for x in open_[i:])
-                    del open_[i:]
-                    break
+            depth = open_.nearest((tag,))
+            if depth:
+                open_.close(depth)
+            elif tag in ("br", "p"):
+                top.append(" ")
             continue
-        if tag in BLOCKS:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == "p":
-                    del open_[i:]
-                    break
-                if open_[i].block:
-                    break
+        if tag in BLOCKS and open_.blocks and open_.stack[open_.blocks[-1]].tag == "p":
+            open_.close(open_.blocks[-1])
         if tag in ENDS:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in ENDS[tag]:
-                    del open_[i:]
-                    break
-                if open_[i].tag in SCOPES and not (tag in ("td", "th", "tr") and open_[i].tag in ("td", "th")):
-                    break
+            depth = open_.nearest(ENDS[tag])
+            if depth and depth >= open_.nearest(SCOPES - {"td", "th"} if tag in ("td", "th", "tr") else SCOPES):
+                open_.close(depth)
         if tag in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
                 close = -1 if end is None else page.find(">", end.start())
                 at = n if close < 0 else close + 1
             continue
+        top = open_.stack[-1]
         if tag in VOID:
-            open_[-1].children.append(" " if tag != "hr" else Node("hr", open_[-1]))
+            top.children.append(" " if tag != "hr" else Node("hr", top))
             continue
-        cut, bonus = _judge(tag, m[3], articles > 0)
-        node = Node(tag, open_[-1], cut, bonus)
-        open_[-1].children.append(node)
+        cut, bonus = _judge(tag, m[3], open_.articles > 0)
+        node = Node(tag, top, cut, bonus)
+        top.children.append(node)
         nodes.append(node)
         if not m[3].endswith("/"):
-            open_.append(node)
-            articles += tag in ("article", "main")
+            open_.push(node)
     return nodes
 
 
+def spare(nodes: list[Node]) -> None:
+    """Lift the cut of names from regions that hold most of the page's text."""
+    size: dict[int, list[int]] = {}
+    for node in reversed(nodes):
+        own = size.setdefault(id(node), [0, 0])
+        own[0] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        if node.tag == "a":
+            own[1] = own[0]
+        if node.parent is not None and node.cut not in ("tag", "comment"):
+            up = size.setdefault(id(node.parent), [0, 0])
+            up[0] += own[0]
+            up[1] += own[1]
+    total = size[id(nodes[0])][0]
+    for node in nodes:
+        chars, links = size[id(node)]
+        if node.cut == "name" and chars > MOST_TEXT * total and links < FEW_LINKS * chars:
+            node.cut = ""
+
+
 def score(nodes: list[Node]) -> None:
     """Fill chars, link_chars and points, children before parents."""
     commas: dict[int, int] = {}
@@ -219,6 +266,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = parse(page)
+    spare(nodes)
+    text = _written(nodes)
+    if not text and any(x.cut == "name" for x in nodes):
+        for node in nodes:
+            node.cut = "" if node.cut == "name" else node.cut
+            node.chars, node.link_chars, node.points = 0, 0, 0.0
+        text = _written(nodes)
+    return text
+
+
+def _written(nodes: list[Node]) -> str:
     score(nodes)
     dead, best = set(), None
     for node in nodes:
