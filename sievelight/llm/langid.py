@@ -3,12 +3,16 @@
 Every language has a codeword of +1/-1; for each bit, a binary n-gram classifier (multinomial
 log-odds over hashed byte trigrams) tells the languages with +1 from those with -1.  A text's margin
 on a bit is its mean log-odds; decoding sums a logistic loss per bit, weighted by the bit's accuracy
-on training documents, and takes the codeword with the least loss.  The result is ambiguous when
+on single training documents that its classifier was not fitted on, and takes the codeword with the least loss.  The result is ambiguous when
 the second-best codeword comes within AMBIGUOUS of the best.
 
 Training reads only text and language of the rows given, at most TRAIN_PER_LANGUAGE documents for each
-language (those with the smallest hash of their id); counting runs on the executors, and the driver
-receives one count vector per task and language.
+language (those with the smallest hash of their id).  Counting runs on the executors; the driver receives BUCKETS counts at
+most per language, which is the size of the model.  One in HELD_BACK of these documents is kept out of a first fit, on which the
+bits' accuracies are measured; the final fit takes all.
+
+Score: the softmax share of the best codeword, in which at most EVIDENCE trigrams count, so a long text of mixed languages
+is no more certain than a short one.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; no labelled row at all makes
 every text `und`; one language only is a codeword of its own and always wins; repeated rows are judged
@@ -33,6 +37,8 @@ EXHAUSTIVE, CODE_BITS = 5, 31
 #: Trigrams that count in full; longer texts are no more certain than that.
 EVIDENCE = 60
 AMBIGUOUS = 0.8
+#: One in so many training documents measures the bits.
+HELD_BACK = 5
 
 # Bytes: letters lower-cased; digits, marks and white space are one symbol, so format is no evidence.
 _SYMBOL = np.full(256, 32, np.uint8)
@@ -100,9 +106,8 @@ def codewords(n: int, bits: int = CODE_BITS) -> np.ndarray:
     return best[1]
 
 
-def fit(counts: dict[str, np.ndarray], samples: list[tuple[str, np.ndarray]] = ()) -> Model:
-    """counts: trigram counts per language; samples: (language, counts) of single training parts,
-    on which each bit's accuracy is measured."""
+def fit(counts: dict[str, np.ndarray], accuracy: np.ndarray | None = None) -> Model:
+    """counts: trigram counts per language; accuracy: share of held-back documents on whose side each bit was."""
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, 1), np.int8), np.zeros((BUCKETS, 1), np.float32), np.ones(1), np.ones(1))
@@ -113,14 +118,10 @@ def fit(counts: dict[str, np.ndarray], samples: list[tuple[str, np.ndarray]] = (
         plus, minus = share[codes[:, b] > 0], share[codes[:, b] < 0]
         if len(plus) and len(minus):
             weights[:, b] = np.log(plus.mean(0)) - np.log(minus.mean(0))
-    slope, trust = np.ones(codes.shape[1]), np.ones(codes.shape[1])
     own = np.stack([share[i] @ weights for i in range(len(languages))]) if len(languages) > 1 else np.ones_like(codes, float)
     slope = 1.0 / np.maximum(np.abs(own).mean(0), 1e-6)
-    if samples:
-        right = np.zeros(codes.shape[1])
-        for language, c in samples:
-            right += np.sign(c @ weights) == codes[languages.index(language)]
-        trust = np.maximum(right / len(samples) - 0.5, 0.01)
+    # a bit that is right as often as a coin weighs next to nothing
+    trust = np.ones(codes.shape[1]) if accuracy is None else np.maximum(accuracy - 0.5, 0.01) ** 2
     return Model(languages, codes, weights, trust / trust.sum(), slope)
 
 
@@ -154,26 +155,55 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     some = rows.where(F.pmod("h", F.lit(1 << 20)) < share)
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", F.xxhash64("text")))).where(F.col("r") <= per_language)
 
+    some = some.select("lang", "text", (F.pmod(F.xxhash64("h"), F.lit(HELD_BACK)) == 0).alias("back"))
+
     def count(batches):
         for batch in pieces(batches):
-            langs = np.array(batch.column(0).to_pylist(), object)
+            group = np.array([f"{b:d}{x}" for x, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())], object)
             data, offsets = utf8(batch.column(1))
             total: dict[str, np.ndarray] = {}
             for i, j in chunks(offsets):
                 bucket, first = trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for d in range(j - i):
-                    c = np.bincount(bucket[first[d] : first[d + 1]], minlength=BUCKETS)
-                    total.setdefault(langs[i + d], np.zeros(BUCKETS, np.int64))
-                    total[langs[i + d]] += c
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([c.astype("<i4").tobytes() for c in total.values()], pa.binary())], ["lang", "counts"])
-
-    counts: dict[str, np.ndarray] = {}
-    samples = []
-    for r in some.select("lang", "text").mapInArrow(count, "lang string, counts binary").toLocalIterator():
-        c = np.frombuffer(r["counts"], "<i4").astype(np.float64)
-        counts[r["lang"]] = counts.get(r["lang"], 0) + c
-        samples.append((r["lang"], c))
-    return fit(counts, samples)
+                owner = np.repeat(group[i:j], np.diff(first))
+                for g in set(group[i:j].tolist()):
+                    total[g] = total.get(g, 0) + np.bincount(bucket[owner == g], minlength=BUCKETS)
+            for g, c in total.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array([g[1:]] * len(at), pa.string()), pa.array([g[0] == "1"] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "back", "bucket", "n"])
+
+    counts: dict[bool, dict[str, np.ndarray]] = {False: {}, True: {}}
+    counted = some.mapInArrow(count, "lang string, back boolean, bucket int, n long").groupBy("lang", "back", "bucket").agg(F.sum("n").alias("n"))
+    packed = counted.groupBy("lang", "back").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
+    for r in packed.toLocalIterator():
+        c = np.zeros(BUCKETS)
+        c[np.array(r["bucket"])] = r["n"]
+        counts[r["back"]][r["lang"]] = c
+    every = {x: counts[False].get(x, 0) + counts[True].get(x, 0) for x in {*counts[False], *counts[True]}}
+    first = fit(counts[False])
+    return fit(every, measure(some.where("back"), first) if set(counts[False]) == set(every) else None)
+
+
+def measure(held_back: DataFrame, model: Model) -> np.ndarray | None:
+    """Share of documents (lang, text) on the right side of every bit, one vote each; None without a document."""
+
+    def judge(batches):
+        number = {x: i for i, x in enumerate(model.languages)}
+        for batch in pieces(batches):
+            langs = batch.column(0).to_pylist()
+            data, offsets = utf8(batch.column(1))
+            right, n = np.zeros(model.codes.shape[1], np.int64), 0
+            for i, j in chunks(offsets):
+                bucket, first = trigrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for d in np.flatnonzero(np.diff(first)).tolist():
+                    if langs[i + d] in number:
+                        right += np.sign(model.weights[bucket[first[d] : first[d + 1]]].sum(0)) == model.codes[number[langs[i + d]]]
+                        n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right), dtype=np.int32)), pa.array(right), pa.array(np.full(len(right), n))], ["bit", "right", "n"])
+
+    rows = held_back.select("lang", "text").mapInArrow(judge, "bit int, right long, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect()
+    if not rows or not rows[0]["n"]:
+        return None
+    return np.array([r["right"] / r["n"] for r in sorted(rows, key=lambda r: r["bit"])])
 
 
 def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
