@@ -6,33 +6,37 @@ hashes, puts these back into text order and hashes the sequence.  A slot agrees
 they share the selected k-mers in the same order, so the share of agreeing slots follows edit
 distance, not just the bag of k-mers.  A slot that owns nothing borrows from the next one.
 
-The comparison with an edited neighbour needs the next document by id.  Documents are dealt by
-ranges of the id whose bounds are ids that exist (quantiles), and the first document of a range is also sent to
-the range before, so that every task finds its last document's successor; no task sees more than its
-ranges and no text is moved twice.
+The comparison with an edited neighbour needs the next document by id, whose order decides between all rows: texts meet by one
+shuffle.  Documents are dealt by ranges of the id whose bounds are ids that exist, and the first document of a range is also
+sent to the range before, so that every task finds its last document's successor; no task sees more than its ranges and no
+other text is moved twice.  The bounds come from the SAMPLED ids per range with the least hashes, a sample that the ids
+alone decide; as there are RANGES ranges per partition at any size, the driver holds as many bounds as the cluster has partitions, not the
+table documents.  The sample only balances the ranges.
 
 Edge cases: null and empty texts have the fingerprint of the empty text; texts shorter than a k-mer are one
-k-mer; equal texts have equal fingerprints; null ids come first; rows that share an id follow one
-another in text order; a table of one row is its own neighbour; an empty table gives no rows.
+k-mer; equal texts have equal fingerprints; ids may be of any type that sorts; null ids come first; rows that share an id follow one
+another in text order and lie in one range; a table of one row is its own neighbour; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrow_text import mix, pieces
 
 K, SLOTS, TUPLE = 12, 64, 2
 #: Candidates kept per slot before sorting; slots left short fall back to all k-mers.
 KEEP = 12
-#: Documents in one range of ids.
-RANGE = 4000
+#: Ranges of ids per partition, and ids sampled per range.
+RANGES, SAMPLED = 4, 16
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -136,38 +140,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"id {kind}, n_chars long, fingerprint string")
 
 
+def range_bounds(ids: DataFrame, ranges: int) -> list:
+    """At most ranges - 1 ascending values of the column id, about as many rows between each two; nulls are not counted."""
+    some = ids.where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(ranges * SAMPLED)
+    found = sorted(r["id"] for r in some.collect())
+    return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
+
+
 def with_successor(docs: DataFrame) -> DataFrame:
     """(range, tail, id, text) sorted within partitions: each row's successor by id is the next row of
-    its range; tail rows are only there to be the last one's successor.  docs: doc_id long, text."""
-    spark = docs.sparkSession
-    narrow = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("doc_id").isNull().alias("none"), "text")
-    stats = narrow.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).first()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(4 * parts, stats["n"] // RANGE + 1)
-    share = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(narrow.agg(F.percentile_approx("id", share, 20 * ranges).alias("q")).first()["q"] or []))
-    bounds = np.array([b for b in bounds if b > stats["least"]], np.int64)
-    least, last = stats["least"], len(bounds)
+    its range; tail rows are only there to be the last one's successor.  docs: doc_id of any type that sorts, text."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = docs.select(F.col("doc_id").alias("id"), "text")
+    kind = narrow.schema["id"].dataType.simpleString()
+    ends = narrow.agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("none")).first()
+    bounds = [b for b in range_bounds(narrow.select("id"), RANGES * parts) if b != ends["least"] or ends["none"]]
+    # the first row of all is the last one's successor
+    first, last, led = None if ends["none"] else ends["least"], len(bounds), set(bounds)
 
     def deal(batches):
         for batch in pieces(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            own = np.searchsorted(bounds, ids, "right")
-            table = pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.zeros(len(ids), np.int32)), *batch.columns], ["range", "tail", "id", "none", "text"])
-            yield table
-            lead = np.flatnonzero(np.isin(ids, bounds) | (ids == least))
-            if len(lead):
-                copies = batch.take(pa.array(lead))
-                before = np.where(ids[lead] == least, last, own[lead] - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(before), pa.array(np.ones(len(lead), np.int32)), *copies.columns], ["range", "tail", "id", "none", "text"])
+            ids = batch.column(0).to_pylist()
+            own = [0 if x is None else bisect.bisect_right(bounds, x) for x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([0] * len(ids), pa.int32()), *batch.columns], ["range", "tail", "id", "text"])
+            lead = [(i, last if x == first else own[i] - 1) for i, x in enumerate(ids) if x == first or x in led]
+            if lead:
+                at, before = zip(*lead)
+                copies = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(before, pa.int32()), pa.array([1] * len(at), pa.int32()), *copies.columns], ["range", "tail", "id", "text"])
 
-    dealt = narrow.mapInArrow(deal, "range int, tail int, id long, none boolean, text string")
-    return dealt.repartition(max(parts, 1), "range").sortWithinPartitions("range", "tail", "id", F.col("text").asc_nulls_first())
+    dealt = narrow.mapInArrow(deal, f"range int, tail int, id {kind}, text string")
+    return dealt.repartition(max(parts, 1), "range").sortWithinPartitions("range", "tail", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
 
 def order_minhash_digest(docs: DataFrame) -> DataFrame:
     """The op10 query's rows."""
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    kind = docs.schema["doc_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(batches):
         def rows():
@@ -177,24 +186,24 @@ def order_minhash_digest(docs: DataFrame) -> DataFrame:
         before, out = None, []
 
         def finish(prior, text, own):
-            _, id_, none, old, print_ = prior
+            _, id_, old, print_ = prior
             q = len(old) // 4
             edited = old[: len(old) - q] + text[:q]
             changed = print_ if edited == old else fingerprint(edited)
-            out.append((None if none else id_, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), spell(print_), spell(changed), likeness(print_, changed), likeness(print_, own)))
+            out.append((id_, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), spell(print_), spell(changed), likeness(print_, changed), likeness(print_, own)))
 
         def emit():
-            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], [x.split()[0] for x in schema.split(", ")])
+            done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], [x.split()[0] for x in schema.split(", ")])
             out.clear()
             return done
 
-        for range_, tail, id_, none, text in rows():
+        for range_, tail, id_, text in rows():
             text = text or ""
-            own = before[4] if before is not None and before[3] == text else fingerprint(text)
+            own = before[3] if before is not None and before[2] == text else fingerprint(text)
             if before is not None and before[0] == range_:
                 finish(before, text, own)
             # the first tail row ends its range; later ones (rows of the same id) add nothing
-            before = None if tail else (range_, id_, none, text, own)
+            before = None if tail else (range_, id_, text, own)
             if len(out) >= 512:
                 yield emit()
         if out:
