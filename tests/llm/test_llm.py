@@ -236,20 +236,24 @@ def test_decontamination(spark):
         w = split(t)
         for j in range(max(1, len(w) - 9) if w else 0):
             windows[tuple(w[j : j + 10])].add(str(i))
-    for limit in (decontam.BLOCK_WORDS, 4):
-        rows = decontam.phrase_matches(frame(spark, texts), bench, block_words=limit).collect()
-        for r in rows:
-            w, hit, found = split(texts[r.id]), set(), set()
-            for j in range(len(w)):
-                for n in range(1, 11):
-                    key = tuple(w[j : j + n])
-                    if key in windows and len(key) == n:
-                        hit |= set(range(j, j + n))
-                        found |= windows[key]
-            assert (r.n_words, {k for h in r.hits for k in range(h.start, h.end)}, set(r["items"])) == (len(w), hit, found)
+    for r in decontam.phrase_matches(frame(spark, texts), bench).collect():
+        w, hit, found = split(texts[r.id]), set(), set()
+        for j in range(len(w)):
+            for n in range(1, 11):
+                key = tuple(w[j : j + n])
+                if key in windows and len(key) == n:
+                    hit |= set(range(j, j + n))
+                    found |= windows[key]
+        assert (r.n_words, {k for h in r.hits for k in range(h.start, h.end)}, set(r["items"])) == (len(w), hit, found)
+        assert all(a.end < b.start for a, b in zip(r.hits, r.hits[1:]))
     digest = decontam.decontamination_digest(frame(spark, texts), bench).collect()
     assert len(digest) == len(texts) and {r.contaminated for r in digest} == {True, False}
     assert decontam.decontamination_digest(frame(spark, texts), bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.decontamination_digest(frame(spark, texts).limit(0), bench).count() == 0
+    # ids of any type, null ids, and an item without one: it marks words but has no name
+    odd = spark.createDataFrame([(None, "zz " + items[4]), ("a", items[4]), ("a", items[4])], "doc_id string, text string")
+    rows = decontam.decontamination_digest(odd, spark.createDataFrame([(None, items[4])], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or "", r.n_hit, r.n_items) for r in rows) == [("", 11, 0), ("a", 11, 0), ("a", 11, 0)]
 
 
 def test_proximity(spark):
@@ -318,6 +322,85 @@ def test_main_text_of_uneven_sections(tag):
     assert html_extract.main_text(page).split("\n") == ["Title", *[(text * 5).strip()] * 40, "Short", "Only a short paragraph here.", "item", "cell", "bare text"]
 
 
+LONG = "A sentence of some length, with a comma or two, to count. " * 5
+BODY = f"<p>{LONG}</p><p>{LONG}</p>"
+TWICE = [LONG.strip()] * 2
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="content with-sidebar">{BODY}</div>', TWICE),
+        (f'<div class="post has-comments">{BODY}</div><p>neighbour</p>', [*TWICE, "neighbour"]),
+        (f'<article>{BODY}<div class="post-comments"><p>{LONG}</p></div></article>', TWICE),
+        (f'<article>{BODY}<section id="comments"><p>{LONG}</p></section></article>', TWICE),
+        (f'<article>{BODY}<div class="related-posts"><ul><li><a href=/>x, y, z</a></li></ul></div></article>', TWICE),
+        (f'<div id="page-menu-left">{BODY}</div><footer>f</footer>', TWICE),
+        (f'<div class="widget">{BODY}</div>', TWICE),
+        (f"<article>{BODY}<p>E = <math><mi>m</mi><mi>c</mi></math> holds</p></article>", [*TWICE, "E = mc holds"]),
+        (f"<article><section>{BODY}</section><h2>Short</h2><section><p>Tiny end.</p></section></article>", [*TWICE, "Short", "Tiny end."]),
+        (f"<div><section>{BODY}</section><h2>Short</h2><section><p>Tiny end.</p></section></div>", [*TWICE, "Short", "Tiny end."]),
+        (f"<main><header><h1>T</h1></header>{BODY}</main>", ["T", *TWICE]),
+        (f"<header><h1>Site</h1></header><main>{BODY}</main>", TWICE),
+        (f'<main>{BODY}<form>f<input></form><aside class="x">side</aside></main>', TWICE),
+        (f"<article>{BODY}<ul><li>one<li>two<ul><li>inner</ul></ul></article>", [*TWICE, "one", "two", "inner"]),
+        (f"<article>{BODY}<table><tr><td>a<td>b<tr><td>c</table></article>", [*TWICE, "a", "b", "c"]),
+        (f"<article>{BODY}<nav>" + "<a><b><font>" * 400 + "menu</nav><p>after</p></article>", [*TWICE, "after"]),
+        (f"<article>{BODY}<pre>x\n  y</pre>a &lt; b &#8212; c</article>", [*TWICE, "x y", "a < b \u2014 c"]),
+        (f'<div role="navigation">n</div><div role="main">{BODY}</div>', TWICE),
+        (f'<div class="cookie-notice"><p>We, use, cookies.</p></div><article>{BODY}</article>', TWICE),
+        ('<div class="sidebar"><p>All there is.</p></div>', ["All there is."]),
+    ],
+)
+def test_page_shapes(page, want):
+    assert html_extract.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
+def test_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        for page in ("<span>" * n + "</p>" * n, "<span>" * n + "<p>" * n, "<b>" * n + "</i>" * n, "<ul>" * n + "<li>" * n, "<div class=ad>" * n):
+            html_extract.main_text(page)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(10_000), 0.05)
+
+
+def test_decoding_by_brute_force():
+    """Losses of every codeword, bit by bit, with weights that differ and matter."""
+    rng = np.random.default_rng(4)
+    counts = {x: rng.poisson(0.2, langid.BUCKETS).astype(float) for x in "abcd"}
+    accuracy = np.linspace(0.55, 1.0, 7)
+    model = langid.fit(counts, accuracy)
+    assert len(set(np.round(model.trust, 6))) == 7 and (np.diff(model.trust) > 0).all()
+    sums, n = rng.normal(0, 40, (200, 7)), np.full(200, 30)
+    best, score, close = langid.decode(model, sums, n)
+    flat = langid.decode(langid.fit(counts), sums, n)[0]
+    assert (best != flat).any()
+    for i in range(200):
+        losses = []
+        for code in model.codes.tolist():
+            total = 0.0
+            for b, sign in enumerate(code):
+                total += model.trust[b] * np.log1p(np.exp(-np.clip(3.0 * sums[i, b] / n[i] * model.slope[b] * sign, -30, 30)))
+            losses.append(total)
+        assert best[i] == int(np.argmin(losses))
+        assert close[i] == (sorted(losses)[0] >= langid.AMBIGUOUS * sorted(losses)[1]) and 0 <= score[i] <= 1
+
+
+def test_bits_are_measured_on_held_back_documents(spark):
+    """Two languages that are nearly alike make some bits err on single documents."""
+    rng = random.Random(5)
+    near = ["tor", "min", "ul", "est", "ka"]
+    parts = {"aa": near, "ab": [*near[:-1], "ke"], "bb": ["kwa", "zu", "ngo"], "cc": ["xil", "oth", "yr"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[x]) for _ in range(2)) for _ in range(4)), x) for i in range(800) for x in [sorted(parts)[i % 4]]]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.trust.max() > 1.5 * model.trust.min()
+
+
 # --- packing, lines, fingerprints ------------------------------------------------------------------
 
 
@@ -450,6 +533,45 @@ def test_line_recall(spark):
     print("lines to drop", len(want), "dropped", len(got))
 
 
+def slow_fingerprint(text):
+    """Order MinHash by its definition, k-mer by k-mer."""
+    k, slots = order_minhash.K, order_minhash.SLOTS
+    if not text:
+        return [0] * slots
+    one = lambda x: int(order_minhash.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    a, b = int(order_minhash._A), int(order_minhash._B)
+    k = min(k, len(text))
+    seen, numbered = collections.Counter(), []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * a + ord(c) + 1) & (2**64 - 1)
+        h = one(h + k)
+        numbered.append(one(h + seen[h] * b) if seen[h] else h)
+        seen[h] += 1
+    own = collections.defaultdict(list)
+    for i, h in enumerate(numbered):
+        own[h >> 58].append((h, i))
+    out = []
+    for s in range(slots):
+        away = next(d for d in range(slots) if own.get((s + d) % slots))
+        best = sorted(own[(s + away) % slots])[:2]
+        if len(best) == 2:
+            first, second = (h for _, h in sorted((i, h) for h, i in best))
+            value = one(one(first) * a + second)
+        else:
+            value = one(best[0][0] + b)
+        out.append(max((one(value + away * b) if away else value) >> 32, 1))
+    return out
+
+
+def test_fingerprints_by_brute_force():
+    rng = random.Random(12)
+    for n in (1, 5, 12, 13, 40, 300, 900, 4000):
+        text = "".join(rng.choice("abc \u00e9\U0001f600") for _ in range(n))
+        assert order_minhash.fingerprint(text).tolist() == slow_fingerprint(text), n
+
+
 def test_fingerprints(spark):
     texts = ODD + ["abc " * 50, "The quick brown fox jumps over the lazy dog. " * 12]
     rows = sorted(order_minhash.order_minhash_digest(frame(spark, texts)).collect(), key=lambda r: r.doc_id)
@@ -477,3 +599,15 @@ def test_fingerprint_order_of_odd_ids(spark):
     got = order_minhash.order_minhash_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
     assert order_minhash.order_minhash_digest(spark.createDataFrame(rows[:1], "doc_id long, text string")).first().near_next == 1.0
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(20,0)"])
+def test_successors_over_many_ranges(spark, kind):
+    texts = [f"text number {i} " * (1 + i % 3) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, text string").select(F.lpad(F.col("n").cast("string"), 6, "0").cast(kind).alias("doc_id"), "text").repartition(7)
+    rows = sorted(order_minhash.order_minhash_digest(docs).collect(), key=lambda r: r.doc_id)
+    assert len(rows) == 300
+    for i, r in enumerate(rows):
+        q = len(texts[i]) // 4
+        assert r.edited_sha256 == hashlib.sha256((texts[i][: len(texts[i]) - q] + texts[(i + 1) % 300][:q]).encode()).hexdigest()
+    assert order_minhash.order_minhash_digest(docs.limit(0)).count() == 0
