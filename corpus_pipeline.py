@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm.decontam import phrase_matches
+from sievelight.llm.decontam import contaminated
 from sievelight.llm.langid import held_out, identify, train
 from sievelight.llm.line_dedup import dedup_lines
 from sievelight.llm.ngram_jaccard import jaccard_components
@@ -52,11 +52,14 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage of ten words (a shorter item: all its words)."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = phrase_matches(keyed, bench, id_col="row")
-    return found.where(F.size("hits") == 0).select("id.*").select(*docs.columns)
+    """Documents without a benchmark passage of ten words (a shorter item: all its words).
+
+    A text decides for all rows that hold it; null and empty texts have no passage and stay, repeated rows stay, and an
+    empty benchmark keeps all."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.select(F.col("h").alias("__hit_h"), F.col("g").alias("__hit_g"))
+    same = (F.xxhash64("text") == F.col("__hit_h")) & (F.xxhash64("text", F.lit(1)) == F.col("__hit_g"))
+    return docs.join(hit, same, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
