@@ -150,3 +150,25 @@ class Query:
     @property
     def threshold(self) -> float:
         return V.THRESHOLDS[self.intent]
+
+
+FEATURES = ("content", "symptoms", "identifiers", "domain", "phrases", "search", "plain", "keys")
+
+
+def features(queries):
+    """(query_id, content, symptoms, identifiers, domain, phrases, search, plain, keys) of a table of queries (query_id, text): every
+    list that a single Query holds, for many queries at once, each list as a string array.  keys are the plain terms' keys."""
+    import pandas as pd
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for i, text in zip(pdf["query_id"], pdf["text"]):
+                q = Query.of(text or "")
+                plain = plain_terms(q.text)
+                keys = list(dict.fromkeys(k for t in plain for k in term_keys(t)))
+                rows.append((i, list(q.content), list(q.symptoms), list(q.identifiers), list(q.decomposition.domain), list(q.decomposition.phrases), search_terms(q.text), plain, keys))
+            yield pd.DataFrame(rows, columns=["query_id", *FEATURES])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return queries.select("query_id", "text").mapInPandas(run, f"query_id {kind}, " + ", ".join(f"{x} array<string>" for x in FEATURES))

@@ -81,3 +81,12 @@ def log_probabilities(payload: Column) -> Column:
     from_probs = F.transform(probs, lambda e: F.struct(e["tok_str"].alias("token"), F.lit(None).cast("bigint").alias("id"), F.ln(F.greatest(e["prob"], F.lit(1e-12))).alias("logprob")))
     raw = F.when(F.trim(payload).startswith("["), F.from_json(payload, shape))
     return F.coalesce(raw, completion, chat, F.when(F.size(listed) > 0, listed), from_probs, F.array().cast(shape))
+
+
+def ambiguity_events(rows):
+    """Rows (entries, prompt) whose first token decides nothing, with token_text, token_id, logprob, prompt_suffix (the last 150
+    characters) and the first five entries as top_candidates."""
+    _, _, ambiguous = yes_no(F.col("entries"))
+    first = F.get("entries", F.lit(0))
+    top = F.transform(F.slice("entries", 1, 5), lambda e: F.struct(clean_token(e["token"]).alias("token"), e["id"].alias("id"), F.round(e["logprob"], 4).alias("logprob")))
+    return rows.where(ambiguous).withColumns({"token_text": clean_token(first["token"]), "token_id": first["id"], "logprob": F.round(first["logprob"], 4), "prompt_suffix": F.expr("right(coalesce(prompt, ''), 150)"), "top_candidates": top})

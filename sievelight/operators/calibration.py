@@ -8,9 +8,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunking import number_in_order, number_rows
+
 GRID = [0.05 + i * (9.95 / 199) for i in range(200)]
 
 
@@ -54,9 +56,19 @@ def fit_temperature(df: DataFrame, by=()) -> DataFrame:
     return losses.groupBy(*by).agg(F.round(F.min_by("t", F.struct(F.round("nll", 12), "t")), 4).alias("temperature"))
 
 
+def contiguous_folds(df: DataFrame, order: str, folds: int) -> DataFrame:
+    """df with `fold`, 1 to folds: equal parts in the order of a column, the first ones longer by a row where they do not divide."""
+    numbered = number_in_order(df, order, "__no")
+    held = numbered.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("__n"))), how="inner", on=F.lit(True))
+    size, more = F.floor(F.col("__n") / folds), F.col("__n") % folds
+    long = more * (size + 1)
+    fold = F.when(F.col("__no") < long, F.floor(F.col("__no") / (size + 1))).otherwise(more + F.floor((F.col("__no") - long) / F.greatest(size, F.lit(1)))) + 1
+    return held.withColumn("fold", fold.cast("int")).drop("__no", "__n")
+
+
 def fit_temperature_cv(df: DataFrame, order: str, folds: int = 5) -> DataFrame:
     """Median of the temperatures fitted without each of `folds` contiguous folds."""
-    cut = df.withColumn("fold", F.ntile(folds).over(Window.orderBy(order)))
+    cut = contiguous_folds(df, order, folds)
     counted = cut.groupBy("fold", "y", "z").agg(F.count(F.lit(1)).alias("n"))
     others = F.filter(F.array(*[F.lit(i) for i in range(1, folds + 1)]), lambda i: i != F.col("fold"))
     kept = counted.select(F.explode(others).alias("left_out"), "y", "z", "n").groupBy("left_out", "y", "z").agg(F.sum("n").alias("n"))
@@ -93,7 +105,7 @@ def fit_platt(df: DataFrame, l2: float = 1e-3, most: int = 50, tol: float = 1e-6
 
 def fit_platt_cv(df: DataFrame, order: str, folds: int = 5, penalties=(1e-4, 1e-3, 1e-2, 1e-1, 1.0)) -> tuple[float, Platt]:
     """(penalty, Platt): the penalty of the least mean fold Brier score over contiguous folds, refitted on all rows."""
-    cut = df.withColumn("fold", F.ntile(folds).over(Window.orderBy(order)))
+    cut = contiguous_folds(df, order, folds)
     best = None
     for l2 in penalties:
         losses = []
@@ -110,10 +122,9 @@ def fit_platt_cv(df: DataFrame, order: str, folds: int = 5, penalties=(1e-4, 1e-
 def out_of_fold(df: DataFrame, order: str, folds: int = 5) -> DataFrame:
     """df with `oof`: each row's prediction by a Platt model fitted without its fold.
 
-    Folds are stratified by class: rows of a class are dealt round by a hash of `order`, so they follow the
+    Folds are stratified by class: rows of a class are dealt round in an order of hashes of `order`, so they follow the
     row and not the partitioning."""
-    w = Window.partitionBy("y").orderBy(F.xxhash64(order), order)
-    dealt = df.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(folds)))
+    dealt = number_rows(df, order, "fold", ("y",)).withColumn("fold", F.pmod("fold", F.lit(folds)))
     prediction = F.lit(None).cast("double")
     for f in range(folds):
         prediction = F.when(F.col("fold") == f, fit_platt(dealt.where(F.col("fold") != f)).column(F.col("z"))).otherwise(prediction)

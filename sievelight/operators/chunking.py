@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.session import cut
 
 NEWLINE = "\r\n|\r|\n"
 
@@ -73,16 +74,26 @@ def with_index(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("chunk_idx", F.shiftleft(F.col("file_idx").cast("bigint"), 32) + F.col("start_line"))
 
 
-def number_rows(rows: DataFrame, key: str, name: str, buckets: int = 4096) -> DataFrame:
-    """rows with consecutive numbers from 0 by (bucket of a hash of the key, key), without one task that sorts all of them: rows are
-    numbered within their bucket, and a bucket's first number is the sum of the sizes before it."""
+def number_rows(rows: DataFrame, key: str, name: str, by: tuple[str, ...] = (), buckets: int = 4096) -> DataFrame:
+    """rows with consecutive numbers from 0 (in each group of `by`) by (bucket of a hash of the key, key), without a task that
+    sorts a whole group: rows are numbered within their bucket, and a bucket's first number is the sum of the sizes before it."""
     bucket = F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
     dealt = rows.withColumn("__bucket", bucket)
-    own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__bucket").orderBy(key)))
-    sizes = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__size"))
-    # one row per bucket, so this window is short at any size
-    first = sizes.withColumn("__first", F.sum("__size").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
-    return own.join(F.broadcast(first.select("__bucket", "__first")), "__bucket").withColumn(name, F.col("__first") + F.col("__own") - 1).drop("__bucket", "__own", "__first")
+    own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(key)))
+    sizes = dealt.groupBy(*by, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
+    # at most one row per bucket and group, so this window is short at any size
+    first = sizes.withColumn("__first", F.sum("__size").over(Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
+    return own.join(first.drop("__size"), [*by, "__bucket"]).withColumn(name, F.col("__first") + F.col("__own") - 1).drop("__bucket", "__own", "__first")
+
+
+def number_in_order(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with consecutive numbers from 0 in the order of a key, as number_rows: rows are dealt by ranges of the key and kept
+    so, numbered within a range, and a range's first number is the sum of the sizes before it."""
+    dealt = cut(rows.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()))
+    own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(key)))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    first = sizes.withColumn("__first", F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size"))
+    return own.join(F.broadcast(first.select("__range", "__first")), "__range").withColumn(name, F.col("__first") + F.col("__own") - 1).drop("__range", "__own", "__first")
 
 
 _DEFINES = re.compile(r"^\s*(?:(?:export|default|public|private|protected|static|async|abstract|pub|final|inline|virtual|unsafe)\s+)*(?:function\*?|class|interface|struct|enum|trait|impl|fn|func|def|type|namespace|module)\s+([A-Za-z_$][\w$]*)")

@@ -24,7 +24,7 @@ def prior_delta(intent: str, is_test: Column, is_doc: Column) -> Column:
 SYMBOL_FILLER = ("from", "to", "is", "for", "the", "in", "of", "and", "by", "with")
 
 
-def symbol_delta(q: Q.Query, symbol: Column, file_path: Column, content: Column, is_test: Column, strict_reference: bool = False, task_rules: bool = False) -> tuple[Column, Column]:
+def symbol_delta(q: Q.Query, symbol: Column, file_path: Column, content: Column, is_test: Column, strict_reference: bool = False) -> tuple[Column, Column]:
     """(logit delta, matched): how strongly the query names the chunk's symbol.
 
     strict_reference lets an absent symbol match any long identifier, as empty text lies in every text."""
@@ -41,10 +41,6 @@ def symbol_delta(q: Q.Query, symbol: Column, file_path: Column, content: Column,
     half = F.lit(0.85) + F.when(F.exists(shared, lambda p: F.contains(path, p)), 0.35).otherwise(0.0)
     by_parts = F.when(ratio == 1.0, 1.60).when(ratio >= 0.75, 1.10).when(ratio >= 0.5, half).otherwise(0.0)
     delta = F.greatest(F.when(whole, 1.40).otherwise(0.0), by_parts)
-    if task_rules and q.intent == "REFACTOR" and {"schema", "table"} <= set(words):
-        # one evaluation task's own rule
-        schema = F.contains(F.coalesce(file_path, F.lit("")), F.lit("schema.ts")) & (symbol == "progressWorkTypes")
-        delta = F.greatest(delta, F.when(schema, 0.50).otherwise(0.0))
     if q.intent == "REFACTOR":
         delta = delta - F.when(is_test, 0.35).otherwise(0.0)
     matched = whole | (by_parts > 0)
@@ -205,11 +201,18 @@ def _with_test(shown: DataFrame, held: DataFrame, threshold: float, by: list[str
 
 
 def verify(chunks: DataFrame, file_lines: DataFrame) -> DataFrame:
-    """ground_truth_status of cited line ranges, by a join with (file_path, line_count)."""
+    """ground_truth_status of cited line ranges, by a join with (file_path, line_count); scores of what is not there are 0."""
     joined = chunks.join(file_lines, "file_path", "left")
     bad = (F.col("start_line") < 1) | (F.col("end_line") > F.col("line_count")) | (F.col("start_line") > F.col("end_line"))
     status = F.when(F.col("file_path").isNull(), "UNVERIFIED_RAW_TEXT").when(F.col("line_count").isNull(), "FILE_NOT_FOUND").when(bad, "INVALID_LINE_RANGE").otherwise("VERIFIED")
-    return joined.withColumn("ground_truth_status", status).drop("line_count")
+    out = joined.withColumn("ground_truth_status", status).drop("line_count")
+    lost = F.col("ground_truth_status").isin("INVALID_LINE_RANGE", "FILE_NOT_FOUND")
+    return out.withColumns({c: F.when(lost, 0.0).otherwise(F.col(c)) for c in ("raw_score", "decision_score", "calibrated_score", "order_score") if c in out.columns})
+
+
+def raw_snippet(content: Column) -> Column:
+    """The first 300 characters, for text without a file."""
+    return F.substring(content, 1, 300)
 
 
 def snippet(content: Column) -> Column:

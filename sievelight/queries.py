@@ -533,23 +533,50 @@ def temperature_cv(spark, sf_dir):
     return calibration.fit_temperature_cv(_labelled(spark, sf_dir), "doc_id")
 
 
-@_register("platt_fit")
+def _newton(source: str, keys: str, l2: str, steps: int = 14) -> str:
+    """CTEs n0, n1, ...: Newton steps of the penalised logistic fit over `source` (keys, y, z, n), from (1, 0)."""
+    out = [f"n0 AS MATERIALIZED (SELECT {keys}, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM {source} GROUP BY {keys})"]
+    p = "least(greatest(1 / (1 + exp(-(m.a * s.z + m.b))), 1e-12), 1 - 1e-12)"
+    for i in range(steps):
+        sums = f"SELECT {keys}, any_value(m.a) AS a, any_value(m.b) AS b, sum(s.n * ({p} - s.y) * s.z) + {l2} * any_value(m.a) AS ga, sum(s.n * ({p} - s.y)) AS gb, sum(s.n * {p} * (1 - {p}) * s.z * s.z) + {l2} AS haa, sum(s.n * {p} * (1 - {p}) * s.z) AS hab, sum(s.n * {p} * (1 - {p})) AS hbb FROM {source} s JOIN n{i} m USING ({keys}) GROUP BY {keys}"
+        out.append(f"n{i + 1} AS MATERIALIZED (SELECT {keys}, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM ({sums}))")
+    return ", ".join(out) + f", fitted AS (SELECT {keys}, greatest(0.01, round(a, 4)) AS a, round(b, 4) AS b FROM n{steps})"
+
+
+@_register("platt_fit", f"WITH {_LABELLED}, c AS (SELECT 1 AS k, y, z, count(*) AS n FROM labelled GROUP BY ALL), {_newton('c', 'k', '1e-3')} SELECT a, b FROM fitted")
 def platt_fit(spark, sf_dir):
     m = calibration.fit_platt(_labelled(spark, sf_dir))
     return spark.range(1).select(F.lit(m.a).alias("a"), F.lit(m.b).alias("b"))
 
 
-@_register("platt_cv")
+@_register("platt_cv", f"""WITH {_LABELLED}, f AS (SELECT *, ntile(5) OVER (ORDER BY doc_id) AS fold FROM labelled), g AS (SELECT l2, k FROM (VALUES (1e-4::DOUBLE), (1e-3), (1e-2), (1e-1), (1.0)) t(l2), range(1, 7) r(k)),
+c AS (SELECT l2 * 10000 + k * 1000000 AS k, any_value(l2) AS l2, y, z, count(*) AS n FROM f, g WHERE fold <> g.k GROUP BY l2, g.k, y, z), {_newton('c', 'k', 'any_value(s.l2)')},
+e AS (SELECT g.l2, g.k, round(avg(power(round(1 / (1 + exp(-(a * z + b))), 4) - y, 2)), 4) AS loss FROM g JOIN fitted ON fitted.k = g.l2 * 10000 + g.k * 1000000 JOIN f ON f.fold = g.k GROUP BY ALL), m AS (SELECT l2, avg(loss) AS loss FROM e GROUP BY 1), best AS (SELECT l2 FROM m ORDER BY round(loss, 12), l2 LIMIT 1)
+SELECT best.l2, a, b FROM best JOIN fitted ON fitted.k = best.l2 * 10000 + 6 * 1000000""")
 def platt_cv(spark, sf_dir):
     l2, m = calibration.fit_platt_cv(_labelled(spark, sf_dir), "doc_id")
     return spark.range(1).select(F.lit(l2).alias("l2"), F.lit(m.a).alias("a"), F.lit(m.b).alias("b"))
 
 
-@_register("out_of_fold")
+_FOLDED = f"{_LABELLED}, f AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4096, doc_id) - 1) % 5 AS fold FROM labelled)"
+
+
+@_register("out_of_fold", f"WITH {_FOLDED}, c AS (SELECT r.k, y, z, count(*) AS n FROM f, range(5) r(k) WHERE fold <> r.k GROUP BY ALL), {_newton('c', 'k', '1e-3')} SELECT doc_id, y, round(1 / (1 + exp(-(a * z + b))), 4) AS oof FROM f JOIN fitted ON fitted.k = f.fold")
 def out_of_fold(spark, sf_dir):
     return calibration.out_of_fold(_labelled(spark, sf_dir), "doc_id").select("doc_id", "y", "oof")
 
 
+@_register("held_out_tasks", f"WITH {_LABELLED}, t AS (SELECT doc_id, doc_id % 6 AS task_id, y, z FROM labelled), c AS (SELECT 1 AS k, y, z, count(*) AS n FROM t WHERE task_id IN (0, 1, 2, 3) GROUP BY ALL), {_newton('c', 'k', '1e-3')} SELECT doc_id, round(1 / (1 + exp(-(a * z + b))), 4) AS prediction FROM t, fitted WHERE task_id IN (4, 5)")
+def held_out_tasks(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).withColumn("task_id", F.col("doc_id") % 6)
+    return calibration.held_out_tasks(rows, [0, 1, 2, 3], [4, 5]).select("doc_id", "prediction")
+
+
+@_register("temperature_scaled", f"WITH {_LABELLED} SELECT doc_id, round(1 / (1 + exp(-(z / 1.7))), 4) AS scaled FROM labelled")
+def temperature_scaled(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("doc_id", calibration.Temperature(1.7).column(F.col("z")).alias("scaled"))
+
+
 # --- evaluation -----------------------------------------------------------------------------------
 
 _EVAL_CTES = f"{_MULTI}, ev AS (SELECT query_id AS task_id, CAST(rank AS INT) AS rank, multi.id, contains(c.file_path, '/src' || (query_id % 20) || '/') AS is_target, c.content FROM multi JOIN chunks c USING (chunk_idx) WHERE rank <= 5)"
@@ -668,4 +695,4 @@ def review_gates(spark, sf_dir):
 
 
 # more queries, registered by import
-from . import queries_code, queries_more  # noqa: E402, F401
+from . import queries_code, queries_more, queries_text  # noqa: E402, F401
