@@ -17,7 +17,9 @@ from .scratch import Scratch
 
 #: Most rounds of hubs before the last search.  It begins sooner once it has at most so many pairs a key to rule out, or once
 #: a round leaves more than this share of the pairs that it found.
-HUB_ROUNDS, PAIRS_A_KEY, SLOW = 24, 4, 0.8
+HUB_ROUNDS, PAIRS_A_KEY, SLOW = 12, 16, 0.8
+#: Hubs that a member meets in a round.
+HUBS = 4
 #: Partners of a hub that get one copy of its payload.
 PART = 64
 
@@ -80,9 +82,10 @@ def families(members: DataFrame, verify: Callable[[DataFrame], DataFrame], searc
         if last:
             pairs = search(pending)
         else:
-            # one member of each bucket's lead meets those of other labels, and each of these meets one
-            lead = pending.where("label = lead").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(r)).alias("x"), "key")).alias("hub")).select("bucket", "hub")
-            tried = pending.where("label != lead").join(lead, "bucket").groupBy("key").agg(F.min("hub").alias("hub"))
+            # HUBS members of each bucket's lead meet those of other labels, and each of these meets one for each hub's number
+            number = F.array(*[F.min(F.struct(F.xxhash64("key", F.lit(r * HUBS + t)).alias("x"), "key")) for t in range(HUBS)])
+            lead = pending.where("label = lead").groupBy("bucket").agg(number.alias("hubs"))
+            tried = pending.where("label != lead").join(lead, "bucket").select("key", F.posexplode("hubs").alias("t", "hub")).groupBy("key", "t").agg(F.min("hub").alias("hub"))
             pairs = tried.select(F.greatest("key", "hub.key").alias("u"), F.least("key", "hub.key").alias("v")).distinct()
         pairs = tables.keep(pairs)
         found = verify(pairs)

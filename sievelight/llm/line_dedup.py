@@ -37,8 +37,9 @@ from .scratch import Scratch
 SHINGLE, BANDS, ROWS = 10, 8, 4
 NUM, DEN = 80, 100
 MIN_CHARS = 24
-#: 64-bit words of a sketch: bit x of it is set if the set has a shingle whose hash ends in x.
-WORDS = 8
+#: 64-bit words of a sketch: bit x of it is set if the set has a shingle whose hash ends in x.  At 4,096 bits the sketches of lines of
+#: a thousand characters differ in nearly as many bits as their sets in shingles.
+WORDS = 64
 _SEEDS = [int(x) for x in np.random.default_rng(5).integers(-(2**31), 2**31, BANDS * ROWS)]
 
 
@@ -98,7 +99,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _possible(pending: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct (u, v) of a line outside its band's most frequent label and one of another label, that the bound lets pass."""
+    """Distinct (u, v) of a line outside its band's most frequent label and one of another label, that the
+    bound lets pass."""
     rows = pending.join(texts.drop("line"), "key")
     a, b = rows.where("label != lead").alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b"))
