@@ -242,7 +242,7 @@ _SPLIT = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTU
 #: DuckDB SQL of the digest.
 DECONTAMINATION_SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents), b0 AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SPLIT.format("text")} AS w FROM benchmark), b AS MATERIALIZED (SELECT * FROM b0 WHERE len(w) > 0),
 wi AS (SELECT DISTINCT item, least(len(w), {WIDTH}) AS n, array_to_string(w[i:i + {WIDTH - 1}], ' ') AS s FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) AS i FROM b)),
-sizes AS (SELECT DISTINCT n FROM wi), at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), runs AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM at, sizes WHERE i + n - 1 <= len(w)),
+sizes AS (SELECT DISTINCT n FROM wi), steps AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), runs AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM steps, sizes WHERE i + n - 1 <= len(w)),
 hit AS MATERIALIZED (SELECT doc_id, i, runs.n, item FROM runs JOIN wi ON runs.s = wi.s AND runs.n = wi.n), pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit), np AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1),
 vocab AS (SELECT DISTINCT item, unnest(w) AS word FROM b), tok AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d), cnt AS (SELECT word, count(*) AS c FROM tok GROUP BY 1),

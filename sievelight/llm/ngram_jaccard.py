@@ -334,6 +334,8 @@ def _tree_pairs(pending: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
 def jaccard_digest(docs: DataFrame) -> DataFrame:
     """The op3 query's rows: three-word shingles, similarity 0.9."""
-    rows = jaccard_components(docs, 3, 90, 100)
-    least = rows.where("component_key is not null").groupBy("component_key").agg(F.min("id").alias("component_id"))
+    tables = Scratch(docs.sparkSession)
+    rows = tables.keep(jaccard_components(docs, 3, 90, 100))
+    # a table, so that the join below stands alone and a large component can be split
+    least = tables.keep(rows.where("component_key is not null").groupBy("component_key").agg(F.min("id").alias("component_id")))
     return rows.join(least, "component_key", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Seconds between two collections of the driver's garbage: short runs need none.
+PAUSE = 3.0
+
+
 class Scratch:
     """A folder of tables below the shared one, deleted at the latest when the driver ends."""
 
+    collected = time.monotonic()
+
     def __init__(self, spark: SparkSession):
         self.spark, self.count, self.paths, self.named = spark, 0, {}, {}
         self.path = f"{shared_folder(spark)}/sievelight-{uuid.uuid4().hex}"
@@ -74,5 +81,8 @@ class Scratch:
         """Delete tables, and let Spark delete the shuffle files of finished queries: it does so when the driver's JVM collects
         the plans that made them, and a driver with little to collect would keep them for long."""
         self.drop(*tables)
+        if time.monotonic() - Scratch.collected < PAUSE:
+            return
+        Scratch.collected = time.monotonic()
         gc.collect()
         self.spark._jvm.System.gc()
