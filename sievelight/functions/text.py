@@ -224,3 +224,17 @@ def is_code_question(prompt: Column) -> Column:
     acts = low.rlike(V.CODE_VERB) | (low.rlike(V.SET_VERB) & ~low.rlike(V.NOT_SET_VERB))
     asks = low.rlike(V.LOCATOR_UNIT) | (low.rlike(V.LOCATOR) & (acts | low.rlike(V.PARTICIPLE))) | (low.rlike(V.MECHANISM) & acts) | low.rlike(V.DEBUGGING)
     return F.when((F.length(text) < 8) | is_machine_text(prompt) | low.rlike(V.PROCESS_LEAD), False).when(sign, True).when(low.rlike(V.PROCESS_NOUNS) | low.rlike(V.ASKS_US), False).otherwise(asks)
+
+
+def may_hold(text: Column, keys, within_words: bool = False) -> Column:
+    """Whether a text may hold a word that folds to one of the keys: false only if it holds none.  Folding cuts endings (and puts y for
+    ies), so a word begins with its key, less a final y.  within_words: words are also parted where a capital begins."""
+    stems = sorted({k[:-1] if k.endswith("y") else k for k in keys if k}, key=lambda k: (len(k), k))
+    # a stem that begins with another one adds nothing
+    least = [k for i, k in enumerate(stems) if not any(k.startswith(o) for o in stems[:i])]
+    if not least:
+        return F.lit(False)
+    pattern = "(?<![A-Za-z0-9])(?i:" + "|".join(least) + ")"
+    if within_words:
+        pattern += "|" + "|".join(f"{k[0].upper()}(?i:{k[1:]})" for k in least)
+    return text.rlike(pattern)

@@ -10,8 +10,9 @@ from ..functions import text as T
 from ..functions import vocab as V
 
 
-def lexical_score(q: Q.Query, symbol: Column, file_path: Column, terms: Column) -> Column:
-    """Affinity of a chunk to a query; terms: the chunk's body terms."""
+def lexical_score(q: Q.Query, symbol: Column, file_path: Column, body: Column) -> Column:
+    """Affinity of a chunk to a query.  A body that holds no word of the query is passed over by one pattern; only others are split
+    into terms."""
     symbol = F.coalesce(symbol, F.lit(""))
     named = F.lit(0.0)
     if q.identifiers:
@@ -29,12 +30,13 @@ def lexical_score(q: Q.Query, symbol: Column, file_path: Column, terms: Column)
         return covered + often + V.W_SYMPTOM * T.saturate(T.occurrences(found, symptoms), 3.0)
 
     # the body is cut to the query's terms once; every count reads that short list
-    held = F.array(F.filter(terms, lambda t: F.array_contains(both, t)))
-    return F.round(named + in_symbol + in_path + F.get(F.transform(held, of_body), F.lit(0)), 4)
+    held = F.array(F.filter(T.lexical_terms(body), lambda t: F.array_contains(both, t)))
+    in_body = F.when(T.may_hold(body, [*q.content, *q.symptoms]), F.get(F.transform(held, of_body), F.lit(0))).otherwise(0.0)
+    return F.round(named + in_symbol + in_path + in_body, 4)
 
 
 def scored(chunks: DataFrame, q: Q.Query) -> DataFrame:
-    return chunks.withColumn("lexical_score", lexical_score(q, F.col("symbol"), F.col("file_path"), T.lexical_terms(F.col("content"))))
+    return chunks.withColumn("lexical_score", lexical_score(q, F.col("symbol"), F.col("file_path"), F.col("content")))
 
 
 def tier_one(chunks: DataFrame, q: Q.Query, full: bool = False, bypass: int = V.TIER1_BYPASS, keep: int = V.TIER1_KEEP) -> DataFrame:
@@ -89,6 +91,9 @@ def token_score(terms: list[str], symbol: Column, file_path: Column, content: Co
     # one struct holds the key lists, worked out once per chunk and cut to the wanted keys
     cut = lambda keys: F.filter(keys, lambda k: F.array_contains(wanted, k))
     score = F.get(F.transform(F.array(F.struct(cut(names).alias("n"), cut(path).alias("p"), cut(body).alias("b"))), lambda s: one(s["n"], s["p"], s["b"])), F.lit(0))
+    # names, path and body that hold none of the keys score nothing and are not split
+    every = F.concat_ws(" ", file_path, symbol, content)
+    score = F.when(T.may_hold(every, [k for t in terms for k in Q.term_keys(t)], within_words=True), score).otherwise(0.0)
     return score if dirty is None else score + F.when(dirty, 6.0).otherwise(0.0)
 
 
