@@ -135,3 +135,15 @@ def held_out_tasks(df: DataFrame, train: list, test: list) -> DataFrame:
     """Predictions for the test tasks by a model fitted on the training tasks."""
     model = fit_platt(df.where(F.col("task_id").isin(train)))
     return df.where(F.col("task_id").isin(test)).withColumn("prediction", model.column(F.col("z")))
+
+
+_default: list = [Platt()]
+
+
+def default_calibrator():
+    """The calibrator that plans use unless they are given one."""
+    return _default[0]
+
+
+def set_default_calibrator(model) -> None:
+    _default[0] = model

@@ -132,3 +132,18 @@ def put_scores(scores: DataFrame, cache: DataFrame) -> DataFrame:
     fresh = scores.where("not coalesce(ambiguous, false) and not coalesce(failed, false)")
     newest = fresh.groupBy("cache_key").agg(F.max_by(F.struct(*[c for c in fresh.columns if c != "cache_key"]), "created_at").alias("r")).select("cache_key", "r.*")
     return newest.join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def open_score_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The score cache at a path, made empty if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        spark.createDataFrame([], schemas.SCORE_CACHE).write.parquet(path)
+    return read_score_cache(spark, path)
+
+
+def store_scores(scores: DataFrame, path: str) -> None:
+    """Append to the cache at a path what put_scores lets in."""
+    cache = open_score_cache(scores.sparkSession, path)
+    new = put_scores(scores, cache)
+    new.select(*[(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in cache.schema]).write.mode("append").parquet(path)
