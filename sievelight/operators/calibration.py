@@ -78,45 +78,71 @@ def fit_temperature_cv(df: DataFrame, order: str, folds: int = 5) -> DataFrame:
     return best.agg(F.round(F.percentile("t", F.lit(0.5)), 4).alias("temperature"))
 
 
-def fit_platt(df: DataFrame, l2: float = 1e-3, most: int = 50, tol: float = 1e-6) -> Platt:
-    """Newton's method on (a, b); the penalty is on the slope alone, and the slope stays positive."""
-    counted = df.groupBy("y", "z").agg(F.count(F.lit(1)).alias("n")).persist()
+def _fit_all(df: DataFrame, fits: list[tuple[int | None, float]], most: int = 50, tol: float = 1e-6) -> list[Platt]:
+    """A Platt model for each (fold left out, penalty) over rows (fold, y, z), by Newton's method on (a, b); the penalty is on the slope
+    alone, and the slope stays positive.  All models take their step in the same grouped aggregate, so the jobs are as many
+    as the slowest model's steps."""
+    counted = df.groupBy("fold", "y", "z").agg(F.count(F.lit(1)).alias("n")).persist()
+    theta, open_ = [np.array([1.0, 0.0]) for _ in fits], set(range(len(fits)))
     try:
-        theta = np.array([1.0, 0.0])
         for _ in range(most):
-            p = F.least(F.greatest(1 / (1 + F.exp(-(F.lit(float(theta[0])) * F.col("z") + F.lit(float(theta[1]))))), F.lit(1e-12)), F.lit(1 - 1e-12))
+            models = [F.struct(F.lit(k).alias("k"), F.lit(fits[k][0]).cast("int").alias("out"), F.lit(float(theta[k][0])).alias("a"), F.lit(float(theta[k][1])).alias("b")) for k in sorted(open_)]
+            rows = counted.select("fold", "y", "z", "n", F.explode(F.array(*models)).alias("m")).where("m.out is null or m.out != fold")
+            p = F.least(F.greatest(1 / (1 + F.exp(-(F.col("m.a") * F.col("z") + F.col("m.b")))), F.lit(1e-12)), F.lit(1 - 1e-12))
             n, z, w = F.col("n"), F.col("z"), p * (1 - p)
-            s = counted.agg(*[F.sum(n * x).alias(k) for k, x in {"ga": (p - F.col("y")) * z, "gb": p - F.col("y"), "haa": w * z * z, "hab": w * z, "hbb": w}.items()]).first()
-            if s["ga"] is None:
-                return Platt(1.0, 0.0)
-            g = np.array([s["ga"] + l2 * theta[0], s["gb"]])
-            h = np.array([[s["haa"] + l2, s["hab"]], [s["hab"], s["hbb"]]])
-            try:
-                step = np.linalg.solve(h, g)
-            except np.linalg.LinAlgError:
-                break
-            theta = theta - step
-            if np.abs(step).max() < tol:
+            sums = rows.groupBy("m.k").agg(*[F.sum(n * x).alias(c) for c, x in {"ga": (p - F.col("y")) * z, "gb": p - F.col("y"), "haa": w * z * z, "hab": w * z, "hbb": w}.items()])
+            got = {s["k"]: s for s in sums.collect()}
+            for k in sorted(open_):
+                s, l2 = got.get(k), fits[k][1]
+                if s is None or s["ga"] is None:
+                    open_.discard(k)
+                    continue
+                g = np.array([s["ga"] + l2 * theta[k][0], s["gb"]])
+                h = np.array([[s["haa"] + l2, s["hab"]], [s["hab"], s["hbb"]]])
+                try:
+                    step = np.linalg.solve(h, g)
+                except np.linalg.LinAlgError:
+                    open_.discard(k)
+                    continue
+                theta[k] = theta[k] - step
+                if np.abs(step).max() < tol:
+                    open_.discard(k)
+            if not open_:
                 break
     finally:
         counted.unpersist()
-    return Platt(max(0.01, round(float(theta[0]), 4)), round(float(theta[1]), 4))
+    return [Platt(max(0.01, round(float(t[0]), 4)), round(float(t[1]), 4)) for t in theta]
+
+
+def fit_platt(df: DataFrame, l2: float = 1e-3) -> Platt:
+    """A Platt model of rows (y, z); (1, 0) without a row."""
+    return _fit_all(df.select(F.lit(0).alias("fold"), "y", "z"), [(None, l2)])[0]
+
+
+def _chosen(models: list[Platt], fold: Column, z: Column) -> Column:
+    """The prediction of the model at a fold's place in the list."""
+    out = F.lit(None).cast("double")
+    for f, model in enumerate(models):
+        out = F.when(fold == f, model.column(z)).otherwise(out)
+    return out
 
 
 def fit_platt_cv(df: DataFrame, order: str, folds: int = 5, penalties=(1e-4, 1e-3, 1e-2, 1e-1, 1.0)) -> tuple[float, Platt]:
     """(penalty, Platt): the penalty of the least mean fold Brier score over contiguous folds, refitted on all rows."""
-    cut = contiguous_folds(df, order, folds)
-    best = None
-    for l2 in penalties:
+    cut = contiguous_folds(df, order, folds).withColumn("fold", F.col("fold") - 1).persist()
+    try:
+        fits = [(f, l2) for l2 in penalties for f in range(folds)] + [(None, l2) for l2 in penalties]
+        models = _fit_all(cut, fits)
         losses = []
-        for f in range(1, folds + 1):
-            model = fit_platt(cut.where(F.col("fold") != f), l2)
-            p = model.column(F.col("z"))
-            losses.append(cut.where(F.col("fold") == f).agg(F.round(F.avg((p - F.col("y")) * (p - F.col("y"))), 4)).first()[0] or 0.0)
-        mean = float(np.mean(losses))
-        if best is None or mean < best[0] - 1e-15:
-            best = (mean, l2)
-    return best[1], fit_platt(df, best[1])
+        for i in range(len(penalties)):
+            p = _chosen(models[i * folds : (i + 1) * folds], F.col("fold"), F.col("z"))
+            losses.append(F.round(F.avg((p - F.col("y")) * (p - F.col("y"))), 4).alias(f"l{i}"))
+        rows = cut.groupBy("fold").agg(*losses).collect()
+    finally:
+        cut.unpersist()
+    mean = [round(float(np.mean([r[f"l{i}"] or 0.0 for r in rows] + [0.0] * (folds - len(rows)))), 12) for i in range(len(penalties))]
+    best = mean.index(min(mean))
+    return penalties[best], models[len(penalties) * folds + best]
 
 
 def out_of_fold(df: DataFrame, order: str, folds: int = 5) -> DataFrame:
@@ -124,11 +150,9 @@ def out_of_fold(df: DataFrame, order: str, folds: int = 5) -> DataFrame:
 
     Folds are stratified by class: rows of a class are dealt round in an order of hashes of `order`, so they follow the
     row and not the partitioning."""
-    dealt = number_rows(df, order, "fold", ("y",)).withColumn("fold", F.pmod("fold", F.lit(folds)))
-    prediction = F.lit(None).cast("double")
-    for f in range(folds):
-        prediction = F.when(F.col("fold") == f, fit_platt(dealt.where(F.col("fold") != f)).column(F.col("z"))).otherwise(prediction)
-    return dealt.withColumn("oof", prediction).drop("fold")
+    dealt = number_rows(df, order, "fold", ("y",)).withColumn("fold", F.pmod("fold", F.lit(folds)).cast("int"))
+    models = _fit_all(dealt, [(f, 1e-3) for f in range(folds)])
+    return dealt.withColumn("oof", _chosen(models, F.col("fold"), F.col("z"))).drop("fold")
 
 
 def held_out_tasks(df: DataFrame, train: list, test: list) -> DataFrame:

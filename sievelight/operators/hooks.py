@@ -46,7 +46,7 @@ def _lines(head: str, rows: DataFrame, by: list[str], line: Column, tail: str |
 
 
 def _share(score: Column) -> Column:
-    return F.concat(F.format_string("%.1f", F.round(score * 100, 1)), F.lit("%"))
+    return F.concat(F.format_string("%.1f", F.round(F.round(score * 100, 6), 1)), F.lit("%"))
 
 
 def _place() -> Column:

@@ -443,12 +443,12 @@ def telemetry(spark, sf_dir):
     return out.telemetry.select("chunks_total", "tokens_total", "chunks_evaluated", "redundancy_penalties", "demotions", "results", "below_threshold")
 
 
-@_register("verify_ranges", f"WITH {_FILES}, {_LINES}, c AS (SELECT file_idx AS chunk_idx, CASE WHEN file_idx % 10 = 0 THEN NULL WHEN file_idx % 10 = 1 THEN '/gone.txt' ELSE file_path END AS file_path, CAST(file_idx % 4 AS INT) AS start_line, CAST(file_idx % 30 AS INT) AS end_line FROM files), n AS (SELECT file_path, len(lines) AS k FROM lined) SELECT chunk_idx, CASE WHEN c.file_path IS NULL THEN 'UNVERIFIED_RAW_TEXT' WHEN k IS NULL THEN 'FILE_NOT_FOUND' WHEN start_line < 1 OR end_line > k OR start_line > end_line THEN 'INVALID_LINE_RANGE' ELSE 'VERIFIED' END AS ground_truth_status FROM c LEFT JOIN n ON c.file_path = n.file_path")
+@_register("verify_ranges", f"WITH {_FILES}, {_LINES}, c AS (SELECT file_idx AS chunk_idx, CASE WHEN file_idx % 10 = 0 THEN NULL WHEN file_idx % 10 = 1 THEN '/gone.txt' ELSE file_path END AS file_path, CAST(file_idx % 4 AS INT) AS start_line, CAST(file_idx % 30 AS INT) AS end_line FROM files), n AS (SELECT file_path, len(lines) AS k FROM lined), vr AS (SELECT chunk_idx, CASE WHEN c.file_path IS NULL THEN 'UNVERIFIED_RAW_TEXT' WHEN k IS NULL THEN 'FILE_NOT_FOUND' WHEN start_line < 1 OR end_line > k OR start_line > end_line THEN 'INVALID_LINE_RANGE' ELSE 'VERIFIED' END AS ground_truth_status FROM c LEFT JOIN n ON c.file_path = n.file_path) SELECT *, CASE WHEN ground_truth_status IN ('INVALID_LINE_RANGE', 'FILE_NOT_FOUND') THEN 0.0::DOUBLE ELSE 0.5 END AS raw_score FROM vr")
 def verify_ranges(spark, sf_dir):
     f = _files(spark, sf_dir)
     cited = f.select(F.col("file_idx").alias("chunk_idx"), F.when(F.col("file_idx") % 10 == 0, None).when(F.col("file_idx") % 10 == 1, "/gone.txt").otherwise(F.col("file_path")).alias("file_path"), (F.col("file_idx") % 4).cast("int").alias("start_line"), (F.col("file_idx") % 30).cast("int").alias("end_line"))
     lines = f.select("file_path", (F.size(F.split("body", chunking.NEWLINE)) - F.col("body").rlike("(\r|\n)\\z|^\\z").cast("int")).alias("line_count"))
-    return ranking.verify(cited, lines).select("chunk_idx", "ground_truth_status")
+    return ranking.verify(cited.withColumn("raw_score", F.lit(0.5)), lines).select("chunk_idx", "ground_truth_status", "raw_score")
 
 
 _FUSE = f"f0 AS (SELECT doc_id AS chunk_idx, lang AS query_id, round({_UNIT.format('CAST(doc_id AS VARCHAR)')}, 4) AS raw_score, CAST(length(text) % 37 AS DOUBLE) AS lexical_score, doc_id % 13 = 0 AS error FROM documents WHERE text IS NOT NULL), f1 AS (SELECT *, avg(lexical_score) OVER (PARTITION BY query_id) AS mean, stddev_pop(lexical_score) OVER (PARTITION BY query_id) AS sd, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, chunk_idx) AS r FROM f0)"

@@ -6,11 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from .functions import query as Q
-from .functions import scores as S
+from . import schemas
 from .functions import vocab as V
-from .operators import hooks, lexical, metrics, ranking, review, usage
-from .queries import _EVAL_CTES, _FAST, _FILES, _FUSE, _LINES, _UNIT, _USAGE, QUERY, _chunks, _eval_rows, _files, _logit, _register, _slices_of, _table, _unit, _usage
+from .operators import chunking, hooks, lexical, metrics, review, usage
+from .queries import _EVAL_CTES, _FAST, _FILES, _UNIT, _USAGE, OVERLAP, QUERY, SIZE, _chunks, _eval_rows, _files, _logit, _register, _slices_of, _table, _unit, _usage
+from .service import reports
 from .sources import files as source
 
 # --- tiers and answers over a lexical head ------------------------------------------------------------
@@ -68,7 +68,7 @@ def within_budget(spark, sf_dir):
 
 
 def _percent(x: str) -> str:
-    return f"printf('%.1f', round({x} * 100, 1)) || '%'"
+    return f"printf('%.1f', round(round({x} * 100, 6), 1)) || '%'"
 
 
 @_register("citation_message", f"""WITH {_BUDGET} SELECT query_id, 'Code citations for this prompt, ranked by a local model:' || chr(10) || string_agg('- ' || file_path || ':' || start_line || '-' || end_line || ' (' || CASE WHEN symbol = '' THEN 'module scope' ELSE symbol END || '), confidence ' || {_percent('score')} || ' (model ' || {_percent('raw_score')} || ')', chr(10) ORDER BY rank) AS message FROM cited GROUP BY 1""")
@@ -210,9 +210,6 @@ def prepared_inputs(spark, sf_dir):
 
 @_register("sliced_once", f"WITH {_FAST} SELECT id, sha256(content) AS content_hash FROM placed")
 def sliced_once(spark, sf_dir):
-    from .operators import chunking
-    from .queries import OVERLAP, SIZE
-
     return source.sliced_once(_files(spark, sf_dir), lambda f: chunking.slices(f, SIZE, OVERLAP)).select("id", F.sha2("content", 256).alias("content_hash"))
 
 
@@ -259,3 +256,44 @@ def expansion_cache(spark, sf_dir):
     i = F.col("doc_id")
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("k"), (i % 50).cast("string")).alias("key"), F.array(F.lit("term")).alias("terms"), (F.lit(1_700_000_000_000) - (i % 40) * 86_400_000).alias("ts"))
     return source.fresh_expansions(rows, 1_700_000_000_000).select("doc_id", "key")
+
+
+# --- reports --------------------------------------------------------------------------------------------
+
+
+@_register("markdown_report", "SELECT CAST(0 AS BIGINT) AS place, '| n_nationkey | n_name | n_regionkey |' AS line UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT CAST(row_number() OVER (ORDER BY n_nationkey) + 1 AS BIGINT), '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' FROM nation")
+def markdown_report(spark, sf_dir):
+    return reports.markdown_lines(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"])
+
+
+@_register("json_report", """SELECT '{"l_orderkey":' || l_orderkey || ',"l_returnflag":"' || l_returnflag || '"}' AS value FROM lineitem""")
+def json_report(spark, sf_dir):
+    return reports.json_lines(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag"))
+
+
+_STATUS = "[{}]".format(", ".join(f"'{s}'" for s in schemas.STATUSES))
+
+
+@_register("result_report", f"""WITH r AS (SELECT doc_id, {_STATUS}[doc_id % 7 + 1] AS status, doc_id % 4 = 0 AS below, round({_UNIT.format('CAST(doc_id AS VARCHAR)')}, 4) AS score FROM documents)
+SELECT doc_id AS rank, '#' || doc_id || ' | ' || {_percent('score')} || ' | /d/' || doc_id || '.txt:1-' || (doc_id % 90 + 1) || ' | ' || CASE WHEN below THEN 'FLOOR (SUB-THR)' ELSE CASE status {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reports.BADGES.items())} END END AS line FROM r""")
+def result_report(spark, sf_dir):
+    i = F.col("doc_id")
+    rows = _table(spark, sf_dir, "documents").select(i.alias("rank"), F.round(_unit("doc_id"), 4).alias("calibrated_score"), F.concat(F.lit("/d/"), i.cast("string"), F.lit(".txt")).alias("file_path"), F.lit(1).alias("start_line"), (i % 90 + 1).alias("end_line"), F.get(F.array(*[F.lit(s) for s in schemas.STATUSES]), (i % 7).cast("int")).alias("ground_truth_status"), (i % 4 == 0).alias("below_threshold"))
+    return reports.result_lines(rows)
+
+
+@_register("parsed_claims", """WITH c AS (SELECT doc_id AS candidate_id, unnest(range(1, 6)) AS k FROM documents), l AS (SELECT candidate_id, k, CASE WHEN (candidate_id + k) % 3 = 0 THEN NULL ELSE row_number() OVER (PARTITION BY candidate_id, (candidate_id + k) % 3 = 0 ORDER BY k) END AS n FROM c)
+SELECT candidate_id, 'claim ' || k AS text, 'line ' || (candidate_id % 7) AS evidence, CAST(n AS INT) AS claim_no FROM l WHERE n <= 3""")
+def parsed_claims(spark, sf_dir):
+    line = lambda k: F.when((F.col("doc_id") + k) % 3 == 0, F.concat(F.lit("remark "), F.lit(str(k)))).otherwise(F.concat(F.lit(f"- finding:  claim {k} | Evidence: line "), (F.col("doc_id") % 7).cast("string"), F.lit(" ")))
+    replies = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("candidate_id"), F.concat_ws("\n", *[line(k) for k in range(1, 6)]).alias("reply"))
+    return review.parse_claims(replies, 3).select("candidate_id", "text", "evidence", "claim_no")
+
+
+@_register("usage_log", "SELECT event_id, event_type AS caller, value AS \"latencyMs\" FROM events WHERE event_id % 6 <> 0")
+def usage_log(spark, sf_dir):
+    # every sixth line is torn
+    e = _table(spark, sf_dir, "events")
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("query"), F.col("event_type").alias("caller"), F.col("value").alias("latencyMs")))
+    lines = e.select(F.when(F.col("event_id") % 6 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value"))
+    return source.parse_usage(lines).select(F.col("query").cast("bigint").alias("event_id"), "caller", "latencyMs")

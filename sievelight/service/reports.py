@@ -17,7 +17,7 @@ def badge(status: Column, below: Column) -> Column:
 
 
 def percent(share: Column) -> Column:
-    return F.concat(F.format_string("%.1f", F.round(share * 100, 1)), F.lit("%"))
+    return F.concat(F.format_string("%.1f", F.round(F.round(share * 100, 6), 1)), F.lit("%"))
 
 
 def result_lines(results: DataFrame) -> DataFrame:

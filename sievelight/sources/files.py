@@ -123,6 +123,11 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.USAGE).option("mode", "DROPMALFORMED").json(path)
 
 
+def parse_usage(lines: DataFrame) -> DataFrame:
+    """Usage rows of JSON lines (value); torn lines are skipped."""
+    return lines.select(F.from_json("value", schemas.USAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}).alias("u"), F.expr("try_parse_json(value)").isNotNull().alias("whole")).where("whole").select("u.*")
+
+
 def read_score_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SCORE_CACHE).option("mergeSchema", "true").parquet(path)
 
