@@ -3,8 +3,8 @@
 Generators propose spans: the four base patterns, whose checked matches are always redacted, and
 looser forms of the same kinds (spelt-out addresses, national phone numbers, IPv6, dotted card
 numbers).  A loose candidate is described by format and context features and scored by boosted
-trees of depth two; candidates whose calibrated probability reaches a threshold and that touch no
-base span are added.  The trees are fitted here, on a fixed set of labelled examples made from a
+trees of depth two; candidates whose calibrated probability reaches a threshold compete where they overlap, the likelier one
+first, and what touches no base span, as these are always kept, is added.  The trees are fitted here, on a fixed set of labelled examples made from a
 format grammar, and compiled into one SQL expression; calibration maps tree margins to the
 precision seen on a held-out part of those examples.
 
@@ -15,6 +15,7 @@ from the result and never clash, as the input is narrowed first.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -205,21 +206,20 @@ def calibrate(margin: np.ndarray, y: np.ndarray, precision: float = PRECISION) -
     return float(margin[order][good[-1]]) if len(good) else float("inf")
 
 
+def plain_features(kind: str, span: str, before: str) -> list[float]:
+    """The values of features() in plain Python, for the fit; a test holds the two against each other."""
+    digits, seps, context = re.sub("[^0-9]", "", span), re.sub(r"[^ ._/:-]", "", span), before[-CONTEXT_CHARS:]
+    luhn = bool(digits) and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+    own = [len(digits), len(seps), len(span), len(re.sub(r"[^\[\]()]", "", span)), len(set(digits)) or 1, luhn, bool(re.search(ANNOUNCE, context)), bool(re.search(OTHERWISE, context)), len(re.sub("[^A-Za-z]", "", span)), len(set(seps)) or 1]
+    return [float(v) for v in (*own, *(k == kind for k in ("email", "phone", "card", "ip")))]
+
+
 @lru_cache(maxsize=4)
 def model(examples: int = EXAMPLES, seed: int = 11) -> tuple[list, float]:
-    """(trees, margin threshold); the feature values are those of the plain-Python twin of features()."""
-    import re
-
+    """(trees, margin threshold)."""
     rng = np.random.default_rng(seed)
-    rows, labels = [], []
-    for _ in range(examples):
-        kind, span, before, good = _example(rng)
-        digits, seps = re.sub("[^0-9]", "", span), re.sub(r"[^ ._/:-]", "", span)
-        luhn = bool(digits) and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
-        context = before[-CONTEXT_CHARS:]
-        rows.append([len(digits), len(seps), len(span), len(re.sub(r"[^\[\]()]", "", span)), len(set(digits)) or 1, luhn, bool(re.search(ANNOUNCE, context)), bool(re.search(OTHERWISE, context)), len(re.sub("[^A-Za-z]", "", span)), len(set(seps)) or 1, *(k == kind for k in ("email", "phone", "card", "ip"))])
-        labels.append(good)
-    x, y = np.array(rows, float), np.array(labels, float)
+    made = [_example(rng) for _ in range(examples)]
+    x, y = np.array([plain_features(kind, span, before) for kind, span, before, _ in made]), np.array([float(good) for *_, good in made])
     cut = examples * 3 // 4
     trees = boost(x[:cut], y[:cut])
     return trees, calibrate(margin_of(trees, x[cut:]), y[cut:])
@@ -247,21 +247,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def tagged(spans: Column, k: int) -> Column:
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
-    def chosen(k: int, kind: str) -> Column:
-        def scored(x):
+    def likely(k: int, kind: str) -> Column:
+        """Candidates of a kind that reach the threshold, each behind its negative margin."""
+
+        def ranked(x):
             # substring() of an int column start keeps the context short however long the text is
             before = F.substring(F.col("text"), F.greatest(x["s"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT_CHARS)))
-            value = features(kind, x["t"], before)
-            return margin_column(trees, value) >= F.lit(threshold)
-
-        def free(x):
-            return ~F.exists(F.col("base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+            return F.struct((-margin_column(trees, features(kind, x["t"], before))).alias("m"), x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
 
         some = F.col(f"l_{kind}")
-        return F.when(F.size(some) > 0, tagged(F.filter(some, lambda x: free(x) & scored(x)), k)).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+        return F.when(F.size(some) > 0, F.filter(F.transform(some, ranked), lambda x: x["m"] <= F.lit(-threshold))).otherwise(F.array().cast("array<struct<m:double,s:int,k:int,e:int>>"))
+
+    def free(x, spans):
+        return ~F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
     based = found.withColumn("base", F.array_sort(F.concat(*[tagged(F.col(f"b_{k}"), i) for i, k in enumerate(KINDS)])))
-    return based.withColumn("added", F.concat(*[chosen(i, k) for i, k in enumerate(KINDS)])).select("id", "text", "base", "added")
+    based = based.withColumn("likely", F.concat(*[likely(i, k) for i, k in enumerate(KINDS)]))
+    none = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    won = F.aggregate(F.array_sort("likely"), none, lambda a, x: F.when(free(x, a) & free(x, F.col("base")), F.concat(a, F.array(F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))).otherwise(a))
+    return based.withColumn("added", F.when(F.size("likely") > 0, F.array_sort(won)).otherwise(none)).select("id", "text", "base", "added")
 
 
 def spans_text(spans: Column) -> Column:

@@ -128,6 +128,24 @@ def base_secrets(t):
     return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) > 23])
 
 
+def test_features_in_sql_and_python(spark):
+    rng = np.random.default_rng(2)
+    made = [pii._example(rng)[:3] for _ in range(200)]
+    for kind in pii.KINDS:
+        rows = [(i, span, before) for i, (k, span, before) in enumerate(made) if k == kind]
+        df = spark.createDataFrame(rows, "i long, span string, before string")
+        values = pii.features(kind, F.col("span"), F.expr(f"right(before, {pii.CONTEXT_CHARS})"))
+        got = {r.i: [r[n] for n in pii.FEATURES] for r in df.select("i", *[values[n].alias(n) for n in pii.FEATURES]).collect()}
+        assert got == {i: pii.plain_features(kind, span, before) for i, span, before in rows}
+
+
+def test_overlapping_candidates_compete(spark):
+    text = "call me at (555) 123-4567 or john [at] mail [dot] org, card 4111.1111.1111.1111 and 4111 1111 1111 1111"
+    r = pii.find_pii(frame(spark, [text])).first()
+    spans = sorted((x.s, x.e) for x in [*r.base, *r.added])
+    assert r.added and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_secrets(spark):
     texts = ODD + ["secretoken=abcdefg TOKEN : 'abc' token=abc token = token=abcdefgh", "AKIAAKIA" + "A" * 30, "İpassword='hunter22'", "apikey=api_key:abcdef..", "0123456789abcdef01234567 F"]
     for r in secrets.secrets_digest(frame(spark, texts)).collect():
