@@ -16,7 +16,7 @@ member of a tile is verified against the tile's least member, which joins famili
 and settles tiles of two.  While the tiles that still hold several components have very many pairs, rounds of further hubs
 follow.  Then the points of such a tile (split into chunk pairs when there are many) are bulk-loaded into an R-tree by
 sort-tile-recursion; the descent keeps node pairs whose summed coordinate minima still allow a link, and only
-leaf pairs of different components are verified on the exact sets (64-bit shingle hashes).  Verified links are joined by
+leaf pairs of different components are verified on the whole sets (48-bit shingle hashes).  Verified links are joined by
 distributed contraction.
 
 Edge cases: null and empty texts, and texts without a word, have no shingle, link with nothing and are their
@@ -39,6 +39,9 @@ from .scratch import Scratch
 CLASS_RATIO, SPARE, BLOCK_GROUPS = 1.25, 2, 1 << 20
 #: Coordinates of the points in the trees of tiles, entries per node, points per chunk.
 TREE_GROUPS, NODE, CHUNK = 256, 16, 1024
+#: Bytes of a shingle hash in a stored set.  Two sets of 600 shingles share a false one in 800 million pairs, of 20,000 in 700,000; it
+#: matters only to a pair that is one shingle short of a link.  None is lost: see overlap().
+SET_BYTES = 6
 #: Sets whose tiles a task remembers.
 SEEN = 100_000
 #: Bits of the filter that spares documents outside all tiles the second reading: 1 MiB.
@@ -62,6 +65,27 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return out
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The top SET_BYTES bytes of every hash of a sorted set, which keep its order."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = data.reshape(-1, SET_BYTES)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Common hashes of two sorted lists, as multisets: hashes that packing made equal count as often as both hold them, so that no
+    common shingle is lost."""
+    at = np.searchsorted(y, x)
+    # the place of a hash among its equals in x
+    nth = np.arange(len(x)) - np.searchsorted(x, x)
+    there = at + nth
+    return int((y[np.minimum(there, len(y) - 1)] == x)[there < len(y)].sum())
+
+
 def set_key(s: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     with np.errstate(over="ignore"):
@@ -194,9 +218,9 @@ def _batch(columns: list, lists: list[np.ndarray], names: list[str]) -> pa.Recor
     return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
 
 
-def describe(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
-    """(id, h, n, key, tiles) per row of (id, h, text).  A task lists the tiles of a set once in so many sets, so copies
-    hardly multiply them."""
+def describe(docs: DataFrame, width: int, classes: Classes | None) -> DataFrame:
+    """(id, h, n, key, tiles) per row of (id, h, text); no tiles without classes.  A task lists the tiles of a set once in so many sets,
+    so copies hardly multiply them."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -207,7 +231,7 @@ def describe(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
             keys = [set_key(s) if len(s) else None for s in sets]
             names = []
             for s, key in zip(sets, keys):
-                names.append(nothing if key is None or key in seen else tiles(s, classes))
+                names.append(nothing if classes is None or key is None or key in seen else tiles(s, classes))
                 seen.add(key)
             if len(seen) > SEEN:
                 seen.clear()
@@ -240,7 +264,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             if len(seen) > SEEN:
                 seen.clear()
             if new:
-                columns = [pa.array(list(new), pa.int64()), pa.array([s.astype("<u8").tobytes() for s in new.values()], pa.binary()), pa.array([point(s).tobytes() for s in new.values()], pa.binary())]
+                columns = [pa.array(list(new), pa.int64()), pa.array([packed(s) for s in new.values()], pa.binary()), pa.array([point(s).tobytes() for s in new.values()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "shingles", "point"])
 
     return docs.select(spot.alias("b"), "text").mapInArrow(run, "key long, shingles binary, point binary")
@@ -248,7 +272,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
     data, offsets = utf8(column)
-    return [data[i:j].view("<u8") for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return [unpacked(data[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
 def _points(column: pa.Array) -> np.ndarray:
@@ -265,9 +289,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, tables: Scrat
     def links(a, b):
         keep = []
         for x, y in zip(_sets(a), _sets(b)):
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            keep.append((num + den) * common >= num * (len(x) + len(y)))
+            keep.append((num + den) * overlap(x, y) >= num * (len(x) + len(y)))
         return keep
 
     def passing(pairs, payload, allow):
@@ -290,11 +312,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     tables = Scratch(spark)
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    described = tables.keep(describe(narrow, width, Classes(num, den)))
-    members = tables.keep(bucket_members(described.where(F.size("tiles") > 0).select(F.explode("tiles").alias("tile"), "key"), "tile"))
-    # from here on a document is its id and key: the tiles of all documents are not kept
-    rows = tables.keep(described.select("id", "h", "n", "key"))
-    tables.release(described)
+    # tiles are by far the most rows: they go from the texts into their one shuffle and are never written
+    members = tables.keep(bucket_members(describe(narrow, width, Classes(num, den)).select(F.explode("tiles").alias("tile"), "key"), "tile"))
+    tables.release()
+    rows = tables.keep(describe(narrow, width, None).select("id", "h", "n", "key"))
 
     keys = tables.keep(members.select("key").distinct())
     texts = tables.keep(rows.where("key is not null").groupBy("key").agg(F.min("h").alias("h")).join(keys, "key"))

@@ -196,6 +196,26 @@ def brute_components(texts, width, num, den):
     return {i: (len(s), u.find(i)) for i, s in enumerate(sets)}
 
 
+def test_overlap_of_packed_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 50, 700):
+        x, y = (np.sort(rng.integers(0, 3 * n, n).astype(np.uint64) << np.uint64(16)) for _ in range(2))
+        want = sum((collections.Counter(x.tolist()) & collections.Counter(y.tolist())).values())
+        assert ngram_jaccard.overlap(*(ngram_jaccard.unpacked(np.frombuffer(ngram_jaccard.packed(s), np.uint8)) for s in (x, y))) == want
+
+
+def test_a_third_of_all_rows_in_one_component(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    near = [" ".join(w if rng.random() > 0.01 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(120)]
+    other = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(240)]
+    texts = near + other
+    rng.shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_digest(frame(spark, texts)).collect()}
+    assert got == brute_components(texts, 3, 90, 100)
+    assert ngram_jaccard.jaccard_digest(frame(spark, []).limit(0)).count() == 0
+
+
 def test_jaccard_join(spark):
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_digest(frame(spark, texts)).collect()}
