@@ -360,3 +360,11 @@ def jaccard_digest(docs: DataFrame) -> DataFrame:
     # a table, so that the join below stands alone and a large component can be split
     least = tables.keep(rows.where("component_key is not null").groupBy("component_key").agg(F.min("id").alias("component_id")))
     return rows.join(least, "component_key", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+
+
+#: DuckDB SQL of the digest.
+JACCARD_SQL = """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL), e AS MATERIALIZED (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 190 * k >= 90 * (x.n + y.n)),
+way AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT way.v, r.c FROM r JOIN way ON way.u = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(c) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY 1"""

@@ -8,7 +8,7 @@ from .decontam import DECONTAMINATION_SQL, decontamination_digest
 from .html_extract import extract
 from .langid import langid_digest
 from .line_dedup import line_digest
-from .ngram_jaccard import jaccard_digest
+from .ngram_jaccard import JACCARD_SQL, jaccard_digest
 from .order_minhash import order_minhash_digest
 from .packing import packing_digest
 from .pii import pii_digest
@@ -61,4 +61,4 @@ def op10_order_minhash(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_secrets, op3_ngram_jaccard, op4_decontamination, op5_url_filter, op6_language_id, op7_html_extraction, op8_packing, op9_line_dedup, op10_order_minhash)}
-ORACLES = {"op4_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
+ORACLES = {"op3_ngram_jaccard": JACCARD_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op5_url_filter": URL_SQL}
