@@ -40,15 +40,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id.
 
-    Documents without a word are in no group and stay."""
+    Documents without a word are in no group and stay; of rows that share id and text one stays, also without a word.  The texts
+    stay where they are: the few rows that go are joined to them."""
+    tables = Scratch(spark)
     keyed = docs.withColumn("__h", F.xxhash64("text"))
-    groups = jaccard_components(keyed.select(F.struct("doc_id", F.col("__h").alias("h")).alias("doc_id"), "text"), 5, 80, 100)
-    best = groups.where("component_key is not null").groupBy("component_key").agg(F.min("id").alias("id"))
-    empty = groups.where("component_key is null").select("id")
-    kept = best.select("id").union(empty).distinct().select(F.col("id.doc_id").alias("__id"), F.col("id.h").alias("__k"))
-    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k")), "left_semi")
-    # rows that share id and text are copies of each other: one stays
-    return chosen.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
+    groups = tables.keep(jaccard_components(keyed.select(F.struct("doc_id", F.col("__h").alias("h")).alias("doc_id"), "text"), 5, 80, 100))
+    best = groups.where("component_key is not null").groupBy("component_key").agg(F.min("id").alias("best"))
+    name = lambda df: df.select(F.col("id.doc_id").alias("__id"), F.col("id.h").alias("__k"))
+    gone = tables.keep(name(groups.join(best, "component_key").where("id != best").select("id").distinct()))
+    twice = tables.keep(name(groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__k"))
+    kept = keyed.join(gone, same, "left_anti")
+    once = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__h"]))
+    return once.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
