@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the cluster's checkpoint folder; a folder of our own only where none is set."""
+    """df, computed and written to the cluster's checkpoint folder; a folder of our own only where none is set and the master is
+    local, as in tests."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievelight-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievelight-"))
     return df.checkpoint()
