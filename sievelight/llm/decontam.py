@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_text import ALNUM, LOWER, chunks, pieces, utf8, words
@@ -196,9 +196,24 @@ def _hit_texts(bench: Benchmark, width: int) -> DataFrame:
     return bench.tables.keep(ranges.join(named, ["h", "g"], "left"))
 
 
-def count_words(text: Column) -> Column:
-    """Words of a text; A-Z count as a-z, so they are word characters here."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("bigint")
+def with_word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, g, n_words) per row: words are counted at their first bytes, without being hashed."""
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(text_col, F.lit(1)).alias("g"), F.col(text_col).alias("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in pieces(batches):
+            data, offsets = utf8(batch.column(3))
+            inside = ALNUM[data]
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1]
+            # a text's first byte follows no byte of its own
+            first = offsets[:-1][np.diff(offsets) > 0]
+            begins[first] = inside[first]
+            total = np.concatenate([[0], np.cumsum(begins)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(total[offsets]))], ["id", "h", "g", "n_words"])
+
+    return narrow.mapInArrow(run, f"id {kind}, h long, g long, n_words long")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, near: bool = False) -> DataFrame:
@@ -209,8 +224,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     if near:
         close = bench.near().select("h", "g", "item").distinct().groupBy("h", "g").agg(F.array_sort(F.collect_list("item")).alias("near_items"))
         found = bench.tables.keep(found.join(close, ["h", "g"], "full"))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(text_col, F.lit(1)).alias("g"), count_words(F.col(text_col)).alias("n_words"))
-    out = base.join(found, ["h", "g"], "left")
+    out = with_word_counts(docs, id_col, text_col).join(found, ["h", "g"], "left")
     some = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
     columns = ["id", "n_words", some("hits", "array<struct<start:bigint,end:bigint>>"), some("items", "array<string>")]
     return out.select(*columns, *([some("near_items", "array<string>")] if near else []))
