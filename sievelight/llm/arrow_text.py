@@ -6,11 +6,14 @@ operations instead of a Python object.  Words are represented by 64-bit hashes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
-#: Rows of a batch that are worked on at once.
-ARROW_ROWS = 512
+#: Rows of a batch that are worked on at once; rows that Spark hands over at once.
+ARROW_ROWS, BATCH_ROWS = 512, 1000
 #: Bytes tokenised at once; keeps the working arrays of a task at about 60 MB.
 CHUNK_BYTES = 1 << 20
 
@@ -30,12 +33,25 @@ ALNUM = np.ones(256, dtype=bool)
 ALNUM[0x00:0x30] = ALNUM[0x3A:0x41] = ALNUM[0x5B:0x61] = ALNUM[0x7B:0x80] = False
 
 
+def bounded_batches(df):
+    """df, whose session hands at most BATCH_ROWS rows at once to Python functions from now on: a larger batch stands several
+    times in an executor's memory.  Spark reads the bound when it plans a query, so it cannot be one query's own; a smaller one
+    is left as it is."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def pieces(batches, rows: int = ARROW_ROWS):
     """Record batches cut to at most `rows` rows, without a copy; Spark bounds the bytes of a batch (64 MiB unless set
-    otherwise), so a long document makes its batch short."""
+    otherwise), so a long document makes its batch short.  What a worker does not need any more goes back at the end."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import ALNUM, LOWER, chunks, pieces, utf8, words
+from .arrow_text import ALNUM, LOWER, bounded_batches, chunks, pieces, utf8, words
 from .scratch import Scratch
 
 WIDTH = 10
@@ -60,7 +60,7 @@ def item_terms(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(hashes.astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(spelt, pa.string()))], ["item", "terms", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "item string, terms array<long>, words array<string>").where(F.size("terms") > 0)
+    return bounded_batches(rows).mapInArrow(run, "item string, terms array<long>, words array<string>").where(F.size("terms") > 0)
 
 
 def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -107,7 +107,7 @@ def count_terms(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     yield emit()
         yield emit()
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return bounded_batches(docs.select("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def postings(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
@@ -131,7 +131,7 @@ def postings(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
                     ends = np.arange(len(at) + 1, dtype=np.int32) * (2 * reach + 1)
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[at].astype(np.int64)), pa.array(h[i + doc]), pa.array(g[i + doc]), pa.array(at - first[doc]), pa.ListArray.from_arrays(pa.array(ends), pa.array(around.ravel()))], ["term", "h", "g", "pos", "around"])
 
-    return docs.mapInArrow(run, "term long, h long, g long, pos long, around array<long>")
+    return bounded_batches(docs).mapInArrow(run, "term long, h long, g long, pos long, around array<long>")
 
 
 def _by_rarity(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def with_word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             total = np.concatenate([[0], np.cumsum(begins)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(total[offsets]))], ["id", "h", "g", "n_words"])
 
-    return narrow.mapInArrow(run, f"id {kind}, h long, g long, n_words long")
+    return bounded_batches(narrow).mapInArrow(run, f"id {kind}, h long, g long, n_words long")
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, near: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import pieces
+from .arrow_text import bounded_batches, pieces
 
 # Element and name lists.
 RAW = frozenset("script style noscript template textarea iframe svg title select xmp noembed noframes".split())
@@ -320,4 +320,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return narrow.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return bounded_batches(narrow).mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import chunks, pieces, utf8
+from .arrow_text import bounded_batches, chunks, pieces, utf8
 
 TRAIN_PER_LANGUAGE = 1500
 BUCKETS = 1 << 16
@@ -172,7 +172,7 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([g[1:]] * len(at), pa.string()), pa.array([g[0] == "1"] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "back", "bucket", "n"])
 
     counts: dict[bool, dict[str, np.ndarray]] = {False: {}, True: {}}
-    counted = some.mapInArrow(count, "lang string, back boolean, bucket int, n long").groupBy("lang", "back", "bucket").agg(F.sum("n").alias("n"))
+    counted = bounded_batches(some).mapInArrow(count, "lang string, back boolean, bucket int, n long").groupBy("lang", "back", "bucket").agg(F.sum("n").alias("n"))
     packed = counted.groupBy("lang", "back").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
     for r in packed.toLocalIterator():
         c = np.zeros(BUCKETS)
@@ -200,7 +200,7 @@ def measure(held_back: DataFrame, model: Model) -> np.ndarray | None:
                         n += 1
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(right), dtype=np.int32)), pa.array(right), pa.array(np.full(len(right), n))], ["bit", "right", "n"])
 
-    rows = held_back.select("lang", "text").mapInArrow(judge, "bit int, right long, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect()
+    rows = bounded_batches(held_back.select("lang", "text")).mapInArrow(judge, "bit int, right long, n long").groupBy("bit").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect()
     if not rows or not rows[0]["n"]:
         return None
     return np.array([r["right"] / r["n"] for r in sorted(rows, key=lambda r: r["bit"])])
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model, id_cols: list[str], text_col: str =
             lang = names[np.where(known, best, len(names) - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(known & close)], [*id_cols, "lang_pred", "score", "ambiguous"])
 
-    return narrow.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return bounded_batches(narrow).mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def held_out(id_col: str = "doc_id"):

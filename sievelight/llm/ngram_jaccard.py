@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import NOT_SPACE, chunks, mix, pieces, sequence_hash, utf8, words
+from .arrow_text import NOT_SPACE, bounded_batches, chunks, mix, pieces, sequence_hash, utf8, words
 from .families import bucket_members, families, meet
 from .scratch import Scratch
 
@@ -237,7 +237,7 @@ def describe(docs: DataFrame, width: int, classes: Classes | None) -> DataFrame:
                 seen.clear()
             yield _batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names, ["id", "h", "n", "key", "tiles"])
 
-    return docs.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, n long, key long, tiles array<long>")
+    return bounded_batches(docs.select("id", "h", "text")).mapInArrow(run, f"id {kind}, h long, n long, key long, tiles array<long>")
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 columns = [pa.array(list(new), pa.int64()), pa.array([packed(s) for s in new.values()], pa.binary()), pa.array([point(s).tobytes() for s in new.values()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "shingles", "point"])
 
-    return docs.select(spot.alias("b"), "text").mapInArrow(run, "key long, shingles binary, point binary")
+    return bounded_batches(docs.select(spot.alias("b"), "text")).mapInArrow(run, "key long, shingles binary, point binary")
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -297,7 +297,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, tables: Scrat
             for batch in pieces(batches):
                 yield batch.select([0, 1]).filter(pa.array(allow(batch.column(2), batch.column(3)), pa.bool_()))
 
-        return tables.keep(meet(pairs, sets, payload).mapInArrow(run, "u long, v long"))
+        return tables.keep(bounded_batches(meet(pairs, sets, payload)).mapInArrow(run, "u long, v long"))
 
     near = passing(pairs, "point", possible)
     found = passing(near, "shingles", links)

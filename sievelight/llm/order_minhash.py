@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .arrow_text import mix, pieces
+from .arrow_text import bounded_batches, mix, pieces
 
 K, SLOTS, TUPLE = 12, 64, 2
 #: Candidates kept per slot before sorting; slots left short fall back to all k-mers.
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([spell(fingerprint(t)) for t in texts])], ["id", "n_chars", "fingerprint"])
 
-    return narrow.mapInArrow(run, f"id {kind}, n_chars long, fingerprint string")
+    return bounded_batches(narrow).mapInArrow(run, f"id {kind}, n_chars long, fingerprint string")
 
 
 def range_bounds(ids: DataFrame, ranges: int) -> list:
@@ -169,7 +169,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
                 copies = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(before, pa.int32()), pa.array([1] * len(at), pa.int32()), *copies.columns], ["range", "tail", "id", "text"])
 
-    dealt = narrow.mapInArrow(deal, f"range int, tail int, id {kind}, text string")
+    dealt = bounded_batches(narrow).mapInArrow(deal, f"range int, tail int, id {kind}, text string")
     return dealt.repartition(max(parts, 1), "range").sortWithinPartitions("range", "tail", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
 
@@ -209,4 +209,4 @@ def order_minhash_digest(docs: DataFrame) -> DataFrame:
         if out:
             yield emit()
 
-    return with_successor(docs).mapInArrow(compare, schema)
+    return bounded_batches(with_successor(docs)).mapInArrow(compare, schema)

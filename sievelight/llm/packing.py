@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import pieces
+from .arrow_text import bounded_batches, pieces
 
 CAPACITY, END_ID = 2048, 1
 #: Rests are cut into parts of at most capacity / PARTS tokens.
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if rows:
             yield emit()
 
-    return narrow.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return bounded_batches(narrow).mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def packing_digest(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import pieces
+from .arrow_text import bounded_batches, pieces
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE_KINDS = 3
@@ -103,7 +103,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found.append([{"kind": KINDS[k], "start": s, "end": e, "secret": text[s:e]} for s, k, e in scan(text, words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, span)], ["id", "spans"])
 
-    return narrow.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,secret:string>>")
+    return bounded_batches(narrow).mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,secret:string>>")
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
