@@ -165,7 +165,26 @@ def signatures(spark, sf_dir):
     return _table(spark, sf_dir, "pages").where("html is not null").select("page_id", context.signature_of(F.col("html")).alias("signature"))
 
 
-@_register("ghost_stubs")
+_STUB = {k: getattr(V, k).replace("'", "''") for k in ("STUB_KEPT", "STUB_TYPE", "STUB_BRACED", "STUB_INDENTED")}
+_FAR = 2**31 - 1
+_GHOST = f"""WITH RECURSIVE {_CUT}, sl AS (SELECT file_path, unnest(l) AS text, unnest(generate_series(1, len(l))) AS no FROM parts),
+sm AS (SELECT *, length(text) - length(replace(text, '{{', '')) - length(text) + length(replace(text, '}}', '')) AS d, length(text) - length(regexp_replace(text, '^\\s+', '')) AS width, regexp_replace(text, '^\\s+', '') = '' AS blank, ends_with(file_path, '.py') AS py, regexp_matches(text, '{_STUB["STUB_KEPT"]}') AS imp, regexp_matches(text, '{_STUB["STUB_TYPE"]}') AS typ FROM sl),
+sr AS (SELECT c.chunk_idx, c.start_line, sm.*, no > c.end_line AS late, no BETWEEN c.start_line AND c.end_line AS target, no < c.start_line AND imp AS kept FROM chunks c JOIN sm USING (file_path)),
+ss AS MATERIALIZED (SELECT *, sum(CASE WHEN kept THEN 0 ELSE d END) OVER (PARTITION BY chunk_idx ORDER BY no) AS s FROM sr),
+oq AS (SELECT * FROM ss WHERE NOT target AND NOT kept AND CASE WHEN py THEN regexp_matches(text, '{_STUB["STUB_INDENTED"]}') ELSE d > 0 AND regexp_matches(text, '{_STUB["STUB_BRACED"]}') END),
+cb AS (SELECT o.chunk_idx, o.no AS first, o.late, o.py, o.text AS header, o.start_line, min(t.no) AS close FROM oq o LEFT JOIN ss t ON t.chunk_idx = o.chunk_idx AND t.no > o.no AND t.late = o.late AND NOT t.target AND NOT t.kept AND CASE WHEN o.py THEN NOT t.blank AND t.width <= o.width ELSE t.s <= o.s - o.d END GROUP BY ALL),
+bn AS MATERIALIZED (SELECT *, coalesce(close, CASE WHEN late THEN {_FAR} ELSE start_line END) AS until FROM cb), bx AS MATERIALIZED (SELECT a.*, (SELECT min(b.first) FROM bn b WHERE b.chunk_idx = a.chunk_idx AND b.first > a.until) AS follow FROM bn a),
+bk AS (SELECT * FROM bx WHERE first = (SELECT min(z.first) FROM bn z WHERE z.chunk_idx = bx.chunk_idx) UNION ALL SELECT bx.* FROM bk JOIN bx ON bx.chunk_idx = bk.chunk_idx AND bx.first = bk.follow),
+tt AS MATERIALIZED (SELECT chunk_idx, max(no) AS total FROM ss GROUP BY 1), fd AS (SELECT chunk_idx, first, close, py, header, coalesce(close, total) - first AS k FROM bk JOIN tt USING (chunk_idx) WHERE close IS NOT NULL OR late),
+fl AS (SELECT chunk_idx, coalesce(close, {_FAR}) AS no, 0 AS part, first || ': ' || CASE WHEN py THEN trim(header) ELSE trim(string_split(header, '{{')[1]) END || CASE WHEN py OR close IS NULL THEN ' ... [folded ' || k || ' lines]' ELSE ' {{ /* ... [folded ' || k || ' lines] ... */ }}' END AS line, false AS nil, k FROM fd),
+mk AS (SELECT ss.*, EXISTS (SELECT 1 FROM bk WHERE bk.chunk_idx = ss.chunk_idx AND ss.no >= bk.first AND (ss.no < bk.until OR (NOT bk.py AND ss.no = bk.close))) AS hidden, EXISTS (SELECT 1 FROM bk WHERE bk.chunk_idx = ss.chunk_idx AND bk.py AND ss.no = bk.close) AS closing FROM ss),
+sg AS (SELECT chunk_idx, no, 1 AS part, no || ': ' || CASE WHEN blank AND NOT target AND NOT kept THEN '' ELSE text END AS line, blank AND NOT target AND NOT kept AS nil, 0 AS k FROM mk WHERE target OR kept OR (NOT hidden AND (closing OR typ OR blank))),
+al AS (SELECT *, last_value(CASE WHEN NOT nil THEN line END IGNORE NULLS) OVER w AS seen, sum(CAST(NOT nil AS INT)) OVER w AS run FROM (SELECT * FROM fl UNION ALL SELECT * FROM sg) WINDOW w AS (PARTITION BY chunk_idx ORDER BY no, part ROWS UNBOUNDED PRECEDING)),
+nt AS (SELECT *, row_number() OVER (PARTITION BY chunk_idx, run, nil ORDER BY no, part) AS nth FROM al), jn AS (SELECT chunk_idx, string_agg(line, chr(10) ORDER BY no, part) AS stub, sum(k) AS k FROM nt WHERE NOT nil OR (nth = 1 AND seen IS NOT NULL AND NOT ends_with(seen, ': ')) GROUP BY 1)
+SELECT chunk_idx, coalesce(stub, '') AS stub, CAST(coalesce(k, 0) AS INT) AS folded_lines, CAST(total AS INT) AS original_lines FROM tt LEFT JOIN jn USING (chunk_idx)"""
+
+
+@_register("ghost_stubs", _GHOST)
 def ghost_stubs(spark, sf_dir):
     return context.ghost_stubs(*_cut(spark, sf_dir))
 
