@@ -218,9 +218,9 @@ def _batch(columns: list, lists: list[np.ndarray], names: list[str]) -> pa.Recor
     return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names)
 
 
-def describe(docs: DataFrame, width: int, classes: Classes | None) -> DataFrame:
-    """(id, h, n, key, tiles) per row of (id, h, text); no tiles without classes.  A task lists the tiles of a set once in so many sets,
-    so copies hardly multiply them."""
+def describe(docs: DataFrame, width: int, classes: Classes) -> DataFrame:
+    """(id, h, n, key, tiles) per row of (id, h, text).  A task lists the tiles of a set once in so many sets, so copies
+    hardly multiply them."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -231,7 +231,7 @@ def describe(docs: DataFrame, width: int, classes: Classes | None) -> DataFrame:
             keys = [set_key(s) if len(s) else None for s in sets]
             names = []
             for s, key in zip(sets, keys):
-                names.append(nothing if classes is None or key is None or key in seen else tiles(s, classes))
+                names.append(nothing if key is None or key in seen else tiles(s, classes))
                 seen.add(key)
             if len(seen) > SEEN:
                 seen.clear()
@@ -312,10 +312,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     tables = Scratch(spark)
     narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # tiles are by far the most rows: they go from the texts into their one shuffle and are never written
-    members = tables.keep(bucket_members(describe(narrow, width, Classes(num, den)).select(F.explode("tiles").alias("tile"), "key"), "tile"))
-    tables.release()
-    rows = tables.keep(describe(narrow, width, None).select("id", "h", "n", "key"))
+    # a table, so that the texts are described once and the tiles have one shuffle that both of its readers share
+    described = tables.keep(describe(narrow, width, Classes(num, den)))
+    members = tables.keep(bucket_members(described.where(F.size("tiles") > 0).select(F.explode("tiles").alias("tile"), "key"), "tile"))
+    # from here on a document is its id and key: the tiles of all documents are not kept
+    rows = tables.keep(described.select("id", "h", "n", "key"))
+    tables.release(described)
 
     keys = tables.keep(members.select("key").distinct())
     texts = tables.keep(rows.where("key is not null").groupBy("key").agg(F.min("h").alias("h")).join(keys, "key"))

@@ -84,5 +84,8 @@ class Scratch:
         if time.monotonic() - Scratch.collected < PAUSE:
             return
         Scratch.collected = time.monotonic()
-        gc.collect()
-        self.spark._jvm.System.gc()
+        # what Python lets go in the first round, the JVM can collect in the second
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
