@@ -6,10 +6,12 @@ is at most the size of their symmetric difference, which the similarity bounds:
 apart cannot link.
 
 Top of the tree (distributed).  Points of one size class are cut into m blocks of coordinates, with
-m - SPARE above the greatest difference that linked sets of the class can have.  Each difference
-touches one block, so linked points agree in all coordinates of more than SPARE blocks; the
-coordinates of one block name a tile, and every link lies in some tile.  Tiles of empty blocks are
-not needed (and not made) for points with at most SPARE empty blocks.  Nothing is dropped, whatever a tile's size.
+m - spare above the greatest difference that linked sets of the class can have.  Each difference
+touches one block, so linked points agree in all coordinates of more than `spare` blocks; the
+coordinates of one block name a tile, and every link lies in some tile.  An empty block tells nothing, as unrelated points
+share it.  Linked points that agree in empty blocks only have more than `spare` of them in common, the first of these
+being among the first e - spare of a point's e empty blocks: no other empty block needs a tile.  A class has so many spare blocks
+that few points need any.  Nothing is dropped, whatever a tile's size.
 
 Links (per tile).  Equal sets are one point from the start, and tiles with the same members are one tile.  Every
 member of a tile is verified against the tile's least member, which joins families along stars instead of all pairs
@@ -35,7 +37,7 @@ from .arrow_text import NOT_SPACE, bounded_batches, chunks, mix, pieces, sequenc
 from .families import bucket_members, families, meet
 from .scratch import Scratch
 
-#: Size classes grow by this factor; blocks beyond the pigeonhole's need; groups within a block.
+#: Size classes grow by this factor; least number of blocks beyond the pigeonhole's need; groups within a block.
 CLASS_RATIO, SPARE, BLOCK_GROUPS = 1.25, 2, 1 << 20
 #: Coordinates of the points in the trees of tiles, entries per node, points per chunk.
 TREE_GROUPS, NODE, CHUNK = 256, 16, 1024
@@ -96,7 +98,7 @@ class Classes:
     """Size classes and what linked sets of a class can differ by; similarity = num/den."""
 
     def __init__(self, num: int, den: int, ratio: float = CLASS_RATIO):
-        self.num, self.den = num, den
+        self.num, self.den, self.spares = num, den, {}
         self.lows = [1]
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * ratio)))
@@ -106,8 +108,19 @@ class Classes:
         overlap is num/(num+den) (a+b) or more."""
         return (self.den - self.num) * (a + b) // (self.num + self.den)
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(class, blocks) of the classes that a set of n shingles takes part in: its own, and those of
+    def spare(self, c: int, d: int) -> int:
+        """Blocks of a class beyond d + 1: the empty blocks of its smallest sets, by mean and two deviations.  SPARE where that takes
+        more than d."""
+        if c not in self.spares:
+            smallest = -(-self.num * self.lows[c] // self.den)
+            some = np.arange(SPARE, max(d, SPARE) + 1)
+            empty = (d + 1 + some) * np.exp(-smallest / (d + 1 + some))
+            enough = some[empty + 2 * np.sqrt(empty) <= some]
+            self.spares[c] = int(enough[0]) if len(enough) else SPARE
+        return self.spares[c]
+
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, blocks, spare ones) of the classes that a set of n shingles takes part in: its own, and those of
         larger sets that it can link with."""
         own = int(np.searchsorted(self.lows, n, "right")) - 1
         out = []
@@ -117,7 +130,8 @@ class Classes:
                 break
             d = self.difference(high, high)
             if d > 0:
-                out.append((c, d + 1 + SPARE))
+                spare = self.spare(c, d)
+                out.append((c, d + 1 + spare, spare))
         return out
 
 
@@ -130,14 +144,13 @@ def tiles(s: np.ndarray, classes: Classes) -> np.ndarray:
         # a block's counts are the multiset of its members' groups, and a sum of mixed group names
         # names a multiset
         member = mix(group + np.uint64(0xD6E8FEB86659FD93))
-        for c, m in classes.of(len(s)):
+        for c, m, spare in classes.of(len(s)):
             block = ((spread >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
             total = np.zeros(m, np.uint64)
             np.add.at(total, block, member)
             size = np.bincount(block, minlength=m)
-            where = np.arange(m)
-            if (size == 0).sum() <= SPARE:
-                where = where[size > 0]
+            empty = np.flatnonzero(size == 0)
+            where = np.concatenate([np.flatnonzero(size), empty[: max(0, len(empty) - spare)]])
             names.append(mix(mix(total[where] + np.uint64(c) * np.uint64(0x9E3779B97F4A7C15)) + where.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(m)))
     return np.concatenate(names).astype(np.int64) if names else np.zeros(0, np.int64)
 

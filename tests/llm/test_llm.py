@@ -237,6 +237,32 @@ def test_tiles_hold_every_link():
                         assert len(np.intersect1d(ngram_jaccard.tiles(s, classes), ngram_jaccard.tiles(t, classes))), (num, n, cut, grown)
 
 
+@pytest.mark.parametrize("n", [60, 250, 900, 7000])
+def test_unrelated_sets_share_few_tiles(n):
+    """Empty blocks bring hardly any unrelated sets together: pairs of tiles stay few however many texts there are."""
+    rng = np.random.default_rng(n)
+    classes = ngram_jaccard.Classes(80, 100)
+    names = [ngram_jaccard.tiles(np.unique(rng.integers(0, 2**63, int(n * rng.uniform(1, 1.2))).astype(np.uint64)), classes) for _ in range(120)]
+    met = sum(len(np.intersect1d(a, b)) > 0 for i, a in enumerate(names) for b in names[:i])
+    assert met <= 0.01 * 120 * 119 / 2, met
+
+
+def test_tiles_that_agree_in_empty_blocks_only():
+    """Links whose sets have no full block in common are found by the first of their common empty blocks."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for num, den, n in ((1, 10, 2), (1, 10, 3), (1, 5, 6), (1, 3, 10)):
+        classes = ngram_jaccard.Classes(num, den)
+        for _ in range(300):
+            s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            t = np.unique(np.concatenate([s[: max(1, n * num * 2 // (num + den) + 1)], rng.integers(0, 2**63, n).astype(np.uint64)])[:n])
+            common = len(np.intersect1d(s, t))
+            if den * common >= num * (len(s) + len(t) - common) and not np.array_equal(s, t):
+                met += 1
+                assert len(np.intersect1d(ngram_jaccard.tiles(s, classes), ngram_jaccard.tiles(t, classes))), (num, den, n)
+    assert met > 600
+
+
 def test_tree_keeps_every_possible_pair():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (300, ngram_jaccard.TREE_GROUPS)).astype(np.int32)
