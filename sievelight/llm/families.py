@@ -24,16 +24,27 @@ HUBS = 4
 PART = 64
 
 
-def bucket_members(rows: DataFrame, bucket: str) -> DataFrame:
-    """(bucket, hub, size, key) of buckets with several members, hub being the least; rows: (bucket, key), with repeats.
+def shared_rows(rows: DataFrame, bucket: str) -> DataFrame:
+    """Distinct (bucket, key) of the buckets that hold several keys.
 
-    Buckets with the same members count once: they are the same if their counts and 128 bits of hashes are.  One shuffle
-    by bucket serves the statistics and the join back."""
-    rows = rows.repartition(bucket).distinct()
-    stats = rows.groupBy(bucket).agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("size > 1")
+    One shuffle by bucket serves two readers: the one that finds these buckets, and the one that takes their rows."""
+    # the join infers this filter for one reader only, and a semi-join would go below the shuffle: either way there would be two
+    dealt = rows.where(F.col(bucket).isNotNull()).repartition(bucket)
+    several = dealt.groupBy(bucket).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select(bucket)
+    return dealt.join(several.hint("shuffle_hash"), bucket).select(bucket, "key").distinct()
+
+
+def bucket_members(rows: DataFrame, bucket: str, tables: Scratch) -> DataFrame:
+    """(bucket, hub, size, key) of buckets with several members, hub being the least, as a kept table; rows: (bucket, key), with repeats.
+
+    Buckets with the same members count once: they are the same if their counts and 128 bits of hashes are."""
+    shared = tables.keep(shared_rows(rows, bucket))
+    stats = shared.groupBy(bucket).agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     # alike buckets have the same hub
     chosen = stats.groupBy("size", "x", "y").agg(F.min(bucket).alias(bucket), F.min("hub").alias("hub")).select(bucket, "hub", "size")
-    return rows.join(chosen.hint("shuffle_hash"), bucket).select(F.col(bucket).alias("bucket"), "hub", "size", "key")
+    members = tables.keep(shared.join(chosen, bucket).select(F.col(bucket).alias("bucket"), "hub", "size", "key"))
+    tables.drop(shared)
+    return members
 
 
 def meet(pairs: DataFrame, items: DataFrame, payload: str | Column) -> DataFrame:

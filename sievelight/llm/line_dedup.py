@@ -113,7 +113,7 @@ def _possible(pending: DataFrame, texts: DataFrame) -> DataFrame:
 def line_components(distinct: DataFrame, tables: Scratch) -> DataFrame:
     """(vertex, component): keys of distinct lines (dealt by key) that are similar to another one, directly or through others."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = tables.keep(bucket_members(_bands(distinct), "band"))
+    members = bucket_members(_bands(distinct), "band", tables)
     tables.release()
     keys = tables.keep(members.select("key").distinct())
     texts = tables.keep_dealt(_candidates(distinct, keys), "key", parts)

@@ -327,7 +327,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a table, so that the texts are described once and the tiles have one shuffle that both of its readers share
     described = tables.keep(describe(narrow, width, Classes(num, den)))
-    members = tables.keep(bucket_members(described.where(F.size("tiles") > 0).select(F.explode("tiles").alias("tile"), "key"), "tile"))
+    members = bucket_members(described.where(F.size("tiles") > 0).select(F.explode("tiles").alias("tile"), "key"), "tile", tables)
     # from here on a document is its id and key: the tiles of all documents are not kept
     rows = tables.keep(described.select("id", "h", "n", "key"))
     tables.release(described)

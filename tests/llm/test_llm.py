@@ -549,6 +549,20 @@ def test_lines_of_long_words(spark):
     assert got == ["ab 1234567", "1234567890", "2345678901", "3456789012", "x" * 10, "y"]
 
 
+def test_bucket_members(spark, tmp_path):
+    # keys 1 and 2 share two buckets that count once; bucket 4 holds one key twice; null is no bucket
+    rows = [(1, [1, 2, 4]), (2, [1, 2]), (3, [3]), (1, [4, 5]), (5, [5, None]), (6, [5, None])]
+    spark.createDataFrame(rows, "key long, tiles array<long>").write.parquet(str(tmp_path / "rows"))
+    exploded = spark.read.parquet(str(tmp_path / "rows")).select(F.explode("tiles").alias("tile"), "key")
+    got = families.bucket_members(exploded, "tile", Scratch(spark))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2, 1), (1, 1, 2, 2), (5, 1, 3, 1), (5, 1, 3, 5), (5, 1, 3, 6)]
+    # both readers of the exploded rows take one shuffle
+    shared = families.shared_rows(exploded, "tile")
+    shared.collect()
+    final = shared._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 1 and final.count("Generate") == 1
+
+
 @pytest.mark.parametrize("rounds", [0, 2])
 def test_families_that_share_a_band_key(spark, monkeypatch, rounds):
     # every line in one bucket: families of near lines, and lines that are like no other
