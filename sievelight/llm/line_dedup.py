@@ -12,12 +12,12 @@ from the start, and each component keeps its first line by (document id, line nu
 
 Recall: bands of ROWS lanes find a pair whose anchored shingles have similarity s with probability 1 - (1 - s^ROWS)^BANDS: 0.985 at
 0.8, 0.998 at 0.9.  Nothing else is lost (see families): pairs of a band key are verified, of one component already, or ruled out by a
-bound on the symmetric difference of their shingle sets.  tests/llm measure recall against all pairs.
+bound on the symmetric difference of their shingle sets (sizes; in the last search sketches too).  tests/llm measure recall against all pairs.
 
 Scale: equal lines meet in a grouped minimum that is combined before the shuffle, so a line that a third of
 all documents hold costs one row per task.  That shuffle deals the distinct lines by key into a bucketed table; signatures,
-sketches and the texts to verify are made from it where it lies.  Occurrences of repeated lines are found by a Bloom
-filter of fixed size and an exact join.
+sizes and the texts to verify are made from it where it lies; sketches only of the lines that stars and hubs leave open.  Occurrences of
+repeated lines are found by a Bloom filter of fixed size and an exact join.
 
 Edge cases: null and empty texts have no lines to drop; lines shorter than min_chars (after trimming; MIN_CHARS unless
 given, 1 takes every line that is not blank) always stay, as they are no passage; a document whose lines are all dropped
@@ -37,9 +37,10 @@ from .scratch import Scratch
 SHINGLE, BANDS, ROWS = 10, 8, 4
 NUM, DEN = 80, 100
 MIN_CHARS = 24
-#: 64-bit words of a sketch: bit x of it is set if the set has a shingle whose hash ends in x.  At 4,096 bits the sketches of lines of
-#: a thousand characters differ in nearly as many bits as their sets in shingles.
-WORDS = 64
+#: 64-bit words of a sketch: bit x of it is set if the set has a shingle whose hash ends in x.  At 2,048 bits the sketches of lines of
+#: some hundred characters differ in nearly as many bits as their sets in shingles.  At 48 words the join has more columns than
+#: Spark generates code for.
+WORDS = 32
 _SEEDS = [int(x) for x in np.random.default_rng(5).integers(-(2**31), 2**31, BANDS * ROWS)]
 
 
@@ -75,38 +76,38 @@ def _bands(distinct: DataFrame) -> DataFrame:
 
 
 def _candidates(distinct: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, line, n, w0, w1, ...) of the lines of keys: the size of a line's shingle set, and its sketch."""
-    wanted = distinct.select("key", "line").join(keys, "key", "left_semi")
-    spot = wanted.select("key", F.explode(F.array_distinct(shingles(F.col("line")))).alias("s")).select("key", F.xxhash64("s").bitwiseAND(64 * WORDS - 1).cast("int").alias("x"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x") % 64)
-    # by eighths of the words first: a row then meets eight conditions, not all
-    eighth = WORDS // 8
-    part = spot.groupBy("key", (F.shiftright("x", 6) % eighth).alias("p")).agg(F.count(F.lit(1)).alias("n"), *[F.bit_or(F.when(F.floor(F.shiftright("x", 6) / eighth) == q, bit)).alias(f"q{q}") for q in range(8)])
-    words = [F.coalesce(F.bit_or(F.when(F.col("p") == i % eighth, F.col(f"q{i // eighth}"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
-    return wanted.join(part.groupBy("key").agg(F.sum("n").alias("n"), *words), "key")
+    """(key, line, n) of the lines of keys: n is the size of a line's shingle set."""
+    return distinct.select("key", "line").join(keys, "key", "left_semi").select("key", "line", F.size(F.array_distinct(shingles(F.col("line")))).cast("long").alias("n"))
 
 
-def _close(a: str, b: str) -> Column:
-    """Whether two sets may be similar: linked sets differ by (DEN - NUM) / (NUM + DEN) of their summed sizes at most, hence also
-    their sketches and sizes."""
-    bits = sum((F.bit_count(F.col(f"{a}.w{i}").bitwiseXOR(F.col(f"{b}.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.w0").bitwiseXOR(F.col(f"{b}.w0"))))
-    differ = F.greatest(bits, F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))).cast("long")
-    return (NUM + DEN) * differ <= (DEN - NUM) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+def _allowed(differ: Column, sizes: Column) -> Column:
+    """Whether sets that differ by so much may be similar: linked ones differ by (DEN - NUM) / (NUM + DEN) of their summed sizes at most."""
+    return (NUM + DEN) * differ <= (DEN - NUM) * sizes
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (u, v) whose lines are similar: by the bound first, then exactly."""
-    near = meet(pairs, texts, F.struct("line", "n", *[f"w{i}" for i in range(WORDS)])).where(_close("a", "b"))
+    """Those (u, v) whose lines are similar: by their sizes first, then exactly."""
+    sizes = F.col("a.n") + F.col("b.n")
+    near = meet(pairs, texts, F.struct("line", "n")).where(_allowed(F.abs(F.col("a.n") - F.col("b.n")), sizes))
     common = F.size(F.array_intersect(shingles(F.col("a.line")), shingles(F.col("b.line")))).cast("long")
-    return near.where((NUM + DEN) * common >= NUM * (F.col("a.n") + F.col("b.n"))).select("u", "v")
+    return near.where((NUM + DEN) * common >= NUM * sizes).select("u", "v")
+
+
+def _sketches(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, n, w0, w1, ...) of the lines of keys: the sizes of their shingle sets, and sketches of these."""
+    spot = texts.join(keys, "key", "left_semi").select("key", "n", F.explode(shingles(F.col("line"))).alias("s")).select("key", "n", F.xxhash64("s").bitwiseAND(64 * WORDS - 1).cast("int").alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x") % 64)
+    words = [F.coalesce(F.bit_or(F.when(F.shiftright("x", 6) == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
+    return spot.groupBy("key").agg(F.first("n").alias("n"), *words)
 
 
-def _possible(pending: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct (u, v) of a line outside its band's most frequent label and one of another label, that the
-    bound lets pass."""
-    rows = pending.join(texts.drop("line"), "key")
+def _possible(rows: DataFrame) -> DataFrame:
+    """Distinct (u, v) of a line outside its band's most frequent label and one of another label, whose sizes and sketches differ by no
+    more than those of similar lines.  rows: lines of unsettled bands with their sketches, a kept table, as both sides read it."""
     a, b = rows.where("label != lead").alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b"))
+    bits = sum((F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
+    differ = F.greatest(bits.cast("long"), F.abs(F.col("a.n") - F.col("b.n")))
+    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.label") != F.col("b.label")) & _allowed(differ, F.col("a.n") + F.col("b.n")))
     return met.select(F.greatest("a.key", "b.key").alias("u"), F.least("a.key", "b.key").alias("v")).distinct()
 
 
@@ -117,8 +118,14 @@ def line_components(distinct: DataFrame, tables: Scratch) -> DataFrame:
     tables.release()
     keys = tables.keep(members.select("key").distinct())
     texts = tables.keep_dealt(_candidates(distinct, keys), "key", parts)
-    labels = families(members, lambda pairs: tables.keep(_verified(pairs, texts)), lambda pending: _possible(pending, texts), keys.count(), tables)
-    tables.release(members, keys, texts)
+    sketched = []
+
+    def search(pending: DataFrame) -> DataFrame:
+        sketched.append(tables.keep(pending.join(_sketches(texts, pending.select("key").distinct()), "key")))
+        return _possible(sketched[-1])
+
+    labels = families(members, lambda pairs: tables.keep(_verified(pairs, texts)), search, keys.count(), tables)
+    tables.release(members, keys, texts, *sketched)
     return labels
 
 

@@ -586,6 +586,22 @@ def test_families_that_share_a_band_key(spark, monkeypatch, rounds):
     assert sorted(r.doc_id for r in rows if r.n_dropped) == want
 
 
+def test_line_search_is_compiled(spark, tmp_path):
+    # two bands: lines 1 and 2 differ in one shingle, 3 in all; 4 is of the most frequent label of its band
+    texts = ["abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz012345678X", "9876543210zyxwvutsrqponmlkjihgfedcba", "abcdefghijklmnopqrstuvwxyz012345678Y"]
+    lines = line_dedup._candidates(spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "key long, line string"), spark.range(1, 5).withColumnRenamed("id", "key"))
+    assert {r.n for r in lines.collect()} == {27}
+    pending = spark.createDataFrame([(7, 1, 1, 3), (7, 2, 2, 3), (7, 3, 3, 3), (8, 4, 4, 4), (8, 1, 1, 4)], "bucket long, key long, label long, lead long")
+    pending.join(line_dedup._sketches(lines, pending.select("key").distinct()), "key").write.parquet(str(tmp_path / "rows"))
+    met = line_dedup._possible(spark.read.parquet(str(tmp_path / "rows")))
+    assert sorted(map(tuple, met.collect())) == [(2, 1), (4, 1)]
+    # Spark makes code for the join, and no method is longer (8,000 bytes) than the JVM compiles
+    final = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.search(r"\*\(\d+\) (BroadcastHash|SortMerge)Join", final)
+    made = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(met._jdf.queryExecution().executedPlan())
+    assert 0 < max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 8000
+
+
 def test_line_recall(spark):
     """Against all pairs of the distinct lines of a table: nothing unlike is dropped, and of what is like 97 % at least."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect()
