@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Rows of a batch that are worked on at once; rows that Spark hands over at once.
 ARROW_ROWS, BATCH_ROWS = 512, 1000
+#: Parts in which the driver reads a table of bounded size.
+DRIVER_PARTS = 8
 #: Bytes tokenised at once; keeps the working arrays of a task at about 60 MB.
 CHUNK_BYTES = 1 << 20
 
@@ -43,6 +45,12 @@ def bounded_batches(df):
     return df
 
 
+def to_driver(df):
+    """Rows of a table of bounded size, a part at a time.  Spark runs a job for each part, and the driver keeps the account of every job:
+    one for each of some hundred shuffle partitions, most of them empty, would cost it more than the rows do."""
+    return df.coalesce(DRIVER_PARTS).toLocalIterator()
+
+
 def pieces(batches, rows: int = ARROW_ROWS):
     """Record batches cut to at most `rows` rows, without a copy; Spark bounds the bytes of a batch (64 MiB unless set
     otherwise), so a long document makes its batch short.  What a worker does not need any more goes back at the end."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import ALNUM, LOWER, bounded_batches, chunks, pieces, utf8, words
+from .arrow_text import ALNUM, LOWER, bounded_batches, chunks, pieces, to_driver, utf8, words
 from .scratch import Scratch
 
 WIDTH = 10
@@ -74,7 +74,7 @@ def bit_filter(terms: DataFrame) -> np.ndarray:
     """Bits of (term) rows; other terms may share them."""
     spot = terms.select(F.col("term").bitwiseAND((1 << FILTER_BITS) - 1).alias("b")).groupBy(F.shiftright("b", 6).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("m"))
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in spot.toLocalIterator():
+    for r in to_driver(spot):
         table[r["i"]] = r["m"]
     return table.view(np.uint8)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import bounded_batches, chunks, pieces, utf8
+from .arrow_text import bounded_batches, chunks, pieces, to_driver, utf8
 
 TRAIN_PER_LANGUAGE = 1500
 BUCKETS = 1 << 16
@@ -174,7 +174,7 @@ def train(labelled: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     counts: dict[bool, dict[str, np.ndarray]] = {False: {}, True: {}}
     counted = bounded_batches(some).mapInArrow(count, "lang string, back boolean, bucket int, n long").groupBy("lang", "back", "bucket").agg(F.sum("n").alias("n"))
     packed = counted.groupBy("lang", "back").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
-    for r in packed.toLocalIterator():
+    for r in to_driver(packed):
         c = np.zeros(BUCKETS)
         c[np.array(r["bucket"])] = r["n"]
         counts[r["back"]][r["lang"]] = c

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import NOT_SPACE, bounded_batches, chunks, mix, pieces, sequence_hash, utf8, words
+from .arrow_text import NOT_SPACE, bounded_batches, chunks, mix, pieces, sequence_hash, to_driver, utf8, words
 from .families import bucket_members, families, meet
 from .scratch import Scratch
 
@@ -259,7 +259,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
     spot = F.pmod(F.xxhash64("h"), F.lit(1 << MEMBER_BITS))
     marks = members.select(spot.alias("b")).groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("m"))
     table = np.zeros(1 << (MEMBER_BITS - 6), np.int64)
-    for r in marks.toLocalIterator():
+    for r in to_driver(marks):
         table[r["w"]] = r["m"]
     bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 

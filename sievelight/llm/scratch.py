@@ -10,6 +10,7 @@ import tempfile
 import time
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +28,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def trim_native(spark: SparkSession) -> bool:
+    """Give memory that the driver's JVM has freed outside its heap back to the system; whether that JVM can.
+
+    The JIT and Spark's code generator use and free many buffers, and the allocator keeps what is free in each thread's arena: a
+    driver that plans hundreds of queries grows by it, whatever its heap.  HotSpot on glibc has a command for it."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # by reflection on the interface, as the server's own class is not open to others
+        kinds = [jvm.javax.management.ObjectName, jvm.java.lang.String, "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+        types, values = new(jvm.java.lang.Class, 4), new(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(kinds):
+            types[i] = jvm.java.lang.Class.forName(kind if isinstance(kind, str) else kind._fqn)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", types).invoke(server, values)
+    except Py4JError:
+        return False
+    return True
+
+
 #: Seconds between two collections of the driver's garbage: short runs need none.
 PAUSE = 3.0
 
@@ -89,3 +110,4 @@ class Scratch:
             gc.collect()
             self.spark._jvm.System.gc()
             time.sleep(0.2)
+        trim_native(self.spark)
