@@ -56,7 +56,9 @@ def meet(pairs: DataFrame, items: DataFrame, payload: str | Column) -> DataFrame
     counted = pairs.groupBy("v").agg(F.least(F.ceil(F.count(F.lit(1)) / PART), F.lit(4 * parts)).alias("parts"))
     dealt = pairs.join(counted, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
     a, b = (items.select(F.col("key").alias(x), (F.col(payload) if isinstance(payload, str) else payload).alias(y)) for x, y in (("u", "a"), ("v", "b")))
-    return dealt.join(a, "u").join(dealt.select("v", "part").distinct().join(b, "v"), ["v", "part"]).select("u", "v", "a", "b")
+    # every part that a v has, by its number of partners: no second join of all pairs
+    copies = counted.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return dealt.join(a, "u").join(copies.join(b, "v"), ["v", "part"]).select("u", "v", "a", "b")
 
 
 def _unsettled(held: DataFrame, labels: DataFrame) -> DataFrame:

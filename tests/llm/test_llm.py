@@ -757,3 +757,17 @@ def test_driver_reads_small_tables_in_few_jobs(spark):
     want = {int(r.x) & ((1 << decontam.FILTER_BITS) - 1) for r in spark.range(5000).select(F.xxhash64("id").alias("x")).collect()}
     assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == want
     assert jobs <= 20
+
+
+def test_pairs_meet_their_payloads_once(spark):
+    tables = Scratch(spark)
+    items = tables.keep_dealt(spark.range(400).select(F.col("id").alias("key"), F.concat(F.lit("p"), "id").alias("line")), "key", 4)
+    # a hub with many parts, and pairs that stand alone
+    want = {(u, 0) for u in range(1, 400)} | {(u, u - 1) for u in range(2, 100)}
+    got = families.meet(spark.createDataFrame(sorted(want), "u long, v long"), items, "line")
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.u, r.v) for r in rows} == want
+    assert all((r.a, r.b) == (f"p{r.u}", f"p{r.v}") for r in rows)
+    # pairs are joined with their parts, with u's items and with v's: three joins, and a fourth of items with parts
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 4
+    tables.drop(items)
