@@ -7,7 +7,7 @@ Signature: for each of BANDS * ROWS seeds, the least seeded hash of the shingles
 and in words longer than a shingle those at each further character up to the one that ends with the word, so that unspaced
 scripts, URLs and encoded data are covered character by character.  An edit changes both kinds of shingles in like proportion, and
 anchors are a sixth of all positions.  ROWS lanes make one band key.  Candidates are the lines of a band key; what links is
-decided on all shingles, exactly, as strings.  Links are joined by distributed contraction, equal lines being one vertex
+decided on the sets of all shingles, each told by a hash of 64 bits, as whole lines are.  Links are joined by distributed contraction, equal lines being one vertex
 from the start, and each component keeps its first line by (document id, line number).
 
 Recall: bands of ROWS lanes find a pair whose anchored shingles have similarity s with probability 1 - (1 - s^ROWS)^BANDS: 0.985 at
@@ -35,6 +35,8 @@ from .families import bucket_members, families, meet
 from .scratch import Scratch
 
 SHINGLE, BANDS, ROWS = 10, 8, 4
+#: Shingles that one match of shingles() yields: a match costs many times what a short substring does.
+PIECE = 16
 NUM, DEN = 80, 100
 MIN_CHARS = 24
 #: 64-bit words of a sketch: bit x of it is set if the set has a shingle whose hash ends in x.  At 2,048 bits the sketches of lines of
@@ -46,12 +48,15 @@ _SEEDS = [int(x) for x in np.random.default_rng(5).integers(-(2**31), 2**31, BAN
 
 def anchored(line: Column) -> Column:
     """Shingles at words' starts and within long words; an array of strings with repeats."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:\S(?=\S{{{SHINGLE}}})|\S++)"), F.lit(1))
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:\S{{1,{SHINGLE}}}+(?!\S)|\S)"), F.lit(1))
 
 
 def shingles(line: Column) -> Column:
-    """All shingles of a line, with repeats."""
-    return F.when(F.length(line) > SHINGLE, F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))).otherwise(F.array(line))
+    """Hashes of all shingles of a line, with repeats.  They are cut from overlapping pieces, which keeps each cut short: a piece
+    starts at each PIECE-th character and holds the shingles that start before the next one."""
+    pieces = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE},{SHINGLE + PIECE - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    cut = lambda piece: F.transform(F.sequence(F.lit(1), F.length(piece) - (SHINGLE - 1)), lambda i: F.xxhash64(F.substring(piece, i, F.lit(SHINGLE))))
+    return F.when(F.length(line) > SHINGLE, F.flatten(F.transform(pieces, cut))).otherwise(F.array(F.xxhash64(line)))
 
 
 def exploded_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -86,7 +91,7 @@ def _allowed(differ: Column, sizes: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (u, v) whose lines are similar: by their sizes first, then exactly."""
+    """Those (u, v) whose lines are similar: by their sizes first, then by all shingles."""
     sizes = F.col("a.n") + F.col("b.n")
     near = meet(pairs, texts, F.struct("line", "n")).where(_allowed(F.abs(F.col("a.n") - F.col("b.n")), sizes))
     common = F.size(F.array_intersect(shingles(F.col("a.line")), shingles(F.col("b.line")))).cast("long")
@@ -95,7 +100,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _sketches(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, n, w0, w1, ...) of the lines of keys: the sizes of their shingle sets, and sketches of these."""
-    spot = texts.join(keys, "key", "left_semi").select("key", "n", F.explode(shingles(F.col("line"))).alias("s")).select("key", "n", F.xxhash64("s").bitwiseAND(64 * WORDS - 1).cast("int").alias("x"))
+    spot = texts.join(keys, "key", "left_semi").select("key", "n", F.explode(shingles(F.col("line"))).alias("s")).select("key", "n", F.col("s").bitwiseAND(64 * WORDS - 1).cast("int").alias("x"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x") % 64)
     words = [F.coalesce(F.bit_or(F.when(F.shiftright("x", 6) == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
     return spot.groupBy("key").agg(F.first("n").alias("n"), *words)

@@ -549,6 +549,17 @@ def test_lines_of_long_words(spark):
     assert got == ["ab 1234567", "1234567890", "2345678901", "3456789012", "x" * 10, "y"]
 
 
+def test_shingles_of_pieces(spark):
+    # lengths around a shingle and around the ends of pieces; characters of one to four bytes, four being two units in Java
+    rng = random.Random(12)
+    sizes = [1, 9, 10, 11, 25, 26, 27, 41, 42, 43, 300]
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in sizes for letters in ("ab", "ab \t\r", "x\u00e9\u4eca", "x\U0001f600\U0001f601\U0001f602")]
+    want = [[t[i : i + 10] for i in range(max(1, len(t) - 9))] for t in texts]
+    rows = spark.createDataFrame(list(zip(texts, want)), "t string, want array<string>")
+    got = rows.select(line_dedup.shingles(F.col("t")).alias("got"), F.transform("want", lambda x: F.xxhash64(x)).alias("want")).collect()
+    assert len(got) == len(texts) and all(r.got == r.want for r in got)
+
+
 def test_bucket_members(spark, tmp_path):
     # keys 1 and 2 share two buckets that count once; bucket 4 holds one key twice; null is no bucket
     rows = [(1, [1, 2, 4]), (2, [1, 2]), (3, [3]), (1, [4, 5]), (5, [5, None]), (6, [5, None])]
