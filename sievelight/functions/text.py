@@ -197,11 +197,14 @@ def intent_of(query: Column) -> tuple[Column, Column]:
 def wants_rerank(prompt: Column) -> Column:
     """Whether a prompt looks like a search of code."""
     p = F.lower(F.trim(F.coalesce(prompt, F.lit(""))))
+    # word borders are ASCII: a letter beyond it parts words, as a sign does; only \n ends a line, and only the text's end is one
+    bare = F.regexp_replace(p, r"[^\x00-\x7F]", "~")
+    meets = lambda r: bare.rlike("(?d)" + r.replace("$", r"\z"))
     no, yes = F.lit(False), F.lit(False)
     for r in V.PROMPT_IGNORE:
-        no = no | p.rlike(r)
+        no = no | meets(r)
     for r in V.PROMPT_SEARCH:
-        yes = yes | p.rlike(r)
+        yes = yes | meets(r)
     return (F.length(p) >= 8) & ~no & yes
 
 

@@ -112,3 +112,9 @@ def test_rerank_gate(spark):
     yes = ["where is the handler defined", "find the config loader"]
     no = ["ok", "commit this now", "lovely weather out there"]
     assert column(spark, yes + no, T.wants_rerank) == [True] * 2 + [False] * 3
+
+
+def test_prompt_word_borders_are_ascii(spark):
+    yes = ["éfind x yz", "findé it now", "fix the\u0085 bug"]
+    no = ["commité find this", "find_it in code", "where\nis it"]
+    assert column(spark, yes + no, T.wants_rerank) == [True] * 3 + [False] * 3
