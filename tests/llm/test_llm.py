@@ -340,6 +340,14 @@ def test_url_rules(spark):
     assert url_filter.url_digest(pages.limit(0)).count() == 0
 
 
+def test_url_rules_of_the_contract(spark):
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    urls = [f"http://{a}{rule}{b}" for rule in want for a in ("", "a.b.") for b in ("", "x/y?q=1")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_digest(pages).collect()}
+    assert got == {i: (rule, v) for i, (rule, v) in enumerate((rule, v) for rule, v in want.items() for _ in range(4))}
+
+
 def test_languages(spark):
     rng = random.Random(8)
     parts = {"aa": ["tor", "min", "ul", "est"], "bb": ["kwa", "zu", "ngo", "ubi"], "cc": ["ché", "élo", "ôn", "ueil"]}
