@@ -56,6 +56,17 @@ def occurrences(terms: Column, wanted: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.array_contains(wanted, t)))
 
 
+def term_counts(terms: Column) -> Column:
+    """Each distinct term once, as (term, tf), in order of terms: runs of the sorted list, so nothing is searched."""
+
+    def counted(s):
+        begins = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        one = lambda b: F.transform(b, lambda i, at: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, at + 1), F.size(s)) - i).alias("tf")))
+        return F.get(F.transform(F.array(begins), one), F.lit(0))
+
+    return F.get(F.transform(F.array(F.sort_array(terms)), counted), F.lit(0))
+
+
 def symbol_role(symbol: Column, content: Column, file_path: Column, lines: Column) -> Column:
     """PUBLIC_API, INTERNAL_HELPER or UNKNOWN."""
     name = F.trim(F.coalesce(symbol, F.lit("")))

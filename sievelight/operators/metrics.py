@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.session import cut
+
 BINS = 10
 
 
@@ -123,6 +125,7 @@ def ranking_summary(ranks: DataFrame, by=None) -> DataFrame:
 
 def failures(labelled: DataFrame) -> DataFrame:
     """Tasks whose first target is missing or below rank three, with their top three competitors and a cause."""
+    labelled = cut(labelled)
     ranks = first_target(labelled)
     bad = ranks.where("rank is null or rank > 3")
     others = labelled.where("rank <= 3 and not is_target").groupBy("task_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",").alias("competitors"))

@@ -75,8 +75,9 @@ def task_chunks(chunks: DataFrame, tasks: DataFrame, top: int = 5, exponent: flo
     """Evaluation rows of many tasks at once: each task's top chunks with four probability stages."""
     from ..functions import scores as S
 
-    ranked = lexical.rank_many(chunks, tasks.select(F.col("task_id").alias("query_id"), "terms"), top)
-    j = ranked.join(chunks.select("chunk_idx", "file_path", "token_est", "content_hash"), "chunk_idx").join(tasks.select(F.col("task_id").alias("query_id"), "target_file_substr"), "query_id")
+    ranked = lexical.rank_many(chunks, tasks.select(F.col("task_id").alias("query_id"), "terms"), top, ("id", "file_path", "token_est", "content_hash"))
+    # a few rows per task, kept as each metric reads them anew
+    j = cut(ranked).join(tasks.select(F.col("task_id").alias("query_id"), "target_file_substr"), "query_id")
     yes, no = S.hash_log_probabilities(F.concat_ws(":", F.col("query_id").cast("string"), "content_hash"))
     raw = F.round(S.sigmoid(yes - no), 4)
     j = j.withColumns({"p_raw": raw, "p_len": S.length_score(yes, no, F.col("token_est"), exponent)})

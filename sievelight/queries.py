@@ -588,9 +588,9 @@ def _evaluated(spark, sf_dir):
     return chunks, tasks
 
 
-def _eval_rows(spark, sf_dir):
+def _eval_rows(spark, sf_dir, *columns):
     chunks, tasks = _evaluated(spark, sf_dir)
-    ranked = lexical.rank_many(chunks, tasks.select(F.col("task_id").alias("query_id"), "terms"), 5).join(chunks.select("chunk_idx", "file_path", "symbol"), "chunk_idx")
+    ranked = lexical.rank_many(chunks, tasks.select(F.col("task_id").alias("query_id"), "terms"), 5, ("id", "file_path", "symbol", *columns))
     return metrics.label_targets(ranked.withColumnRenamed("query_id", "task_id"), tasks)
 
 

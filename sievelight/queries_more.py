@@ -183,7 +183,7 @@ def telemetry_summary(spark, sf_dir):
 
 @_register("top_metadata", f"WITH {_EVAL_CTES} SELECT ev.task_id, string_agg(ev.rank || ' ' || c.file_path || ' ' || c.start_line || '-' || c.end_line, ';' ORDER BY ev.rank) AS top FROM ev JOIN chunks c USING (id) WHERE ev.rank <= 3 GROUP BY 1")
 def top_metadata(spark, sf_dir):
-    rows = _eval_rows(spark, sf_dir).drop("symbol", "file_path").join(_chunks(spark, sf_dir).select("chunk_idx", "file_path", "symbol", "start_line", "end_line", "is_test"), "chunk_idx").withColumn("raw_score", F.col("score"))
+    rows = _eval_rows(spark, sf_dir, "start_line", "end_line", "is_test").withColumn("raw_score", F.col("score"))
     text = F.transform("top", lambda x: F.concat(x["rank"].cast("string"), F.lit(" "), x["file_path"], F.lit(" "), x["start_line"].cast("string"), F.lit("-"), x["end_line"].cast("string")))
     return metrics.top_metadata(rows).select("task_id", F.array_join(text, ";").alias("top"))
 

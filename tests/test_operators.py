@@ -142,3 +142,18 @@ def test_score_cache(spark):
     empty = scores.limit(0)
     got = source.put_scores(scores, empty).collect()
     assert [(r.cache_key, r.score) for r in got] == [("k", 0.6)]
+
+
+def shuffles(df):
+    """The hash partitionings of a plan before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x.split("),")[0] for x in plan.split("Exchange hashpartitioning(")[1:]]
+
+
+def test_ranking_many_shuffles_pairs_of_numbers_only(spark):
+    chunks = chunking.with_index(chunking.windows(files(spark, [("a.txt", "rare words, rare cats\nand the rest"), ("b.txt", "the cat"), ("c.txt", "")]), 2, 1))
+    queries = spark.range(2).select(F.col("id").alias("query_id"), F.when(F.col("id") == 0, F.array(F.lit("rare"), F.lit("cat"), F.lit("cat"))).otherwise(F.array(F.lit("dog"))).alias("terms"))
+    ranked = lexical.rank_many(chunks, queries, columns=("id", "file_path"))
+    got = [(r.query_id, r.file_path, r.rank, r.score) for r in ranked.orderBy("rank").collect()]
+    assert got == [(0, "a.txt", 1, 3.5), (0, "b.txt", 2, 1.75)]
+    assert all("term" not in s and "id" not in s.replace("query_id", "").replace("chunk_idx", "") for s in shuffles(ranked)) and len(shuffles(ranked)) == 2
