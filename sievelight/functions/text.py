@@ -56,15 +56,34 @@ def occurrences(terms: Column, wanted: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.array_contains(wanted, t)))
 
 
+def held(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running_sums(values: Column, block: int = 64) -> Column:
+    """The sums of an array's values up to each.  Sums are taken in blocks, as appending copies what there is."""
+
+    def within(b):
+        return F.aggregate(b, F.array().cast("array<int>"), lambda a, v: F.array_append(a, F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + v))
+
+    def moved(parts):
+        last = F.transform(parts, lambda b: F.get(b, F.size(b) - 1))
+        return F.flatten(F.transform(parts, lambda b, k: held(F.aggregate(F.slice(last, 1, k), F.lit(0), lambda a, v: a + v), lambda before: F.transform(b, lambda v: v + before))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(values) / F.lit(block)).cast("int") - 1)), lambda k: within(F.slice(values, k * block + 1, F.lit(block))))
+    return held(blocks, moved)
+
+
 def term_counts(terms: Column) -> Column:
     """Each distinct term once, as (term, tf), in order of terms: runs of the sorted list, so nothing is searched."""
 
     def counted(s):
         begins = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
         one = lambda b: F.transform(b, lambda i, at: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, at + 1), F.size(s)) - i).alias("tf")))
-        return F.get(F.transform(F.array(begins), one), F.lit(0))
+        return held(begins, one)
 
-    return F.get(F.transform(F.array(F.sort_array(terms)), counted), F.lit(0))
+    return held(F.sort_array(terms), counted)
 
 
 def symbol_role(symbol: Column, content: Column, file_path: Column, lines: Column) -> Column:

@@ -157,3 +157,11 @@ def test_ranking_many_shuffles_pairs_of_numbers_only(spark):
     got = [(r.query_id, r.file_path, r.rank, r.score) for r in ranked.orderBy("rank").collect()]
     assert got == [(0, "a.txt", 1, 3.5), (0, "b.txt", 2, 1.75)]
     assert all("term" not in s and "id" not in s.replace("query_id", "").replace("chunk_idx", "") for s in shuffles(ranked)) and len(shuffles(ranked)) == 2
+
+
+def test_definitions_shuffle_nothing(spark):
+    code = "class A {\n  int f(x) {\n    return g(x);\n  }\n}\n" + "\n" * 200 + "function g(x) {\n  if (x) { return 1; }\n}\n"
+    defs = context.definitions(files(spark, [("a.ts", code), ("b.ts", ""), ("c.py", "def h(x):\n    return x\n\ny = h(1)\ndef last(x):\n    return h(x)")]))
+    assert "Exchange" not in defs._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.file_path, r.name, r.line, r.end_line) for r in defs.collect())
+    assert got == [("a.ts", "A", 1, 5), ("a.ts", "f", 2, 4), ("a.ts", "g", 206, 208), ("c.py", "h", 1, 3), ("c.py", "last", 5, 6)]
