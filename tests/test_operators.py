@@ -165,3 +165,32 @@ def test_definitions_shuffle_nothing(spark):
     assert "Exchange" not in defs._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.file_path, r.name, r.line, r.end_line) for r in defs.collect())
     assert got == [("a.ts", "A", 1, 5), ("a.ts", "f", 2, 4), ("a.ts", "g", 206, 208), ("c.py", "h", 1, 3), ("c.py", "last", 5, 6)]
+
+
+def most_joined(spark, df):
+    """The most rows that a join of df makes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+    def below(node):
+        own = node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0
+        return max([own, *(below(node.children().apply(i)) for i in range(node.children().size()))])
+
+    return below(plan)
+
+
+def test_callees_do_not_pair_calls_with_all_definitions(spark):
+    n = 60
+    rows = [(f"m{i:02}.py", f"def common(x):\n    return own{i}(x)\n\n\ndef user{i}(x):\n    return common(x)\n") for i in range(n)]
+    rows.append(("z.py", "def only(x):\n    return common(x)"))
+    code = files(spark, rows)
+    chunks = chunking.with_index(chunking.slices(code, 3, 0))
+    calls = context.callees(chunks, context.definitions(code))
+    got = {r.file_path + str(r.start_line): r.calls for r in chunks.join(calls, "chunk_idx", "left").collect()}
+    # a chunk's own line is no callee; there the next file's stands in, for m00 the second file's
+    assert got["z.py1"] == ["def common(x):"] and got["m03.py4"] == ["def common(x):"] and got["m03.py1"] is None
+    assert most_joined(spark, calls) <= 3 * n
