@@ -168,7 +168,7 @@ def test_definitions_shuffle_nothing(spark):
 
 
 def most_joined(spark, df):
-    """The most rows that a join of df makes."""
+    """The most rows that a join of df makes; df must not have run before."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = df._jdf.queryExecution().executedPlan()
@@ -194,3 +194,14 @@ def test_callees_do_not_pair_calls_with_all_definitions(spark):
     # a chunk's own line is no callee; there the next file's stands in, for m00 the second file's
     assert got["z.py1"] == ["def common(x):"] and got["m03.py4"] == ["def common(x):"] and got["m03.py1"] is None
     assert most_joined(spark, calls) <= 3 * n
+
+
+def test_stubs_do_not_join_lines_with_chunks(spark):
+    body = "\n".join(["import os", "class A:", "    def f(self):", "        return 1", "", "def g(x):", "    return x", "", "type T"] * 10)
+    code = files(spark, [("a.py", body), ("b.py", "x")])
+    chunks = chunking.with_index(chunking.slices(code, 3, 0))
+    stubs = context.ghost_stubs(chunks, code)
+    # one row a file, not one a line of each chunk
+    assert most_joined(spark, stubs) == 2
+    rows = {r.chunk_idx: r for r in stubs.collect()}
+    assert len(rows) == 31 and rows[1].original_lines == 90 and rows[1].stub.startswith("1: import os\n2: class A:\n3:     def f(self):\n5: \n6: def g(x): ... [folded 3 lines]\n9: type T\n")
