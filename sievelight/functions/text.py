@@ -259,15 +259,40 @@ def is_code_question(prompt: Column) -> Column:
     return F.when((F.length(text) < 8) | is_machine_text(prompt) | low.rlike(V.PROCESS_LEAD), False).when(sign, True).when(low.rlike(V.PROCESS_NOUNS) | low.rlike(V.ASKS_US), False).otherwise(asks)
 
 
-def may_hold(text: Column, keys, within_words: bool = False) -> Column:
-    """Whether a text may hold a word that folds to one of the keys: false only if it holds none.  Folding cuts endings (and puts y for
-    ies), so a word begins with its key, less a final y.  within_words: words are also parted where a capital begins."""
+def _beginnings(keys) -> list[str]:
+    """With what words that fold to one of the keys begin.  Folding cuts endings (and puts y for ies), so a word begins with its key,
+    less a final y."""
     stems = sorted({k[:-1] if k.endswith("y") else k for k in keys if k}, key=lambda k: (len(k), k))
     # a stem that begins with another one adds nothing
-    least = [k for i, k in enumerate(stems) if not any(k.startswith(o) for o in stems[:i])]
+    return [k for i, k in enumerate(stems) if not any(k.startswith(o) for o in stems[:i])]
+
+
+def may_hold(text: Column, keys, within_words: bool = False) -> Column:
+    """Whether a text may hold a word that folds to one of the keys: false only if it holds none.  within_words: words are also parted
+    where a capital begins."""
+    least = _beginnings(keys)
     if not least:
         return F.lit(False)
     pattern = "(?<![A-Za-z0-9])(?i:" + "|".join(least) + ")"
     if within_words:
         pattern += "|" + "|".join(f"{k[0].upper()}(?i:{k[1:]})" for k in least)
     return text.rlike(pattern)
+
+
+def terms_among(text: Column, keys) -> Column:
+    """Those of lexical_terms(text) that are among the keys, in text order: only words that begin like one are cut out and folded."""
+    least = _beginnings(keys)
+    if not least:
+        return strings([])
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?<![A-Za-z0-9])(?i:" + "|".join(least) + ")[A-Za-z0-9]*"), F.lit(0))
+    return F.filter(normal_terms(words), lambda t: F.array_contains(strings(keys), t))
+
+
+def may_hold_phrase(text: Column, phrases) -> Column:
+    """Whether the folded words of a text, joined by blanks, may hold one of the phrases of two words: false only if they hold
+    none.  A folded word that ends with the first one is, in the text, at most three letters longer."""
+    begin = lambda k: k[:-1] if k.endswith("y") else k
+    pairs = [p.split(" ") for p in phrases]
+    if not pairs:
+        return F.lit(False)
+    return F.coalesce(text, F.lit("")).rlike("(?i)" + "|".join(f"{begin(a)}[A-Za-z]{{0,3}}[^A-Za-z0-9]+{begin(b)}" for a, b in pairs))

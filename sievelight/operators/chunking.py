@@ -15,6 +15,13 @@ from ..sources.session import cut
 NEWLINE = "\r\n|\r|\n"
 
 
+def lines_of(body: Column) -> Column:
+    """The lines of a text, without an empty last one.  Ends of lines are made alike first, as a split by one sign needs no pattern, and
+    the split is worked out once."""
+    one = F.replace(F.replace(body, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return T.held(F.split(one, "\n"), lambda x: F.when(F.get(x, F.size(x) - 1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
+
+
 def _numbered(lines: Column, first: Column) -> Column:
     return F.array_join(F.transform(lines, lambda line, i: F.concat((first + i).cast("string"), F.lit(": "), line)), "\n")
 
@@ -24,10 +31,9 @@ def windows(files: DataFrame, size: int = 120, overlap: int = 30) -> DataFrame:
 
     files: file_idx, file_path, body.  chunk ids are file:start-end."""
     step = size - overlap
-    lines = F.split("body", NEWLINE)
-    lines = F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    base = files.select("file_idx", "file_path", lines.alias("lines")).withColumn("n", F.size("lines")).where("n > 0")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("n") - size) / F.lit(step))).cast("int") * step, F.lit(step))
+    base = files.select("file_idx", "file_path", lines_of(F.col("body")).alias("lines")).withColumn("n", F.size("lines"))
+    # no start for an empty file: a filter would go below the split and work it out again
+    starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("n") - size) / F.lit(step))).cast("int") * step, F.lit(step)))
     cut = base.select("file_idx", "file_path", "lines", "n", F.explode(starts).alias("s"))
     part = F.slice("lines", F.col("s") + 1, F.lit(size))
     end = F.least(F.col("n"), F.col("s") + size)

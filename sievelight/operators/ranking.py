@@ -70,26 +70,29 @@ def alignment(q: Q.Query, symbol: Column, file_path: Column, content: Column, li
     words = sorted(set(re.findall(r"[a-z0-9_]+", q.text.lower())))
     named = (name != "") & (name != "module_scope") & (name.isin(*([i.lower() for i in q.identifiers] or [""])) | F.array_contains(T.strings(words), name))
 
+    def in_structure(structural):
+        return [F.array_contains(structural, a) & F.array_contains(structural, b) for a, b in (p.split(" ") for p in d.phrases)]
+
+    def count(flags):
+        return sum((f.cast("int") for f in flags), F.lit(0))
+
     def of(body: Column, structural: Column) -> Column:
-        joined = F.array_join(body, " ")
-        phrases = F.lit(0)
-        for p in d.phrases:
-            a, b = p.split(" ")
-            phrases = phrases + ((F.array_contains(structural, a) & F.array_contains(structural, b)) | F.contains(joined, F.lit(p))).cast("int")
         in_either = F.array_distinct(F.concat(structural, body))
+        # all words are folded only where a phrase may be
+        whole = T.held(F.array_join(T.lexical_terms(content), " "), lambda text: count([s | F.contains(text, F.lit(p)) for s, p in zip(in_structure(structural), d.phrases)]))
         return F.struct(
             F.size(F.array_intersect(domain, in_either)).alias("domain_hits"),
             F.size(F.array_intersect(domain, structural)).alias("structural_domain_hits"),
             T.occurrences(body, domain).alias("content_domain_tf"),
             T.occurrences(body, symptoms).alias("symptom_tf"),
-            phrases.alias("phrase_hits"),
+            F.when(T.may_hold_phrase(content, d.phrases), whole).otherwise(count(in_structure(structural))).alias("phrase_hits"),
             F.size(F.array_intersect(symptoms, in_either)).alias("symptom_hits"),
             T.symbol_role(symbol, content, file_path, lines).alias("symbol_role"),
             named.alias("named"),
         )
 
-    held = F.struct(T.lexical_terms(content).alias("body"), own.alias("structural"))
-    return F.get(F.transform(F.array(held), lambda h: of(h["body"], h["structural"])), F.lit(0))
+    held = F.struct(T.terms_among(content, [*d.domain, *d.symptoms]).alias("body"), own.alias("structural"))
+    return T.held(held, lambda h: of(h["body"], h["structural"]))
 
 
 def trap_delta(q: Q.Query, a: Column) -> Column:

@@ -118,3 +118,18 @@ def test_prompt_word_borders_are_ascii(spark):
     yes = ["éfind x yz", "findé it now", "fix the\u0085 bug"]
     no = ["commité find this", "find_it in code", "where\nis it"]
     assert column(spark, yes + no, T.wants_rerank) == [True] * 3 + [False] * 3
+
+
+def test_terms_among_cuts_out_only_words_that_begin_like_a_key(spark):
+    keys = ["query", "class", "box", "id"]
+    texts = ["Queries, QUERY querying; boxes Box xbox classes class_ids ids idx id9", "", None, "nothing here", "éid id"]
+    want = column(spark, texts, lambda c: F.array_join(F.filter(T.lexical_terms(c), lambda t: t.isin(*keys)), " "))
+    assert column(spark, texts, lambda c: F.array_join(T.terms_among(c, keys), " ")) == want
+    assert want[0] == "query query box box class class" and want[4] == "id id"
+
+
+def test_may_hold_phrase_passes_every_text_that_holds_one(spark):
+    texts = ["open Queries, classes", "queries  class", "subquery classify", "query\n3: class", "query the class", "class query", None]
+    holds = column(spark, texts, lambda c: F.contains(F.array_join(T.lexical_terms(c), " "), F.lit("query class")))
+    may = column(spark, texts, lambda c: T.may_hold_phrase(c, ["query class"]))
+    assert [h for h, m in zip(holds, may) if not m] == [False] * may.count(False) and may[-3:] == [False] * 3 and holds[:3] == [True] * 3

@@ -205,3 +205,9 @@ def test_stubs_do_not_join_lines_with_chunks(spark):
     assert most_joined(spark, stubs) == 2
     rows = {r.chunk_idx: r for r in stubs.collect()}
     assert len(rows) == 31 and rows[1].original_lines == 90 and rows[1].stub.startswith("1: import os\n2: class A:\n3:     def f(self):\n5: \n6: def g(x): ... [folded 3 lines]\n9: type T\n")
+
+
+def test_windows_split_a_text_once(spark):
+    cut = chunking.windows(files(spark, [("a", "x\r\ny\rz\n\nlast\r"), ("b", ""), ("c", "\n"), ("d", "\r\n\n")]), 10, 5)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted((r.file_path, r.content) for r in cut.collect()) == [("a", "1: x\n2: y\n3: z\n4: \n5: last"), ("c", "1: "), ("d", "1: \n2: ")]
